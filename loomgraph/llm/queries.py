@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup, rules
+from . import ann, bpe, cotrain, langid, neardup, packing, rules, sharding, toxicity, warc
 from .common import table
 
+RANKS, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,6 +22,37 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    got = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op1_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, max(page_id) AS stored FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN stored IS NOT NULL AND page_id IS DISTINCT FROM stored THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN stored IS NOT NULL AND page_id IS DISTINCT FROM stored THEN stored END AS refers_to
+FROM p LEFT JOIN g ON p.d = g.d"""
+
+
+@query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the bytes that they decode to."""
+    return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page and every document (the other kind's id is null)."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs)
+    records = langid.page_records(table(spark, sf_dir, "pages")).unionByName(langid.document_records(docs))
+    return langid.identify(records, model)
+
+
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document with the verdict of the current policy."""
@@ -58,3 +93,40 @@ FROM v"""
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component and verdict of every document."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; labels of held-out rows are never read by the fit."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each row whose id 20 divides."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score and verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return cotrain.score(docs, cotrain.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law of near-equal row counts."""
+    got = sharding.shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return got.select(
+        "doc_id", (F.length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of up to 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), WORDS).drop("ids")
