@@ -44,3 +44,9 @@ def test_policies_and_ablation_are_bit_operations(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert rules.apply_policy(rules.ledger(empty)).collect() == []
+
+
+def test_filters_stay_above_the_measurements(spark):
+    docs = spark.createDataFrame([(i, "some words here " * i) for i in range(50)], "doc_id long, text string")
+    kept = rules.apply_policy(rules.ledger(docs, keep=("doc_id", "text"))).where("kept AND n_repeat_words >= 0")
+    assert kept.select("doc_id", "text").count() == 0
