@@ -74,7 +74,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, weighted: bool = True, resolutio
     e = edges.select("src", "dst", (F.col("weight") if weighted else F.lit(1.0)).alias("weight")).where("src <> dst")
     if nodes.count() > SMALL:
         return label_rounds(nodes, e, resolution)
-    rows = nodes.select("name", F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("weight")).unionByName(e.withColumnRenamed("src", "name"))
+    rows = nodes.select("name", F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("weight")).unionByName(e.withColumnRenamed("src", "name")).withColumn("g", F.lit(1))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         links = f[f.dst.notna()]
@@ -82,7 +82,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, weighted: bool = True, resolutio
         found = louvain_labels(sorted(names), sorted(zip(links.name, links.dst, links.weight)), resolution)
         return pd.DataFrame({"name": list(found), "partition_id": list(found.values())})
 
-    return rows.groupBy(F.lit(1)).applyInPandas(run, "name string, partition_id long")
+    return rows.groupBy("g").applyInPandas(run, "name string, partition_id long")
 
 
 def label_rounds(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = 12) -> DataFrame:
@@ -203,7 +203,7 @@ def community_stats(nodes: DataFrame, edges: DataFrame, parts: DataFrame, top: i
     kinds = kinds.groupBy("partition_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("types"))
     degree = edges.select(F.explode(F.array("src", "dst")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("d"))
     best = top_per(parts.join(degree, "name", "left").na.fill(0, ["d"]), ["partition_id"], top, F.desc("d"), F.asc("name"))
-    best = best.groupBy("partition_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("d")).alias("o"), "name"))), lambda x: x.name).alias("key_nodes"))
+    best = best.groupBy("partition_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("d")).alias("o"), "name"))), lambda x: x["name"]).alias("key_nodes"))
     n, m = F.col("size"), F.coalesce("inner_edges", F.lit(0))
     out = size.join(inner, "partition_id", "left").join(kinds, "partition_id", "left").join(best, "partition_id", "left")
     return out.select("partition_id", "size", m.alias("inner_edges"), F.when(n > 1, 2 * m / (n * (n - 1))).otherwise(F.lit(0.0)).alias("density"), "types", "key_nodes").orderBy(F.desc("size"), "partition_id")

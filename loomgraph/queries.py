@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog, model
@@ -454,6 +454,11 @@ def transitions(spark, sf):
     return sample.transitions(spark, sf)
 
 
+def _millis(c: str) -> Column:
+    """Epoch milliseconds of a timestamp that is meant in UTC, whatever the session's zone."""
+    return F.unix_millis(F.to_timestamp(F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("Z"))))
+
+
 # Change stream: event types as operations, the user as the row.
 _OPS = "CASE event_type WHEN 'signup' THEN 'c' WHEN 'purchase' THEN 'u' WHEN 'error' THEN 'd' ELSE 'r' END"
 
@@ -462,15 +467,15 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
     events = sample.table(spark, sf, "events")
     row = F.to_json(F.struct(F.col("user_id").cast("string").alias("id"), (F.col("event_id") % 7).cast("string").alias("group_id")))
     op = F.expr(_OPS)
-    body = F.concat(F.lit('{"op":"'), op, F.lit('","before":'), F.when(op == "d", row).otherwise("null"), F.lit(',"after":'), F.when(op == "d", "null").otherwise(row), F.lit(',"source":{"table":"users"},"ts_ms":'), F.unix_millis("ts"), F.lit("}"))
-    return events.select(F.concat(F.unix_millis("ts").cast("string"), F.lit("-"), "event_id").alias("seq"), body.alias("payload"))
+    body = F.concat(F.lit('{"op":"'), op, F.lit('","before":'), F.when(op == "d", row).otherwise("null"), F.lit(',"after":'), F.when(op == "d", "null").otherwise(row), F.lit(',"source":{"table":"users"},"ts_ms":'), _millis("ts"), F.lit("}"))
+    return events.select(F.concat(_millis("ts").cast("string"), F.lit("-"), "event_id").alias("seq"), body.alias("payload"))
 
 
 _USERS = [cdc.Schema("users", ["id", "group_id"], ["id"], [("group_id", "groups")])]
-_LATEST = f"l AS (SELECT * FROM (SELECT *, {_OPS} AS op, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) AS r FROM events) WHERE r = 1)"
+_LATEST = f"l AS (SELECT * FROM (SELECT *, {_OPS} AS op, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC) AS r FROM events) WHERE r = 1)"
 
 
-@query(f"WITH {_LATEST} SELECT 'users:' || user_id AS name, op, epoch_ms(ts) || '-' || event_id AS seq FROM l")
+@query(f"WITH {_LATEST} SELECT 'users:' || user_id AS name, op, (epoch_us(ts) // 1000) || '-' || event_id AS seq FROM l")
 def cdc_latest(spark, sf):
     return cdc.latest(cdc.parse(_messages(spark, sf)), _USERS).select("name", "op", "seq")
 
@@ -498,7 +503,7 @@ def cdc_placeholders(spark, sf):
     return cdc.placeholders(*cdc.apply(nodes, edges, cdc.parse(_messages(spark, sf)), _USERS, "DBS://bench/app"))
 
 
-@query("SELECT CAST(max(epoch_ms(ts)) AS BIGINT) AS last_event_ts, count(*) AS events_processed FROM events")
+@query("SELECT CAST(max(epoch_us(ts) // 1000) AS BIGINT) AS last_event_ts, count(*) AS events_processed FROM events")
 def cdc_progress(spark, sf):
     return cdc.progress(cdc.parse(_messages(spark, sf))).select("last_event_ts", "events_processed")
 
@@ -524,9 +529,9 @@ def events_tumbling(spark, sf):
 
 @query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 4 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
-SELECT user_id, epoch_ms(min(ts)) AS start_ms, count(*) AS n FROM g GROUP BY user_id, k""")
+SELECT user_id, epoch_us(min(ts)) // 1000 AS start_ms, count(*) AS n FROM g GROUP BY user_id, k""")
 def events_session(spark, sf):
-    return trend.sessions(sample.table(spark, sf, "events"), "ts", "4 hours", "user_id").select("user_id", F.unix_millis("start").alias("start_ms"), "n")
+    return trend.sessions(sample.table(spark, sf, "events"), "ts", "4 hours", "user_id").select("user_id", _millis("start").alias("start_ms"), "n")
 
 
 # Catalog of the tables.
