@@ -10,10 +10,13 @@ bands with probability (1 - 0.75^4)^32 < 6e-6. Candidates are confirmed on the f
 Work is arranged so that a group of copies costs its size, not its square:
 
 1. equal sets are one class, found by a digest of the whole set, with a representative;
-2. each representative is compared with the least representative of its buckets (a star);
-3. confirmed links are contracted to components; only pairs of one bucket whose ends lie in
-   different components are left, and they are compared after a check of their sketches
-   (agreement of 0.75 +- six standard deviations).
+2. each representative is compared with the least representative of its buckets (a star), confirmed
+   links are contracted to components, and a few more rounds of stars with other centres join what one
+   centre missed; only pairs of one bucket in different components are ever compared;
+3. in buckets of few members the pairs that are left are enumerated inside the join, where sizes and two
+   bits of every sketch bin must allow a similarity of 0.75 (mismatches within 5.9 standard deviations), and confirmed;
+4. in larger buckets the members outside the largest component meet all members block by block, each block of
+   bounded volume, through an inverted list of shingles; only confirmed links leave a block.
 
 Defined results: a null, empty or blank text has an empty set, ``n_shingles`` 0, and is alone;
 repeated rows of one ``doc_id`` with the same text stay separate rows of one component; a null
@@ -35,8 +38,10 @@ from .common import stage
 
 SHINGLE, ROWS, BANDS = 5, 4, 32
 BINS = ROWS * BANDS
-#: Least agreement of two sketches at which a pair goes on to the exact comparison.
-LEAST_AGREEMENT = 0.52
+#: Sketch bins, of which two bits are kept, that a pair at the threshold may differ in.
+MOST_MISMATCHES = 50
+#: Rounds of stars after the first; members of a bucket whose pairs are enumerated; shingles in a side of a block.
+STARS, FEW, BLOCK = 2, 32, 1 << 19
 THRESHOLD = (75, 100)
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -93,7 +98,13 @@ def bands_of(sk: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return mix(h + np.arange(h.shape[1], dtype=np.uint64) * _MULT[2]).view(np.int64)
 
 
-_SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+def two_bits(sk: np.ndarray) -> np.ndarray:
+    """Two bits of every bin, 32 bins a number."""
+    low = (mix(sk) & np.uint64(3)).reshape(len(sk), -1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
+    return np.bitwise_or.reduce(low, axis=2).view(np.int64)
+
+
+_SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
 #: Shingles that are worked on at once in a task.
 _CHUNK = 1 << 20
 
@@ -119,11 +130,10 @@ def _sketched(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
     marks: list = [None] * len(ids)
     if len(full):
         sk = sketch(np.concatenate([sets[i] for i in full]), sizes[full])
-        low = mix(sk).astype(np.uint8)
-        for i, b, m in zip(full, bands_of(sk), low):
-            bands[i], marks[i] = b, m.tobytes()
+        for i, b, m in zip(full, bands_of(sk), two_bits(sk)):
+            bands[i], marks[i] = b, m
     digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], schema=_SKETCHED)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], schema=_SKETCHED)
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,14 +157,12 @@ def _sets(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["rep", "shingles"])
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, sketch of a, sketch of b) the pairs whose sketches agree often enough."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
-        take = np.flatnonzero((left == right).mean(axis=1) >= LEAST_AGREEMENT)
-        yield batch.select([0, 1]).take(pa.array(take))
+def _alike(x: str, y: str) -> str:
+    """Whether sizes and sketches of two rows allow the threshold, as a condition of a join."""
+    low = 0x5555555555555555
+    differing = " + ".join(f"bit_count((({x}.marks[{k}] ^ {y}.marks[{k}]) | shiftrightunsigned({x}.marks[{k}] ^ {y}.marks[{k}], 1)) & {low})" for k in range(BINS // 32))
+    ratio = f"{THRESHOLD[1]} * least({x}.n, {y}.n) >= {THRESHOLD[0]} * greatest({x}.n, {y}.n)"
+    return f"{x}.comp <> {y}.comp AND {ratio} AND {differing} <= {MOST_MISMATCHES}"
 
 
 def connected_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
@@ -193,16 +201,60 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(F.lit(THRESHOLD[1]) * inter >= F.lit(THRESHOLD[0]) * union).select("a", "b")
 
 
+def _block_links(left: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components inside the buckets of *facts*, compared block by block."""
+    outer = F.ceil((F.col("volume") - F.col("main.v")) / BLOCK).cast("int")
+    grid = facts.select("value", F.col("main.comp").alias("main"), F.greatest(outer, F.lit(1)).alias("outs"), F.ceil(F.col("volume") / BLOCK).cast("int").alias("alls"))
+    rows = left.select("value", "rep", "comp").join(grid, "value").join(sets, "rep")
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outsiders = rows.where("comp <> main").select("value", place("outs").alias("i"), numbers("alls").alias("j"), "rep", "comp", "shingles")
+    everyone = rows.select("value", numbers("outs").alias("i"), place("alls").alias("j"), "rep", "comp", "shingles")
+    keys = ["value", "i", "j"]
+    everyone = everyone.toDF(*everyone.columns)  # attributes of its own, as a cogroup needs
+    return outsiders.groupBy(*keys).cogroup(everyone.groupBy(*keys)).applyInArrow(_link_block, "a long, b long").distinct()
+
+
+def _link_block(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Linked pairs of different components between two tables of (rep, comp, shingles)."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    if left.num_rows and right.num_rows:
+        lists = right["shingles"].combine_chunks()
+        sizes = np.asarray(lists.value_lengths())
+        values = lists.flatten().to_numpy()
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+        reps, comps = right["rep"].to_numpy(), right["comp"].to_numpy()
+        for rep, comp, own in zip(left["rep"].to_pylist(), left["comp"].to_pylist(), left["shingles"].combine_chunks()):
+            own = own.values.to_numpy()
+            lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            inter = np.bincount(owner[at], minlength=len(sizes))
+            hit = np.flatnonzero((THRESHOLD[1] * inter >= THRESHOLD[0] * (len(own) + sizes - inter)) & (comps != comp))
+            if len(hit):
+                found.append((np.minimum(reps[hit], rep), np.maximum(reps[hit], rep)))
+    a, b = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _mixed(left: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members, with their components, of buckets that hold more than one component."""
+    placed = left.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    mixed = placed.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("value")
+    return stage(placed.join(mixed, "value", "left_semi"), "mixed")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of *docs* (``doc_id``, ``text``)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    done = stage(docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "sketches")
+    done = stage(docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, digest binary, bands array<long>, marks array<long>"), "sketches")
     some = done.where("digest is not null and doc_id is not null")
 
-    classes = stage(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    spread = classes.select("rep", F.posexplode("bands").alias("band", "value"))
-    shared = spread.groupBy("band", "value").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stage(spread.join(shared.select("band", "value", "least"), ["band", "value"]).select("value", "band", "rep", "least"), "members")
+    classes = stage(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.first("n_shingles").alias("n")), "classes")
+    spread = classes.select("rep", "n", "marks", F.explode("bands").alias("value"))
+    shared = spread.groupBy("value").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("value", "least")
+    members = stage(spread.join(shared, "value").select("value", "least", "rep", "n", "marks"), "members")
 
     wanted = members.select("rep").distinct()
     texts = docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep").dropDuplicates(["rep"])
@@ -211,19 +263,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # One link a member: to the least representative that any of its buckets shows.
     star = members.where("least < rep").groupBy("rep").agg(F.min("least").alias("a")).select("a", F.col("rep").alias("b"))
     links = stage(_verified(star, sets), "links")
-    comps = stage(connected_components(links), "components")
-
-    # What is left: pairs of one bucket in different components, compared where sketches allow it.
-    placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "value", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = placed.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    rest = stage(placed.join(mixed.select("band", "value"), ["band", "value"]), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")))
-    cross = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    marks = classes.select("rep", "sketch")
-    sketched = cross.join(marks.select(F.col("rep").alias("a"), F.col("sketch").alias("ma")), "a").join(marks.select(F.col("rep").alias("b"), F.col("sketch").alias("mb")), "b").select("a", "b", "ma", "mb")
-    more = _verified(sketched.mapInArrow(_agreeing, "a long, b long"), sets)
-
+    left = members.drop("least")
+    for r in range(STARS):
+        left = _mixed(left, connected_components(links))
+        centre = left.groupBy("value").agg(F.min_by(F.struct("rep", "n", "marks", "comp"), F.xxhash64(F.lit(r), "rep")).alias("y"))
+        pairs = left.alias("x").join(centre.alias("c"), F.expr("x.value = c.value AND " + _alike("x", "c.y")))
+        pairs = pairs.select(F.least("x.rep", "c.y.rep").alias("a"), F.greatest("x.rep", "c.y.rep").alias("b")).distinct()
+        links = links.unionByName(stage(_verified(pairs, sets), "links"))
+    left = _mixed(left, connected_components(links))
+    facts = left.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("v"))
+    facts = stage(facts.groupBy("value").agg(F.sum("c").alias("members"), F.sum("v").alias("volume"), F.max_by(F.struct("comp", "v"), "c").alias("main")), "buckets")
+    few = left.join(facts.where(F.col("members") <= FEW).select("value"), "value", "left_semi")
+    pairs = few.alias("x").join(few.alias("y"), F.expr("x.value = y.value AND x.rep < y.rep AND " + _alike("x", "y")))
+    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    more = stage(_verified(pairs, sets).unionByName(_block_links(left, facts.where(F.col("members") > FEW), sets)), "links")
     final = connected_components(links.unionByName(more))
     labels = classes.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = done.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")

@@ -79,3 +79,21 @@ def test_sketch_estimates_similarity():
         s = neardup.sketch(np.concatenate([u, kept]), np.array([n, len(kept)]))
         assert (s < np.iinfo(np.uint64).max).all()
         assert abs((s[0] == s[1]).mean() - len(kept) / n) < 0.2
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """Variants of one text, most of them too far from each other; blocks and enumeration find the same links."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(160):
+        text = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            text[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "STARS", 0)
+    monkeypatch.setattr(neardup, "FEW", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 3000)
+    got = neardup.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
