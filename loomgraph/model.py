@@ -89,8 +89,11 @@ def storable(nodes: DataFrame) -> DataFrame:
 
 
 def with_defaults(nodes: DataFrame) -> DataFrame:
-    """Write-time defaults of a node: count 1, confidence 0.5. Reads never replace nulls."""
-    return nodes.withColumns({"count": F.coalesce("count", F.lit(1)).cast("int"), "confidence": F.coalesce("confidence", F.lit(0.5))})
+    """The columns of a stored node with write-time defaults: count 1, confidence 0.5. Reads never replace nulls."""
+    have = set(nodes.columns)
+    defaults = {"count": F.lit(1), "confidence": F.lit(0.5)}
+    column = lambda f: F.coalesce(F.col(f.name) if f.name in have else F.lit(None), defaults.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
+    return nodes.select(*[column(f) for f in NODE], *[c for c in nodes.columns if c not in NODE.names])
 
 
 @dataclass(frozen=True)

@@ -167,8 +167,8 @@ def known_neighbours(outline: DataFrame) -> DataFrame:
 def fill_missing(outline: DataFrame, pages: DataFrame) -> DataFrame:
     """Entries without a page get the first page between their neighbours that holds their title."""
     gaps = known_neighbours(outline).where("physical_index IS NULL")
-    hit = gaps.alias("g").join(pages.alias("p"), (F.col("g.doc_id") == F.col("p.doc_id")) & (F.col("page") >= F.coalesce("page_before", F.lit(1))) & (F.col("page") <= F.coalesce("page_after", F.lit(1 << 30))) & F.col("p.text").contains(F.col("g.title")))
-    found = hit.groupBy(F.col("g.doc_id").alias("doc_id"), F.col("g.ord").alias("ord")).agg(F.min("page").alias("__page"))
+    hit = gaps.alias("g").join(pages.alias("p"), (F.col("g.doc_id") == F.col("p.doc_id")) & (F.col("p.page") >= F.coalesce("page_before", F.lit(1))) & (F.col("p.page") <= F.coalesce("page_after", F.lit(1 << 30))) & F.col("p.text").contains(F.col("g.title")))
+    found = hit.groupBy(F.col("g.doc_id").alias("doc_id"), F.col("g.ord").alias("ord")).agg(F.min("p.page").alias("__page"))
     return outline.join(found, ["doc_id", "ord"], "left").withColumn("physical_index", F.coalesce("physical_index", "__page")).drop("__page")
 
 
