@@ -28,6 +28,8 @@ from .toxicity import logistic
 LABELLED, POOL = 12_000, 12_000
 ROUNDS, SURE, PER_ROUND = 4, 0.97, 300
 CONTENT, METADATA = 16, 53
+#: Words by which shares of repeated words are drawn to 0, so that a few words say little.
+FEW = 10
 _SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:!?'\"()-")
 _SOURCES, _LANGS = 32, 16
 
@@ -52,11 +54,11 @@ def content(text: str | None) -> list[float]:
     return [
         1.0,
         min(1.0, np.log1p(n) / 10),
-        distinct / n,
-        len(np.unique(pair)) / max(1, n - 1),
-        len(np.unique(triple)) / max(1, n - 2),
-        float((codes[1:] == codes[:-1]).mean()) if n > 1 else 0.0,
-        counts.max() / n,
+        (n - distinct) / (n + FEW),
+        (len(pair) - len(np.unique(pair))) / (n + FEW),
+        (len(triple) - len(np.unique(triple))) / (n + FEW),
+        float((codes[1:] == codes[:-1]).sum()) / (n + FEW),
+        float(counts.max() - 1) / (n + FEW),
         min(2.0, letters / n / 10),
         (size - len(raw.translate(None, _SYMBOLS))) / letters,
         (size - len(raw.translate(None, b"!?"))) / letters,
@@ -111,7 +113,7 @@ class View:
         self.x, self.w, self.curve = x, np.zeros(x.shape[1] + 1), np.array([1.0, 0.0])
 
     def fit(self, rows: np.ndarray, y: np.ndarray) -> None:
-        self.w = logistic(self.x[rows], y, penalty=1.0)
+        self.w = logistic(self.x[rows], y, penalty=0.1)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(x @ self.w[:-1] + self.w[-1], -30, 30)
