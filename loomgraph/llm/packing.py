@@ -19,52 +19,74 @@ row by row; ties in length are taken in input order; an empty table gives no row
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_characters
+
 WINDOW, LEAST_TIER, END_ID = 4096, 512, 2
 #: Tokens of a pool, and tokens of a step group.
 POOL, STEP = 1 << 21, 1 << 16
 #: Pieces of text whose ids a worker remembers before it starts afresh.
-MEMORY = 300_000
+MEMORY = 800_000
 
 
-class WordTokenizer:
+class WordTokenizer(dict):
     """Ids of whole texts by a tokenizer that drops white space, from the ids of their blank-free runs.
 
-    Its normalizer composes, folds white space and lower-cases characters one by one, and its
-    splitter never joins characters across white space, so a text's ids are those of its runs.
+    Its normalizer composes, folds white space and lower-cases characters one by one, and its splitter never joins
+    characters across white space, so a text's ids are those of its runs. The mapping holds the runs met so far with their ids as bytes; a
+    new run of printable characters below U+0250 is split as the tokenizer's own splitter does it, and only its pieces go through the
+    merges; any other goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, list[int]] = {}
-        self.split = re.compile(r"[ \t\n\r]+").split
+        self.tokenize = self.model.model.tokenize
+        self.slow_split = re.compile(r"[ \t\n\r]+").split
+        self.odd = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.map = dict(enumerate(byte_characters()))
 
     def encode(self, text: str) -> np.ndarray:
-        runs = self.split(text)
-        known = self.known
-        new = list({r for r in runs if r not in known})
-        if new:
-            if len(known) > MEMORY:
-                known.clear()
-                new = list(set(runs))
-            for run, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-                known[run] = e.ids
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, runs)), np.uint32)
+        # ``str.split`` knows more white space than the tokenizer's; it serves where the text has none of that.
+        runs = self.slow_split(text) if self.odd(text) else text.split()
+        return np.frombuffer(b"".join(map(self.__getitem__, runs)), np.uint32)
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) > MEMORY:
+            self.clear()
+        if run.isalpha() and (run.isascii() or max(run) < "\u0250" and "\u0130" not in run):
+            low = run.lower()
+            ids = self._merged(low) if low == run else self[low]
+        elif run.isprintable() and (run.isascii() or max(run) < "\u0250" and "\u0130" not in run):
+            parts = self.parts(run.lower())
+            ids = self._merged(parts[0]) if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
+        else:
+            ids = np.array(self.model.encode(run, add_special_tokens=False).ids, np.uint32).tobytes()
+        self[run] = ids
+        return ids
+
+    def _merged(self, piece: str) -> bytes:
+        """A piece straight to the merges, its bytes spelled as the tokenizer spells them."""
+        raw = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.map)
+        return array("I", [t.id for t in self.tokenize(raw)]).tobytes()
 
 
 @lru_cache(maxsize=2)
