@@ -41,7 +41,7 @@ BINS = ROWS * BANDS
 #: Sketch bins, of which two bits are kept, that a pair at the threshold may differ in.
 MOST_MISMATCHES = 50
 #: Rounds of stars after the first; members of a bucket whose pairs are enumerated; shingles in a side of a block.
-STARS, FEW, BLOCK = 2, 32, 1 << 19
+STARS, FEW, BLOCK = 1, 32, 1 << 19
 THRESHOLD = (75, 100)
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -178,7 +178,6 @@ def connected_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         e = stage(small.where("a <> b").distinct(), "edges")
