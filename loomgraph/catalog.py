@@ -190,3 +190,15 @@ def summary(catalog: Catalog, name: str, description: str = "", domain: str = ""
     node = F.struct("table_name", F.lpad(F.col("n").cast("string"), 8, "0").alias("node_id"), F.col("business_description").alias("summary"), "entity_type", "keys")
     doc = listed.agg(F.sort_array(F.collect_list(node)).alias("structure"), F.count(F.lit(1)).alias("table_count"))
     return doc.select(F.to_json(F.struct(F.lit(name).alias("db_name"), F.lit(description).alias("db_description"), F.lit(domain).alias("business_domain"), "table_count", "structure")).alias("document"))
+
+
+def save(catalog: Catalog, path: str) -> None:
+    """All four frames under *path*; keys without all their parts are left out."""
+    whole = catalog.foreign.where("column_name IS NOT NULL AND referenced_table IS NOT NULL AND referenced_column IS NOT NULL")
+    frames = {"tables": catalog.tables, "columns": catalog.columns, "foreign": whole, "inferred": catalog.inferred}
+    for name, df in frames.items():
+        df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> Catalog:
+    return Catalog(*[spark.read.parquet(f"{path}/{name}") for name in ("tables", "columns", "foreign", "inferred")])

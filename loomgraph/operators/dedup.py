@@ -60,3 +60,13 @@ def mode_offset(df: DataFrame, a: str, b: str, order: str) -> DataFrame:
     """The most frequent b - a; ties go to the one seen first."""
     counted = df.groupBy((F.col(b) - F.col(a)).alias("offset")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("seen"))
     return counted.orderBy(F.desc("n"), "seen").limit(1).select("offset")
+
+
+def dedup_links(links: DataFrame, order: str) -> DataFrame:
+    """First link of each (src, dst, type)."""
+    return first_per(links, ["src", "dst", "type"], order)
+
+
+def sample_rows(df: DataFrame, n: int, *key: str, seed: int = 42) -> DataFrame:
+    """*n* rows drawn by a seeded hash of *key*: the same ones in every run."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)

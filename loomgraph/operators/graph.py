@@ -164,3 +164,31 @@ def cross_if_small(a: DataFrame, b: DataFrame, most: int = 50) -> DataFrame:
     n = a.limit(most + 1).count() * b.limit(most + 1).count()
     pairs = a.limit(most + 1).crossJoin(b.limit(most + 1))
     return pairs if n <= most else pairs.limit(0)
+
+
+def list_relationships(edges: DataFrame, nodes: DataFrame, limit: int = 100) -> DataFrame:
+    return with_ends(edges, nodes, "type").orderBy("relationship_id").limit(limit)
+
+
+def links_for_display(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, type) with node ids: an end is an id, else a name, else unknown; links with an unknown end go."""
+    out = edges
+    for end in ("source", "target"):
+        by_id = nodes.select(F.col("id").alias(f"__i_{end}"))
+        by_name = nodes.groupBy(F.col("name").alias(f"__n_{end}")).agg(F.min("id").alias(f"__v_{end}"))
+        out = out.join(by_id, F.col(end) == F.col(f"__i_{end}"), "left").join(by_name, F.col(end) == F.col(f"__n_{end}"), "left")
+        out = out.withColumn(f"{end}_id", F.coalesce(f"__i_{end}", f"__v_{end}")).drop(f"__i_{end}", f"__n_{end}", f"__v_{end}")
+    return out.where("source_id IS NOT NULL AND target_id IS NOT NULL").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "type")
+
+
+def related(edges: DataFrame, nodes: DataFrame, entity: str) -> DataFrame:
+    """Neighbours of one node, given by id or name: (id, name, predicate, direction)."""
+    me = nodes.where((F.col("id") == entity) | (F.col("name") == entity)).select(F.col("id").alias("me"))
+    out = edges.join(me, F.col("subject_id") == F.col("me")).select(F.col("object_id").alias("id"), "predicate", F.lit("outgoing").alias("direction"))
+    into = edges.join(me, F.col("object_id") == F.col("me")).where("subject_id <> object_id").select(F.col("subject_id").alias("id"), "predicate", F.lit("incoming").alias("direction"))
+    return out.unionByName(into).join(nodes.select("id", "name"), "id").select("id", "name", "predicate", "direction")
+
+
+def count_having(nodes: DataFrame, edges: DataFrame, least: int) -> DataFrame:
+    """Nodes with at least *least* edges, and how many."""
+    return nodes.join(degrees(nodes, edges).where(F.col("degree") >= least), "id")

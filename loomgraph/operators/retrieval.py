@@ -55,6 +55,32 @@ def full_text(nodes: DataFrame, query: str, limit: int = 10, prefixes: list[str]
     return plain.withColumns({"score": F.lit(None).cast("double"), "similarity": F.lit(None).cast("double")}).orderBy("id").limit(limit)
 
 
+def full_text_page(nodes: DataFrame, query: str, limit: int = 10, offset: int = 0, kind: str | None = None) -> tuple[DataFrame, int]:
+    """One page of full-text hits and their number; where nothing matches, of nodes that contain the text in any case."""
+    rows = nodes.where(F.col("type") == kind) if kind else nodes
+    found = full_text(rows, query, 1 << 30).where("score IS NOT NULL")
+    total = found.count()
+    if not total:
+        low = query.lower()
+        hit = [F.coalesce(F.lower(c).contains(low), F.lit(False)) for c in ("name", "description", "datasource")]
+        found = rows.where(hit[0] | hit[1] | hit[2]).withColumn("score", F.lit(0.0))
+        total = found.count()
+    return found.orderBy(F.desc("score"), "id").offset(offset).limit(limit), total
+
+
+def expand_cascade(nodes: DataFrame, edges: DataFrame, names: DataFrame, limit: int = 30) -> DataFrame:
+    """Relations of each name: of the node of that name, else of nodes whose name it begins, else of its table (what comes before a colon)."""
+    keyed = names.select("name").distinct().withColumn("__t", F.regexp_extract("name", r"^([^:]+):", 1))
+    exact = keyed.join(nodes.select("name"), "name", "left_semi").select("name", F.col("name").alias("node"))
+    rest = keyed.join(exact.select("name"), "name", "left_anti")
+    begun = rest.join(nodes.select(F.col("name").alias("node")), F.startswith(F.col("node"), F.col("name"))).select("name", "node")
+    last = rest.join(begun.select("name"), "name", "left_anti").where("__t <> ''").join(nodes.select(F.col("name").alias("node")), F.startswith(F.col("node"), F.concat("__t", F.lit(":")))).select("name", "node")
+    chosen = exact.unionByName(begun).unionByName(last)
+    ways = both_ways(edges.select("subject", "object", "predicate", "relationship_id"))
+    hit = ways.join(chosen, F.col("subject") == F.col("node")).select("name", F.col("subject").alias("source"), F.col("object").alias("target"), "predicate", "relationship_id")
+    return top_per(hit, ["name"], limit, F.asc("relationship_id"), F.asc("source"))
+
+
 def expand_keywords(entities: list[str], words: list[str], questions: list[str], least: int = 2) -> list[str]:
     return list(dict.fromkeys([*entities, *words, *(q for q in questions if len(q) > least)]))
 

@@ -75,6 +75,23 @@ def save_all(entities: DataFrame, relations: DataFrame, datasource: str) -> tupl
     return model.with_defaults(nodes), edges
 
 
+def save_entities_only(entities: DataFrame, datasource: str) -> DataFrame:
+    """Nodes of one batch without relations."""
+    return model.with_defaults(unique_nodes(entities.withColumn("datasource", F.lit(datasource))))
+
+
+def save_edges_only(relations: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges whose ends exist, and the relations that wait for an end, with empty text for the missing ids."""
+    found = resolve(relations, nodes)
+    waiting = found.where("subject_id IS NULL OR object_id IS NULL").na.fill("", ["subject_id", "object_id"])
+    return edges_of(found).dropDuplicates(["relationship_id"]), waiting
+
+
+def upsert_edges_by_name(edges: DataFrame, nodes: DataFrame, relations: DataFrame) -> DataFrame:
+    """Edges with (s, p, o) relations put over them; names must match exactly, a relation with a missing end writes nothing."""
+    return merge(edges, edges_of(resolve(relations, nodes, fold_case=False)).dropDuplicates(["relationship_id"]), "relationship_id")
+
+
 def attached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both of whose ends exist."""
     ids = nodes.select("id")

@@ -199,9 +199,9 @@ def accuracy(checked: DataFrame) -> DataFrame:
 
 def node_text(nodes: DataFrame, pages: DataFrame, labels: bool = False) -> DataFrame:
     """Nodes with the joined texts of their pages."""
-    body = F.concat(fn.page_tag("page"), F.lit("\n"), F.col("p.text"), F.lit("\n"), fn.page_tag("page")) if labels else F.col("p.text")
-    hit = nodes.alias("n").join(pages.alias("p"), (F.col("n.doc_id") == F.col("p.doc_id")) & F.col("page").between(F.col("start_index"), F.col("end_index")))
-    joined = hit.groupBy(F.col("n.doc_id").alias("doc_id"), "ord").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", body.alias("t")))), lambda x: x.t), "").alias("text"))
+    body = F.concat(fn.page_tag("p.page"), F.lit("\n"), F.col("p.text"), F.lit("\n"), fn.page_tag("p.page")) if labels else F.col("p.text")
+    hit = nodes.alias("n").join(pages.alias("p"), (F.col("n.doc_id") == F.col("p.doc_id")) & F.col("p.page").between(F.col("start_index"), F.col("end_index")))
+    joined = hit.groupBy(F.col("n.doc_id").alias("doc_id"), "ord").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("p.page").alias("page"), body.alias("t")))), lambda x: x.t), "").alias("text"))
     return nodes.drop("text").join(joined, ["doc_id", "ord"], "left")
 
 
@@ -235,3 +235,83 @@ def merged_segments(segs: DataFrame, least: int = 1000, most: int = 20_000) -> D
         return pd.DataFrame([(f.doc_id.iloc[0], i, t, s) for i, (t, s) in enumerate(out)], columns=["doc_id", "part", "title", "text"])
 
     return segs.groupBy("doc_id").applyInPandas(run, "doc_id long, part int, title string, text string")
+
+
+# Contents pages and outlines by a model. A model is a callable on columns; the defaults need none.
+
+TOC_LINE = r"^\s*((?:\d+\.)*\d+)\.?\s+(.*?)(?:\s*:\s*|\s+)(\d+)\s*$"
+
+
+def toc_text(pages: DataFrame, toc: DataFrame) -> DataFrame:
+    """(doc_id, text, has_pages): the contents pages joined, leader dots as colons, and whether lines end in page numbers."""
+    hit = pages.join(toc, ["doc_id", "page"], "left_semi")
+    joined = hit.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda x: x.text), "\n").alias("t"))
+    return joined.select("doc_id", fn.leader_dots("t").alias("text")).withColumn("has_pages", F.col("text").rlike(r"(?m)\d+\s*$"))
+
+
+def toc_entries(toc: DataFrame) -> DataFrame:
+    """(doc_id, ord, structure, title, page) of contents text, a line an entry: number, title, page."""
+    lines = toc.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line")).where(F.col("line").rlike(TOC_LINE))
+    part = lambda k: F.regexp_extract("line", TOC_LINE, k)
+    return lines.select("doc_id", (F.col("ord") + 1).alias("ord"), part(1).alias("structure"), F.trim(part(2)).alias("title"), part(3).try_cast("int").alias("page"))
+
+
+def outline_of_pages(pages: DataFrame) -> DataFrame:
+    """An outline without contents pages: page lines that start with a dotted number and are short."""
+    lines = pages.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(r"^\s*(?:\d+\.)*\d+\.?\s+\S") & (F.length("line") <= 120))
+    ordered = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "at"))
+    code = F.regexp_extract("line", r"^\s*((?:\d+\.)*\d+)\.?\s", 1)
+    return lines.select("doc_id", ordered.alias("ord"), code.alias("structure"), F.trim(F.regexp_replace("line", r"^\s*(?:\d+\.)*\d+\.?\s+", "")).alias("title"), F.col("page").alias("physical_index"))
+
+
+def locate(entries: DataFrame, pages: DataFrame, after: DataFrame) -> DataFrame:
+    """Entries with the first page past the contents pages that holds their title; null if none does."""
+    last = after.groupBy("doc_id").agg(F.max("page").alias("__toc"))
+    hit = entries.alias("e").join(last.alias("l"), "doc_id", "left").join(pages.alias("p"), (F.col("e.doc_id") == F.col("p.doc_id")) & (F.col("p.page") > F.coalesce("l.__toc", F.lit(0))) & F.col("p.text").contains(F.col("e.title")))
+    found = hit.groupBy(F.col("e.doc_id").alias("doc_id"), F.col("e.ord").alias("ord")).agg(F.min("p.page").alias("physical_index"))
+    return entries.join(found, ["doc_id", "ord"], "left")
+
+
+def checked(outline: DataFrame, pages: DataFrame) -> DataFrame:
+    """``correct``: whether the page of an entry holds its title."""
+    here = pages.select("doc_id", F.col("page").alias("physical_index"), F.col("text").alias("__t"))
+    return outline.join(here, ["doc_id", "physical_index"], "left").withColumn("correct", F.coalesce(F.col("__t").contains(F.col("title")), F.lit(False))).drop("__t")
+
+
+def repaired(outline: DataFrame, pages: DataFrame) -> DataFrame:
+    """Wrong pages are dropped and looked for again between their neighbours."""
+    bad = checked(outline, pages)
+    return fill_missing(bad.withColumn("physical_index", F.when(F.col("correct"), F.col("physical_index"))).drop("correct"), pages)
+
+
+def paged_tree(pages: DataFrame, is_toc: Column) -> DataFrame:
+    """From pages (doc_id, page, text) to nested sections: by contents pages where a document has them, else by numbered lines."""
+    toc = toc_pages(pages, is_toc)
+    entries = toc_entries(toc_text(pages, toc))
+    found = locate(entries, pages, toc)
+    placed = apply_offset(entries, page_offset(entries, found))
+    direct = outline_of_pages(pages.join(entries.select("doc_id").distinct(), "doc_id", "left_anti"))
+    rows = placed.select("doc_id", "ord", "structure", "title", "physical_index").unionByName(direct.select("doc_id", "ord", "structure", "title", "physical_index"))
+    rows = fill_missing(in_range(rows, pages), pages).where("physical_index IS NOT NULL")
+    return node_text(nest(sections(with_preface(title_opens_page(rows, pages)), pages)), pages)
+
+
+def markdown_tree(docs: DataFrame, least_tokens: int | None = None, text: str = "text") -> DataFrame:
+    """Markdown documents to summarised nodes, small subtrees merged where asked for."""
+    nodes = markdown_nodes(docs, text)
+    return summaries(thin(nodes, least_tokens) if least_tokens else nodes)
+
+
+def project(nodes: DataFrame, drop: tuple[str, ...] = (), first: tuple[str, ...] = ("doc_id", "node_id", "title")) -> DataFrame:
+    """Nodes without some fields, the named ones first."""
+    left = [c for c in nodes.columns if c not in drop]
+    return nodes.select(*[c for c in first if c in left], *[c for c in left if c not in first])
+
+
+def over_limit(nodes: DataFrame, most: int = 110_000) -> DataFrame:
+    return nodes.where(fn.tokens("text") > most)
+
+
+def write_trees(nodes: DataFrame, path: str) -> None:
+    """One JSON line a document, in a folder for each."""
+    tree_json(nodes).write.mode("overwrite").partitionBy("doc_id").text(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import catalog, model
@@ -605,3 +605,263 @@ def extract_offline(spark, sf):
     docs = sample.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("part"), "text")
     entities, _ = extraction.distinct_results(extraction.extract_segments(docs))
     return entities.select("n", "t", "c")
+
+
+# Further operators of the inventory, by their keys there.
+@query(f"WITH {CORE} SELECT id AS entity_id, id, name, type, datasource FROM nodes WHERE name = 'nation:3'")
+def pred_eq(spark, sf):
+    nodes, _ = sample.core(spark, sf)
+    return nodes.where("name = 'nation:3'").select(F.col("id").alias("entity_id"), "id", "name", "type", "datasource")
+
+
+@query("SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END, ''), 'Entity') AS type FROM documents")
+def expr_coalesce_labels(spark, sf):
+    rows = sample.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("type"))
+    return graph.scan_nodes(rows)
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 OR lang <> 'en'")
+def pred_not_time(spark, sf):
+    docs = sample.table(spark, sf, "documents")
+    kind = F.when((F.col("doc_id") % 4 == 0) & (F.col("lang") == "en"), "time").when(F.col("doc_id") % 5 == 0, None).otherwise(F.col("lang"))
+    return model.storable(docs.select("doc_id", kind.alias("type"))).select("doc_id")
+
+
+@query(f"WITH {CORE} SELECT name, degree FROM nodes JOIN degree USING (id) WHERE degree >= 20")
+def pred_having(spark, sf):
+    return graph.count_having(*sample.core(spark, sf), 20).select("name", "degree")
+
+
+@query(f"WITH {CORE} SELECT n.type AS type, count(*) AS n FROM edges JOIN nodes n ON n.id = object_id GROUP BY 1")
+def join_edge_endpoints(spark, sf):
+    nodes, edges = sample.core(spark, sf)
+    ends = graph.with_ends(edges.drop("subject", "object"), nodes, "type")
+    return ends.groupBy(F.col("object_type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {CORE} SELECT relationship_id, subject, object FROM edges ORDER BY 1 LIMIT 100")
+def list_rels(spark, sf):
+    nodes, edges = sample.core(spark, sf)
+    return graph.list_relationships(edges.drop("subject", "object"), nodes).select("relationship_id", "subject", "object")
+
+
+@query(f"WITH {CORE} SELECT object AS name, 'outgoing' AS direction FROM edges WHERE subject = 'nation:3' UNION ALL SELECT subject, 'incoming' FROM edges WHERE object = 'nation:3'")
+def join_related_panel(spark, sf):
+    nodes, edges = sample.core(spark, sf)
+    return graph.related(edges, nodes, "nation:3").select("name", "direction")
+
+
+@query("SELECT md5(n_name) AS src, md5(r_name) AS dst, 'in' AS type FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0")
+def join_ui_endpoint(spark, sf):
+    """Ends given by id or by name; those of odd nations are unknown."""
+    nation, region = sample.table(spark, sf, "nation"), sample.table(spark, sf, "region")
+    nodes = nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name")).unionByName(region.select(F.col("r_name").alias("name"))).withColumn("id", model.entity_id("name"))
+    links = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.when(F.col("n_nationkey") % 4 == 0, model.entity_id("n_name")).otherwise(F.col("n_name")).alias("source"), F.col("r_name").alias("target"), F.lit("in").alias("type"))
+    return graph.links_for_display(links, nodes)
+
+
+@query(f"WITH {CORE} SELECT relationship_id FROM edges WHERE starts_with(subject, 'supplier') OR starts_with(object, 'supplier')")
+def join_source_rels(spark, sf):
+    nodes, edges = sample.core(spark, sf)
+    return graph.of_document(nodes, edges, f"{sample.DATASOURCE}/supplier").select("relationship_id")
+
+
+@query("SELECT lang AS n, source AS t, min(doc_id) AS seq FROM documents GROUP BY 1, 2")
+def dedup_entities(spark, sf):
+    rows = sample.table(spark, sf, "documents").select(F.col("lang").alias("n"), F.col("source").alias("t"), F.col("doc_id").alias("seq"))
+    return dedup.dedup_entities(rows)
+
+
+@query("SELECT role AS s, CASE WHEN turn % 2 = 0 THEN 'even' ELSE 'odd' END AS p, CAST(conv_id % 5 AS VARCHAR) AS o, min(conv_id * 100 + turn) AS seq FROM conversations GROUP BY 1, 2, 3")
+def dedup_edges_spo(spark, sf):
+    rows = sample.table(spark, sf, "conversations").select(F.col("role").alias("s"), F.when(F.col("turn") % 2 == 0, "even").otherwise("odd").alias("p"), (F.col("conv_id") % 5).cast("string").alias("o"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"))
+    return dedup.dedup_triples(rows)
+
+
+@query("SELECT o_orderstatus AS src, o_orderpriority AS dst, CAST(o_custkey % 3 AS VARCHAR) AS type, min(o_orderkey) AS k FROM orders GROUP BY 1, 2, 3")
+def dedup_links_ui(spark, sf):
+    rows = sample.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("src"), F.col("o_orderpriority").alias("dst"), (F.col("o_custkey") % 3).cast("string").alias("type"), F.col("o_orderkey").alias("k"))
+    return dedup.dedup_links(rows, "k")
+
+
+@query("SELECT min(event_id) AS event_id FROM events WHERE event_id % 10 <> 0 GROUP BY user_id UNION ALL SELECT event_id FROM events WHERE event_id % 10 = 0")
+def dedup_rel_id(spark, sf):
+    rows = sample.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 10 != 0, F.col("user_id").cast("string")).alias("relationship_id"))
+    return dedup.dedup_relations(rows, "event_id").select("event_id")
+
+
+@query("SELECT arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, o_custkey FROM orders GROUP BY o_custkey")
+def agg_last_wins(spark, sf):
+    return dedup.last_per(sample.table(spark, sf, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT d AS \"offset\" FROM (SELECT p_size - p_partkey % 5 AS d, count(*) AS n, min(p_partkey) AS s FROM part GROUP BY 1) ORDER BY n DESC, s LIMIT 1")
+def agg_mode_offset(spark, sf):
+    rows = sample.table(spark, sf, "part").withColumn("m", F.col("p_partkey") % 5)
+    return dedup.mode_offset(rows, "m", "p_size", "p_partkey")
+
+
+@query("SELECT n_name AS name, n_regionkey FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC) AS r FROM nation) WHERE r <= 3")
+def topk_per_group(spark, sf):
+    return dedup.top_per(sample.table(spark, sf, "nation"), ["n_regionkey"], 3, F.desc("n_name")).select(F.col("n_name").alias("name"), "n_regionkey")
+
+
+@query()
+def sample_random_n(spark, sf):
+    return dedup.sample_rows(sample.table(spark, sf, "documents").select("doc_id", "lang"), 25, "doc_id")
+
+
+@query(f"""WITH {TRADE}, s AS (SELECT 'degree' AS measure, n_name AS name, coalesce(d, 0) / 24.0 AS score FROM nation LEFT JOIN (SELECT name, count(*) AS d FROM (SELECT src AS name FROM strong UNION ALL SELECT dst FROM strong) GROUP BY name) ON name = n_name)
+SELECT measure, name, round(score, 8) AS score FROM s ORDER BY s.score DESC, name LIMIT 10""")
+def topk_centrality(spark, sf):
+    scores = centrality.table(*sample.strong_trade(spark, sf), ["degree"])
+    return centrality.top(scores).select("measure", "name", F.round("score", 8).alias("score"))
+
+
+@query("SELECT count(*) AS partitions, CAST(avg(n) AS DOUBLE) AS mean_size, max(n) AS largest, min(n) AS smallest FROM (SELECT count(*) AS n FROM nation GROUP BY n_regionkey)")
+def agg_partition_stats(spark, sf):
+    nodes, edges = sample.trade(spark, sf)
+    return community.partition_stats(community.undirected(edges), _regions(nodes)).drop("modularity")
+
+
+@query("SELECT CAST(n_regionkey AS BIGINT) AS partition_id, count(*) AS size FROM nation WHERE n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 7) GROUP BY 1")
+def partition_of(spark, sf):
+    nodes, _ = sample.trade(spark, sf)
+    name = sample.table(spark, sf, "nation").where("n_nationkey = 7").first().n_name
+    return community.partition_of(_regions(nodes), name)
+
+
+@query(f"WITH {TRADE} SELECT src, dst, round(strength, 10) AS strength FROM trade")
+def g_build(spark, sf):
+    """Parallel edges collapse to the last one by id."""
+    _, edges = sample.trade(spark, sf)
+    twice = edges.withColumn("relationship_id", F.lit("b")).unionByName(edges.withColumns({"relationship_id": F.lit("a"), "strength": F.lit(0.0)}))
+    return paths.build(twice).select("src", "dst", F.round("strength", 10).alias("strength"))
+
+
+@query(f"""WITH {TRADE}, st AS (SELECT src, list(dst ORDER BY dst) AS o FROM strong GROUP BY src) SELECT a.src || '>' || a.dst || '>' || b.dst AS path FROM strong a JOIN strong b ON a.dst = b.src""")
+def match_two_hops(spark, sf):
+    from .query import match
+
+    _, edges = sample.strong_trade(spark, sf)
+    e = edges.select(F.col("src").alias("subject"), F.lit("trades").alias("predicate"), F.col("dst").alias("object"))
+    return match(e, 2).select(F.concat_ws(">", "n0", "n1", "n2").alias("path"))
+
+
+@query(f"WITH {CORE} SELECT md5(lower(s)) AS k FROM (SELECT name AS s FROM nodes WHERE type = 'location') WHERE s LIKE 'nation%'")
+def save_edges_only(spark, sf):
+    """Nation to itself by upper-cased names; relations of parts wait."""
+    nodes, _ = sample.core(spark, sf)
+    places = nodes.where("type = 'location'")
+    rels = nodes.where("name LIKE 'nation%' OR name LIKE 'part:1%'").select(F.upper("name").alias("s"), F.lit("same as").alias("p"), F.col("name").alias("o"))
+    return store.save_edges_only(rels, places)[0].select(F.col("subject_id").alias("k"))
+
+
+@query("SELECT 'nation:' || n_nationkey AS name, n_name AS description FROM nation")
+def upsert_entity(spark, sf):
+    """An upsert overwrites all properties of the rows it names."""
+    rows = sample.table(spark, sf, "nation")
+    name = F.concat(F.lit("nation:"), "n_nationkey")
+    old = rows.select(model.entity_id(name).alias("id"), name.alias("name"), F.lit("old").alias("description"))
+    return store.merge(old, rows.select(model.entity_id(name).alias("id"), name.alias("name"), F.col("n_name").alias("description")), "id").drop("id")
+
+
+@query("SELECT r_name, CASE WHEN r_regionkey = 2 THEN 'seen' ELSE 'new' END AS state FROM region")
+def update_entity(spark, sf):
+    rows = sample.table(spark, sf, "region").select(F.col("r_regionkey").cast("string").alias("id"), "r_name", F.lit("new").alias("state"))
+    return store.update_entity(rows, "2", {"state": "seen"}).drop("id")
+
+
+@query(f"WITH {CORE} SELECT id FROM nodes WHERE name <> 'nation:3'")
+def delete_entity(spark, sf):
+    nodes, edges = sample.core(spark, sf)
+    return store.detach_delete(nodes, edges, nodes.where("name = 'nation:3'"))[0].select("id")
+
+
+@query("SELECT CASE WHEN r_regionkey = 0 THEN 'repeated name' ELSE 'type is not stored' END AS reason, CASE WHEN r_regionkey = 0 THEN (SELECT count(*) - count(DISTINCT n_regionkey) FROM nation WHERE n_nationkey % 2 = 0) ELSE (SELECT count(*) FROM nation WHERE n_nationkey % 2 = 1) END AS count FROM region WHERE r_regionkey < 2")
+def batch_rejects(spark, sf):
+    rows = sample.table(spark, sf, "nation").select(F.col("n_regionkey").cast("string").alias("name"), F.when(F.col("n_nationkey") % 2 == 1, "time").otherwise("place").alias("type"))
+    return store.rejected(rows)
+
+
+@query("SELECT name FROM (SELECT 'database_' || r_regionkey AS name FROM region UNION ALL SELECT 'app')")
+def list_databases(spark, sf):
+    own = sample.table(spark, sf, "region").select(F.concat(F.lit("database_"), "r_regionkey").alias("name"))
+    return catalog.user_databases(own.unionByName(spark.createDataFrame([("app",), ("mysql",), ("sys",)], "name string")), "mysql")
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS id, r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 10) AS has_schema FROM region")
+def conn_list(spark, sf):
+    conns = sample.table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("id"))
+    tables = sample.table(spark, sf, "nation").where("n_nationkey < 10").select(F.col("n_regionkey").cast("long").alias("connection_id"))
+    return catalog.with_schema_flag(conns, tables)
+
+
+@query("SELECT * FROM (VALUES ('nation', 'n_regionkey', 0), ('customer', 'c_nationkey', 0), ('supplier', 's_nationkey', 0), ('orders', 'o_custkey', 0)) t(table_name, column_name, lane)")
+def win_lane_index(spark, sf):
+    return catalog.lanes(_catalog(spark, sf).foreign).select("table_name", "column_name", "lane")
+
+
+# Paged documents: a conversation's turns as pages, its user turns as sections.
+def _paged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    turns = sample.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.dense_rank().over(Window.partitionBy("conv_id").orderBy("turn")).alias("page"), "role", "text")
+    entries = turns.where("role = 'user'").withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("page")))
+    outline = entries.select("doc_id", "ord", F.col("ord").cast("string").alias("structure"), F.substring("text", 1, 10).alias("title"), F.col("page").alias("physical_index"), F.lit("yes").alias("appear_start"))
+    return outline, turns.select("doc_id", "page", "text")
+
+
+_PAGED = """p AS (SELECT conv_id AS doc_id, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) AS page, role, text FROM conversations),
+o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS ord, page FROM p WHERE role = 'user'), l AS (SELECT doc_id, max(page) AS last FROM p GROUP BY 1),
+s AS (SELECT o.doc_id, ord, page AS start_index, greatest(coalesce(lead(page) OVER (PARTITION BY o.doc_id ORDER BY ord) - 1, last), page) AS end_index FROM o JOIN l ON o.doc_id = l.doc_id)"""
+
+
+@query(f"WITH {_PAGED} SELECT doc_id, CAST(ord AS INTEGER) AS ord, CAST(start_index AS INTEGER) AS start_index, CAST(end_index AS INTEGER) AS end_index FROM s")
+def win_end_index(spark, sf):
+    return documents.sections(*_paged(spark, sf)).select("doc_id", "ord", "start_index", "end_index")
+
+
+@query(f"WITH {_PAGED} SELECT s.doc_id, CAST(s.ord AS INTEGER) AS ord, md5(string_agg(text, '' ORDER BY page)) AS hash FROM s JOIN p ON s.doc_id = p.doc_id AND page BETWEEN start_index AND end_index GROUP BY 1, 2")
+def node_text(spark, sf):
+    outline, pages = _paged(spark, sf)
+    return documents.node_text(documents.sections(outline, pages), pages).select("doc_id", "ord", F.md5(F.col("text").cast("binary")).alias("hash"))
+
+
+@query(f"WITH {_PAGED} SELECT doc_id, min(page) > 1 AS preface FROM o GROUP BY 1")
+def pdf_preface(spark, sf):
+    outline, _ = _paged(spark, sf)
+    return documents.with_preface(outline).groupBy("doc_id").agg(F.bool_or(F.col("title") == "Preface").alias("preface"))
+
+
+@query(f"WITH {_PAGED}, k AS (SELECT doc_id, ord, CASE WHEN ord % 2 = 1 THEN page END AS known FROM o) SELECT doc_id, CAST(ord AS INTEGER) AS ord, CAST(last_value(known IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS INTEGER) AS page_before, CAST(first_value(known IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS INTEGER) AS page_after FROM k")
+def win_prev_next_known(spark, sf):
+    outline, _ = _paged(spark, sf)
+    gaps = outline.withColumn("physical_index", F.when(F.col("ord") % 2 == 1, F.col("physical_index")))
+    return documents.known_neighbours(gaps).select("doc_id", "ord", "page_before", "page_after")
+
+
+@query("SELECT doc_id, CAST(len([x for x in string_split_regex(text, '[\\s,，。！？?!、；;：:\"''（）()的]+') if length(x) >= 2]) AS BIGINT) AS n FROM documents")
+def fn_split_tokens(spark, sf):
+    return sample.table(spark, sf, "documents").select("doc_id", F.size(fn.keywords("text")).cast("long").alias("n"))
+
+
+@query("SELECT page_id, 'DOC' AS kind, 'u' || page_id % 10 AS uuid, 'p/' || page_id AS path FROM pages")
+def fn_uri_parse(spark, sf):
+    uri = model.uri("DOC", F.concat(F.lit("u"), (F.col("page_id") % 10).cast("string")), F.lit("p"), F.col("page_id").cast("string"))
+    return sample.table(spark, sf, "pages").select("page_id", uri.alias("u")).select("page_id", *[model.uri_part("u", p).alias(p) for p in ("kind", "uuid", "path")])
+
+
+@query("SELECT event_id, CAST(event_id AS INTEGER) AS page, CASE WHEN event_id % 2 = 0 THEN '1.' || event_id END AS parent, lpad(CAST(event_id AS VARCHAR), 8, '0') AS node FROM events")
+def fn_tags_and_codes(spark, sf):
+    code = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("1."), F.col("event_id").cast("string"), F.lit(".3"))).otherwise("7")
+    return sample.table(spark, sf, "events").select("event_id", fn.page_of_tag(fn.page_tag("event_id")).alias("page"), fn.parent_code(code).alias("parent"), fn.node_number("event_id").alias("node"))
+
+
+@query("SELECT count(CASE WHEN n_chars > 2000 THEN 1 END) AS n_document, count(CASE WHEN n_chars <= 2000 THEN 1 END) AS n_entity, CAST(0 AS BIGINT) AS n_relation, CAST(0 AS BIGINT) AS n_database FROM documents")
+def agg_summary_counts(spark, sf):
+    rows = sample.table(spark, sf, "documents").select(F.when(F.col("n_chars") > 2000, "document").otherwise("entity").alias("source_type"))
+    return retrieval.counts(rows)
+
+
+@query("SELECT lang, CAST(sum(length(text) // 4) AS BIGINT) AS tokens FROM documents GROUP BY lang")
+def agg_context_chars(spark, sf):
+    return sample.table(spark, sf, "documents").groupBy("lang").agg(F.sum(fn.context_tokens("text")).cast("long").alias("tokens"))

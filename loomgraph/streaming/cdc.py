@@ -186,3 +186,13 @@ def windowed(events: DataFrame, ts: str, width: str, late: str, *keys: str) -> D
 def backoff(attempt: int, most: int = 30) -> int:
     """Seconds to wait before a restart."""
     return min(most, 2**attempt)
+
+
+def handoff(follower: Follower, nodes: DataFrame, edges: DataFrame, messages: DataFrame, once: bool = False) -> StreamingQuery:
+    """Write a bulk import, then follow the messages from where their checkpoint stands.
+
+    The stream should start at the log position taken before the import was read: what it repeats changes nothing.
+    """
+    follower.store.upsert("nodes", nodes)
+    follower.store.upsert("edges", edges.drop("subject", "object"))
+    return follower.start(messages, once)

@@ -255,3 +255,48 @@ def test_queries_and_reports(spark):
     assert "a → b" in report.render("path", {"paths": [["a", "b"]], "path_lengths": [1]}, "md")
     with pytest.raises(ValueError):
         report.render("path", {}, "pdf")
+
+
+def test_paged_tree(spark):
+    toc = "Contents\n1 Intro ........ 1\n1.1 Aims ........ 2\n2 End ........ 3"
+    pages = [(1, p, t) for p, t in enumerate([toc, "Intro\nx", "Aims y", "End z"], 1)] + [(2, 1, "1 First\nbody"), (2, 2, "2 Second")]
+    tree = documents.paged_tree(spark.createDataFrame(pages, "doc_id long, page int, text string"), F.col("text").startswith("Contents"))
+    got = sorted((r.doc_id, r.title, r.start_index, r.end_index, r.parent_id) for r in tree.collect())
+    assert got == [(1, "Aims", 3, 3, "00000002"), (1, "End", 4, 4, None), (1, "Intro", 2, 2, None), (1, "Preface", 1, 1, None), (2, "First", 1, 2, None), (2, "Second", 2, 2, None)]
+    rows = spark.createDataFrame([(1, 1, "1", "Intro", 4), (1, 2, "2", "End", 4)], "doc_id long, ord int, structure string, title string, physical_index int")
+    p = spark.createDataFrame(pages[:4], "doc_id long, page int, text string").where("page > 1")
+    assert documents.accuracy(documents.checked(rows, p)).first().accuracy == 0.5
+    assert [r.physical_index for r in documents.repaired(rows, p).orderBy("ord").collect()] == [2, 4]
+
+
+def test_small_helpers(spark, tmp_path):
+    from loomgraph.operators import dedup, store
+
+    nodes, edges = importing.import_graph(employees(spark), "DBS://c/db")
+    got = {(r.name, r.direction) for r in graph.related(edges, nodes, "employees:1").collect()}
+    assert got == {("dept_emp:1:d1", "incoming")}
+    links = spark.createDataFrame([("employees:1", "departments:d1", "x"), ("nobody", "employees:1", "x")], "source string, target string, type string")
+    assert graph.links_for_display(links, nodes).count() == 1
+    cascade = retrieval.expand_cascade(nodes, edges, spark.createDataFrame([("employees:1",), ("dept_emp:2",), ("departments:zz",)], "name string")).collect()
+    assert {r.name for r in cascade} == {"employees:1", "dept_emp:2", "departments:zz"}
+    saved, waiting = store.save_edges_only(spark.createDataFrame([("employees:1", "p", "EMPLOYEES:2"), ("a", "p", "b")], "s string, p string, o string"), nodes)
+    assert saved.count() == 1 and waiting.first().subject_id == ""
+    assert store.upsert_edges_by_name(saved, nodes, spark.createDataFrame([("employees:1", "p", "EMPLOYEES:2"), ("employees:1", "q", "employees:2")], "s string, p string, o string")).count() == 2
+    assert dedup.sample_rows(nodes, 2, "id").count() == 2
+    page, total = retrieval.full_text_page(nodes, "Ann", 1)
+    assert total == 1 and page.count() == 1
+    assert retrieval.full_text_page(nodes, "eMp_n")[1] > 0
+    c = catalog.from_frames(spark, {"t": nodes.select("id")})
+    catalog.save(c, str(tmp_path / "cat"))
+    assert catalog.load(spark, str(tmp_path / "cat")).tables.count() == 1
+    documents.write_trees(documents.markdown_tree(spark.createDataFrame([(1, MD)], "doc_id long, text string"), 1), str(tmp_path / "trees"))
+    assert documents.over_limit(documents.markdown_nodes(spark.createDataFrame([(1, MD)], "doc_id long, text string"))).count() == 0
+
+
+def test_handoff_from_import_to_stream(spark, tmp_path):
+    tables = [importing.Table("customers", spark.createDataFrame([(3, "N")], "id int, name string"), ["id"]), importing.Table("orders", spark.createDataFrame([(7, 3)], "id int, cust int"), ["id"], [("cust", "customers", "id")])]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text(json.dumps(message("1-0", "d", "customers", {"id": "3", "name": "N"})))
+    follower = cdc.Follower(GraphStore(spark, str(tmp_path / "g")), SCHEMAS, "DBS://c/db", str(tmp_path / "cp"))
+    cdc.handoff(follower, *importing.import_graph(tables, "DBS://c/db"), cdc.read_folder(spark, str(tmp_path / "in")), once=True).awaitTermination(60)
+    assert state(follower.store.nodes, follower.store.edges) == (["orders:7"], [])
