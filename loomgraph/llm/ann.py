@@ -3,8 +3,12 @@
 The trees are fitted on a bounded sample; every row is then indexed by its leaf in each tree. A node splits its points
 at the median of their projections on the difference of two points drawn at random. Inner products become angles by one
 more coordinate that lifts every vector to the largest norm. A query walks all trees through one priority queue, ordered by the
-smallest margin on a node's path, until the leaves it has taken hold ``search`` vectors; their members are ranked again by
-the exact inner product, in double precision, on the original vectors.
+squared margins that a path has crossed on the wrong side, until the leaves it has taken hold a budget of vectors; their members are ranked
+again by the exact inner product, in double precision, on the original vectors.
+
+The budget is what the data ask for: a bounded number of queries is answered exactly in one pass over all rows, and the budget is the
+smallest at which the forest finds ``TARGET`` of their true neighbours, ``LEAST_BUDGET`` at least. Clustered vectors need a small part of the
+table; for vectors without any structure no index does with little, and the budget follows the table.
 
 Copies of a vector are one class, of which the TOP + 1 smallest ids are enough; so a group of copies costs one vector
 to index and one query to search, however large it is. Leaves are cut into chunks of bounded size, each with the queries
@@ -29,10 +33,10 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, stage
 
 TOP, EVERY = 20, 20
-#: Distinct vectors to fit the trees on, trees, fewest sample points of a node that is split.
-SAMPLE, TREES, NODE = 16_384, 12, 24
-#: Vectors in the leaves that a query takes, over all trees.
-SEARCH = 12_000
+#: Distinct vectors to fit the trees on, trees, fewest sample points of a leaf.
+SAMPLE, TREES, NODE = 16_384, 16, 96
+#: Vectors in the leaves that a query takes over all trees, at least; the recall that sets how many; queries to set it by.
+LEAST_BUDGET, TARGET, TRIED = 12_000, 0.96, 64
 CHUNK = 4096
 
 
@@ -88,25 +92,45 @@ def leaf_of(tree: Tree, points: np.ndarray) -> np.ndarray:
     return -at - 1
 
 
-def visit(forest: list[Tree], sizes: list[np.ndarray], query: np.ndarray, search: int) -> list[tuple[int, int]]:
-    """(tree, leaf) in the order of one queue over all trees, until they hold *search* vectors."""
-    queue = [(-np.inf, t, 0 if len(tree.cut) else -1) for t, tree in enumerate(forest)]
+def walk(forest: list[Tree], query: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(tree, leaf) in the order of one queue over all trees."""
+    queue = [(0.0, t, 0 if len(tree.cut) else -1) for t, tree in enumerate(forest)]
     margins = [tree.normal @ query - tree.cut if len(tree.cut) else None for tree in forest]
     heapq.heapify(queue)
-    taken, found = [], 0
-    while queue and found < search:
-        worst, t, n = heapq.heappop(queue)
+    while queue:
+        crossed, t, n = heapq.heappop(queue)
         if n < 0:
-            taken.append((t, -n - 1))
-            found += int(sizes[t][-n - 1])
+            yield t, -n - 1
             continue
         m, tree = float(margins[t][n]), forest[t]
         near, far = (tree.right[n], tree.left[n]) if m > 0 else (tree.left[n], tree.right[n])
-        heapq.heappush(queue, (worst, t, int(near)))
-        heapq.heappush(queue, (max(worst, abs(m)), t, int(far)))
+        heapq.heappush(queue, (crossed, t, int(near)))
+        heapq.heappush(queue, (crossed + m * m, t, int(far)))
+
+
+def visit(forest: list[Tree], sizes: list[np.ndarray], query: np.ndarray, budget: int) -> list[tuple[int, int]]:
+    """The leaves that a query takes until they hold *budget* vectors."""
+    taken, found = [], 0
+    for t, leaf in walk(forest, query):
+        taken.append((t, leaf))
+        found += int(sizes[t][leaf])
+        if found >= budget:
+            break
     return taken
 
 
+def needed(forest: list[Tree], sizes: list[np.ndarray], query: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
+    """The budget at which each of the neighbours is first met."""
+    home = np.stack([leaf_of(tree, neighbours) for tree in forest])
+    out, held = np.full(len(neighbours), np.inf), 0
+    for t, leaf in walk(forest, query):
+        held += int(sizes[t][leaf])
+        out[(home[t] == leaf) & np.isinf(out)] = held
+        if not np.isinf(out).any():
+            break
+    return out
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
@@ -126,7 +150,26 @@ def clean(vectors: DataFrame) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64(F.lit(1), "v"), "h2": F.xxhash64(F.lit(2), "v")})
 
 
-def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, budget: int = SEARCH, sample: int = SAMPLE, trees: int = TREES, seed: int = 5) -> DataFrame:
+def exact_neighbours(classes: DataFrame, queries: np.ndarray, top: int, width: int) -> list[tuple[int, list[float]]]:
+    """(query number, vector) of the *top* nearest classes to each of a few queries, in one pass over all classes."""
+    shared = classes.sparkSession.sparkContext.broadcast(queries)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column(0), width)
+            score = shared.value @ x.T
+            k = min(top, len(x))
+            near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            at = np.repeat(np.arange(len(score)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(score[at, near.ravel()]), b.column(0).take(pa.array(near.ravel()))], names=["i", "score", "v"])
+
+    kind = classes.schema["v"].dataType.simpleString()
+    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score")))
+    found = classes.select("v").mapInArrow(best, f"i int, score double, v {kind}").withColumn("r", rank).where(F.col("r") <= top)
+    return [(r.i, r.v) for r in found.select("i", "v").collect()]  # at most TRIED x top vectors
+
+
+def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, budget: int | None = None, sample: int = SAMPLE, trees: int = TREES, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the *top* nearest found for each row whose id *every* divides."""
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score double"
@@ -174,6 +217,15 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, budget: int =
 
     asked = rows.where(F.col("vec_id") % every == 0)
     queries = asked.groupBy("h1", "h2").agg(F.first("v").alias("v"))
+    if budget is None:
+        tried = np.array([r.v for r in queries.orderBy(F.xxhash64(F.lit(seed), "h1", "h2"), "h1", "h2").limit(TRIED).collect()], np.float64).reshape(-1, width)
+        budget, near = LEAST_BUDGET, {}
+        for i, v in exact_neighbours(classes, tried, top + 1, width) if len(tried) else []:
+            if not np.array_equal(np.array(v, np.float64), tried[i]):
+                near.setdefault(i, []).append(v)
+        if near:
+            at = np.concatenate([needed(forest, sizes, np.append(tried[i], 0.0), lifted(np.array(v, np.float64))) for i, v in near.items()])
+            budget = max(budget, int(np.quantile(at, TARGET, method="higher")))
     visits = queries.mapInArrow(routed, f"tree int, leaf int, chunk int, h1 long, h2 long, v array<{kind}>")
     parts = spark.createDataFrame([(t, leaf, -(-int(n) // CHUNK)) for t, s in enumerate(sizes) for leaf, n in enumerate(s)], "tree int, leaf int, chunks int")
     chunked = index.join(F.broadcast(parts), ["tree", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("h1", "h2"), F.col("chunks")).cast("int")).drop("chunks")
@@ -191,7 +243,7 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, budget: int =
             near = q[s : s + 512] @ x.T
             k = min(top + 5, near.shape[1])
             best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            exact = (q[s : s + 512, None, :] * x[best]).sum(axis=2)
+            exact = (q[s : s + 512, None, :] * x[best]).cumsum(axis=2)[:, :, -1]  # component after component, as SQL sums
             for i in range(len(best)):
                 o = np.lexsort((least[best[i]], -exact[i]))[: top + 1]
                 out.append((np.full(len(o), s + i), best[i][o], exact[i][o]))
