@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import cotrain, neardup, packing, rules
-from loomgraph.llm.common import stage, table
+from loomgraph.llm.common import bounded_batches, stage, table
 from loomgraph.llm.queries import WORDS
 
 
@@ -27,12 +27,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component; rows without an id are in none and stay."""
+    bounded_batches(spark)
     kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).dropDuplicates(["doc_id", "text"])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, in sequences of up to 4096 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, WORDS).drop("ids")
 
 

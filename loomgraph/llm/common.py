@@ -13,7 +13,18 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[ \\x09-\\x0D]+"
 
 
+#: Rows of an Arrow batch between Spark and Python: few enough for long texts to fit beside each other.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small in this session; the default of 10 000 rows lets a batch of long texts fill a worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
