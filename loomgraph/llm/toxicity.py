@@ -33,8 +33,6 @@ from .common import bounded_sample, held_out, stage
 ORDER, DISCOUNT = 7, 0.75
 #: Labelled rows to learn from; every fifth of them sets the curve and gives no counts.
 SAMPLE = 24_000
-#: Highest-order n-grams seen less often than this are left to the shared orders.
-LEAST_COUNT = 3
 TOP = 3
 MEMORY = 400_000
 
@@ -192,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     rows = stage(rows.groupBy(F.xxhash64("text").alias("__h")).agg(F.first("text").alias("text"), F.max("__y").alias("__y")), "labelled")
     curve = F.pmod(F.col("__h"), F.lit(5)) == 0
     counted = rows.where(~curve).select("text", "__y").mapInArrow(_count_batches, "gram long, ordinary long, toxic long")
-    table = counted.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).where(F.col("ordinary") + F.col("toxic") >= LEAST_COUNT).toPandas()
+    table = counted.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toPandas()
     if not table.ordinary.any() or not table.toxic.any():
         return None
     model = KneserNey(table.gram.to_numpy(np.int64), table[["ordinary", "toxic"]].to_numpy())

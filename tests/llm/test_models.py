@@ -81,6 +81,19 @@ def test_toxicity_separates_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
 
 
+def test_toxicity_counts_rare_expressions(spark):
+    """Each expression stands in two toxic documents at most; those that gave counts speak for toxicity, and so do their parts."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["ba", "de", "ki", "lo", "mu", "ne"]) for _ in range(rng.randrange(1, 4)))
+    rare = [f"{a}zq{b}vyx" for a in "cfghp" for b in "rtwj"]
+    rows = [(i, " ".join([word() for _ in range(30)] + ([rare[i // 10 % 20]] if i % 10 == 0 else []))) for i in range(400)]
+    marks = [(i, int(i % 10 == 0)) for i, _ in rows]
+    model, _ = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    found = [w for w in rare if np.isin(toxicity.grams([w])[0], model.levels[-1].keys).all()]
+    assert len(found) >= 12  # the others are held out or set the curve
+    assert (model.evidence(found) > 0.3).all() and (model.evidence([w + "ba" for w in found]) > 0.1).all()
+
+
 def test_toxicity_never_reads_labels_of_held_out_rows(docs, labels):
     flipped = labels.withColumn("toxic", F.when(common.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (toxicity.train(docs, x) for x in (labels, flipped))
