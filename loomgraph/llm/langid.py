@@ -4,13 +4,14 @@ For each record and language the posterior is proportional to
 
     P(text | language)^t  x  P(declared language | language)  x  P(address suffix | language)  x  P(language | host)
 
-- text: a byte-trigram model, fitted on a bounded sample of documents of known language; its log-likelihood
+- text: a byte-trigram model of every language code that any document has, counted over all documents of known language;
+  a trigram's share is drawn to its share in all languages by the same weight, so that what no language knows speaks for none; its log-likelihood
   a trigram counts for at most ``MOST_GRAMS`` trigrams, as the trigrams of a text don't speak independently;
 - declared markup language and address suffix: how often they go with each language, from the texts of all records;
 - host: shares smoothed by those of its domain, which are smoothed by those of all records; a record's own
   contribution is taken out of its host's counts.
 
-The last three are grouped aggregations over all records. Defined results: a null or empty text, a missing declaration, address or
+All four are grouped aggregations; the model has 256 KB a language. Defined results: a null or empty text, a missing declaration, address or
 host is no evidence and counts as 1; repeated rows count as often as they occur; null ids are kept; an empty table gives no
 rows; without labelled documents the language is null and the confidence 0; columns other than those named are ignored.
 """
@@ -25,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, stage
+from .common import stage
 
-SAMPLE, LANGUAGES = 12_000, 64
 BUCKETS = 1 << 16
+#: Languages whose counts a task holds before it passes them on.
+HELD = 64
+#: Weight of a trigram's share in all languages.
+SHARED = 0.05
 MOST_GRAMS = 200
 #: Pseudo-counts of the aggregated evidence and of a host's and a domain's prior.
 SMOOTH, PRIOR_WEIGHT = 1.0, 5.0
@@ -53,27 +57,42 @@ def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang in sorted(set(names)):
-            h, _ = buckets([t for t, n in zip(texts, names) if n == lang])
-            b, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(b)), pa.array(b.astype(np.int32)), pa.array(n)], names=["lang", "bucket", "n"])
+    held: dict[str, np.ndarray] = {}
 
+    def passed() -> Iterator[pa.RecordBatch]:
+        for lang, n in held.items():
+            b = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(b)), pa.array(b.astype(np.int32)), pa.array(n[b])], names=["lang", "bucket", "n"])
+        held.clear()
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray] | None:
+    for batch in batches:
+        texts: dict[str, list[str]] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            texts.setdefault(lang, []).append(text)
+        for lang, own in texts.items():
+            if lang not in held:
+                if len(held) >= HELD:
+                    yield from passed()
+                held[lang] = np.zeros(BUCKETS, np.int64)
+            for at in range(0, len(own), 64):
+                held[lang] += np.bincount(buckets(own[at : at + 64])[0], minlength=BUCKETS)
+    yield from passed()
+
+
+def train(docs: DataFrame) -> tuple[list[str], np.ndarray] | None:
     """Language codes and their log-probabilities by bucket (buckets x languages)."""
     code = F.lower(F.regexp_extract(F.coalesce("lang", F.lit("")), r"^\s*([A-Za-z]{2,3})\b", 1))
-    known = docs.select(code.alias("lang"), "text", "doc_id").where("lang <> '' AND text IS NOT NULL AND text <> ''")
-    rows = bounded_sample(known, "doc_id", sample).select("lang", "text")
-    table = rows.mapInArrow(_count_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most codes x BUCKETS
+    known = docs.select(code.alias("lang"), "text").where("lang <> '' AND text IS NOT NULL AND text <> ''")
+    table = known.mapInArrow(_count_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most codes x BUCKETS
     if not len(table):
         return None
-    names = sorted(table.groupby("lang").n.sum().nlargest(LANGUAGES).index)
-    table = table[table.lang.isin(names)]
-    counts = np.full((BUCKETS, len(names)), 0.5)
-    counts[table.bucket.to_numpy(), table.lang.map(names.index).to_numpy()] += table.n.to_numpy()
-    return names, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    names = sorted(table.lang.unique())
+    counts = np.zeros((BUCKETS, len(names)), np.float32)
+    counts[table.bucket.to_numpy(), table.lang.map({x: k for k, x in enumerate(names)}).to_numpy()] = table.n.to_numpy()
+    every = counts.sum(axis=1, dtype=float) + 0.5
+    counts *= ((1 - SHARED) / counts.sum(axis=0, dtype=float)).astype(np.float32)
+    counts += (SHARED * every / every.sum()).astype(np.float32)[:, None]
+    return names, np.log(counts, out=counts)
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -95,7 +114,7 @@ def identify(records: DataFrame, model: tuple[list[str], np.ndarray] | None) ->
     if model is None:
         return records.select(*ids, F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"), "declared", "host")
     names, logp = model
-    shared = records.sparkSession.sparkContext.broadcast(logp)  # BUCKETS x at most LANGUAGES numbers
+    shared = records.sparkSession.sparkContext.broadcast(logp)  # BUCKETS x languages numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value

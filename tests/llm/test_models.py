@@ -57,6 +57,19 @@ def test_host_prior_by_hand(spark):
     assert got[50].confidence == pytest.approx(host / (host + (0 + 5 * domain) / 14), rel=0.05)
 
 
+def test_every_language_has_a_model(spark):
+    """More languages than 64, one of them hot and each of the others in two documents."""
+    rng = random.Random(9)
+    codes = ["".join((a, b)) for a in "abcdefghij" for b in "klmnopq"]
+    word = lambda k: "".join(chr(0x1000 + 40 * k + rng.randrange(12)) for _ in range(5))
+    rows = [(i, codes[max(i - 200, 0) // 2], " ".join(word(max(i - 200, 0) // 2) for _ in range(40)), "host") for i in range(200 + 2 * len(codes))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, source string")
+    names, logp = langid.train(docs)
+    assert names == codes and np.exp(logp.astype(float)).sum(axis=0) == pytest.approx(np.ones(len(codes)), abs=1e-3)
+    for i, code, text, _ in rows[200::7]:
+        assert names[logp[langid.buckets([text])[0]].sum(axis=0).argmax()] == code
+
+
 def test_toxicity_separates_held_out_rows(spark):
     """Planted expressions among invented words; stems with endings never seen are caught by their parts."""
     rng = random.Random(3)
