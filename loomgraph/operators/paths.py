@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,20 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.cache()
 
 
-def hops(edges: DataFrame, source: str, most: int = 50) -> DataFrame:
-    """(node, hops) for all nodes that *source* reaches."""
+def _rounds(most: int | None):
+    """Round numbers from 1; beyond *most* an error, as the frontier isn't empty then."""
+    for n in count(1):
+        if most is not None and n > most:
+            raise RuntimeError(f"nodes left to visit after {most} rounds")
+        yield n
+
+
+def hops(edges: DataFrame, source: str, most: int | None = None) -> DataFrame:
+    """(node, hops) for all nodes that *source* reaches; an error if *most* rounds don't reach them."""
     spark = edges.sparkSession
     step = edges.select("src", "dst").distinct()
     seen = front = spark.createDataFrame([(source, 0)], "node string, hops int")
-    for n in range(1, most + 1):
+    for n in _rounds(most):
         front = _cut(front.join(step, front.node == step.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(n).alias("hops")))
         if front.isEmpty():
             break
@@ -34,29 +44,32 @@ def hops(edges: DataFrame, source: str, most: int = 50) -> DataFrame:
     return seen
 
 
-def distances(edges: DataFrame, source: str, cost: str = "confidence", most: int = 100) -> DataFrame:
-    """(node, distance, path): least cost by repeated relaxation. A strong edge is long unless *cost* is ``inverse``."""
+def distances(edges: DataFrame, source: str, cost: str = "confidence", most: int | None = None) -> DataFrame:
+    """(node, distance, path): least cost by repeated relaxation until nothing changes; an error if that takes more than
+    *most* rounds, or if a cycle has a negative sum. A strong edge is long unless *cost* is ``inverse``."""
     weight = F.col("strength") if cost == "confidence" else 1 / F.col("strength")
     step = edges.select("src", "dst", weight.alias("w"))
     best = edges.sparkSession.createDataFrame([(source, 0.0, [source])], "node string, distance double, path array<string>")
     front = best
-    for _ in range(most):
+    for n in _rounds(most):
         tried = front.join(step, front.node == step.src).select(F.col("dst").alias("node"), (F.col("distance") + F.col("w")).alias("distance"), F.concat("path", F.array("dst")).alias("path"))
         merged = _cut(best.unionByName(tried).groupBy("node").agg(F.min(F.struct("distance", "path")).alias("b")).select("node", "b.distance", "b.path"))
         front = _cut(merged.join(best.select("node", F.col("distance").alias("__d")), "node", "left").where("__d IS NULL OR distance < __d - 1e-12").drop("__d"))
         best = merged
         if front.isEmpty():
             break
+        if n % 20 == 0 and not front.where(F.size("path") > F.size(F.array_distinct("path"))).isEmpty():
+            raise ValueError("a cycle of negative sum has no least distance")
     return best
 
 
-def shortest_paths(edges: DataFrame, source: str, target: str, k: int = 1, most: int = 50) -> DataFrame:
-    """Up to *k* paths of the least number of edges, in order of their nodes: (path, length)."""
+def shortest_paths(edges: DataFrame, source: str, target: str, k: int = 1, most: int | None = None) -> DataFrame:
+    """Up to *k* paths of the least number of edges, in order of their nodes: (path, length); an error if *most* edges don't decide it."""
     step = edges.select("src", "dst").distinct()
     spark = edges.sparkSession
     front = spark.createDataFrame([(source, [source])], "node string, path array<string>")
     seen = front.select("node")
-    for _ in range(most + 1):
+    for _ in _rounds(None if most is None else most + 1):
         hit = front.where(F.col("node") == target)
         if not hit.isEmpty():
             return hit.orderBy("path").limit(k).select("path", (F.size("path") - 1).alias("length"))

@@ -109,6 +109,24 @@ def test_paths_match_floyd_warshall(spark, seed):
     assert len(used) == len(set(used)) and both[0][1] == pytest.approx(cost[s, far])
 
 
+def test_paths_end_only_with_the_frontier(spark):
+    e = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(5)], "src string, dst string, strength double").cache()
+    for call in (paths.hops, paths.distances):
+        with pytest.raises(RuntimeError):
+            call(e, "n00", most=3)
+        assert call(e, "n00", most=6).count() == 6
+    with pytest.raises(RuntimeError):
+        paths.shortest_paths(e, "n00", "n05", most=3)
+    assert paths.shortest_paths(e, "n00", "n05", most=5).first().length == 5
+
+
+def test_paths_beyond_fifty_hops(spark, tmp_path):
+    """Rounds of a deep graph are cut in a checkpoint folder."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    e = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(52)], "src string, dst string, strength double").coalesce(1).cache()
+    assert paths.shortest_paths(e, "n00", "n52").first().length == 52
+
+
 def test_path_messages(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
     e = spark.createDataFrame([("a", "b", 0.5)], "src string, dst string, strength double")
