@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -865,3 +866,97 @@ def agg_summary_counts(spark, sf):
 @query("SELECT lang, CAST(sum(length(text) // 4) AS BIGINT) AS tokens FROM documents GROUP BY lang")
 def agg_context_chars(spark, sf):
     return sample.table(spark, sf, "documents").groupBy("lang").agg(F.sum(fn.context_tokens("text")).cast("long").alias("tokens"))
+
+
+# The same on the whole trade graph, and hops and paths on the core graph from a region down and from an order up.
+def _whole(name: str) -> str:
+    return ORACLES[name].replace("strong s ", "trade s ").replace("FROM strong", "FROM trade")
+
+
+def _rounded(scores: DataFrame) -> DataFrame:
+    return scores.select("name", F.round("score", 8).alias("score"))
+
+
+@query(_whole("bfs_hops"))
+def trade_hops(spark, sf):
+    nodes, edges = sample.trade(spark, sf)
+    return paths.hops(edges.cache(), nodes.agg(F.min("name")).first()[0])
+
+
+def _distance_sql(rounds: int) -> str:
+    steps = ["b0 AS MATERIALIZED (SELECT min(n_name) AS node, CAST(0 AS DOUBLE) AS d FROM nation)"]
+    for i in range(1, rounds + 1):
+        p = f"b{i - 1}"
+        steps.append(f"b{i} AS MATERIALIZED (SELECT node, min(d) AS d FROM (SELECT * FROM {p} UNION ALL SELECT dst, d + strength FROM {p} JOIN trade ON src = node) GROUP BY node)")
+    return f"WITH {TRADE}, {', '.join(steps)} SELECT node, round(d, 8) AS distance FROM b{rounds}"
+
+
+@query(_distance_sql(24))
+def trade_distance(spark, sf):
+    nodes, edges = sample.trade(spark, sf)
+    return paths.distances(edges.cache(), nodes.agg(F.min("name")).first()[0]).select("node", F.round("distance", 8).alias("distance"))
+
+
+@query(_whole("k_shortest_paths").replace("len(w.path) < 8", "len(w.path) < 4"))
+def trade_k_paths(spark, sf):
+    nodes, edges = sample.trade(spark, sf)
+    ends = nodes.agg(F.min("name"), F.max("name")).first()
+    return paths.shortest_paths(edges.cache(), ends[0], ends[1], 5).select(F.array_join("path", ">").alias("path"), F.col("length").cast("int").alias("length"))
+
+
+@query(f"WITH RECURSIVE {CORE}, walk AS (SELECT 'region:0' AS node, 0 AS hops UNION ALL SELECT e.subject, w.hops + 1 FROM walk w JOIN edges e ON e.object = w.node) SELECT node, hops FROM walk")
+def core_hops(spark, sf):
+    _, edges = sample.core(spark, sf)
+    return paths.hops(edges.select(F.col("object").alias("src"), F.col("subject").alias("dst")).cache(), "region:0")
+
+
+@query(f"""WITH RECURSIVE {CORE}, walk AS (SELECT ['orders:' || (SELECT min(o_orderkey) FROM orders)] AS path UNION ALL SELECT list_append(w.path, e.object) FROM walk w JOIN edges e ON e.subject = w.path[-1])
+SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS length FROM walk WHERE starts_with(path[-1], 'region:')""")
+def core_k_paths(spark, sf):
+    _, edges = sample.core(spark, sf)
+    up = edges.select(F.col("subject").alias("src"), F.col("object").alias("dst")).cache()
+    first = f"orders:{sample.table(spark, sf, 'orders').agg(F.min('o_orderkey')).first()[0]}"
+    last = paths.hops(up, first).where("startswith(node, 'region:')").first().node
+    return paths.shortest_paths(up, first, last, 5).select(F.array_join("path", ">").alias("path"), F.col("length").cast("int").alias("length"))
+
+
+@query(_whole("degree_centrality"))
+def trade_degree(spark, sf):
+    return _rounded(centrality.degree(*sample.trade(spark, sf)))
+
+
+def _unrolled(sql: str) -> str:
+    return re.sub(r"\b([reu]\d+) AS \(", r"\1 AS MATERIALIZED (", sql.replace("FROM strong", "FROM trade").replace("JOIN strong", "JOIN trade"))
+
+
+@query(_unrolled(_pagerank_sql(20)))
+def pagerank_20(spark, sf):
+    nodes, edges = sample.trade(spark, sf)
+    return _rounded(centrality.pagerank(nodes.cache(), edges.cache(), iterations=20))
+
+
+@query(_unrolled(_eigen_sql(20)))
+def eigenvector_20(spark, sf):
+    nodes, edges = sample.trade(spark, sf)
+    return _rounded(centrality.eigenvector(nodes.cache(), edges.cache(), iterations=20))
+
+
+@query(_whole("closeness"))
+def trade_closeness(spark, sf):
+    return _rounded(centrality.closeness(*sample.trade(spark, sf)))
+
+
+@query()
+def trade_betweenness(spark, sf):
+    return _rounded(centrality.betweenness(*sample.trade(spark, sf)))
+
+
+@query()
+def trade_kmeans_degree(spark, sf):
+    return community.kmeans(*sample.trade(spark, sf))
+
+
+@query(_whole("topk_centrality"))
+def trade_topk_centrality(spark, sf):
+    scores = centrality.table(*sample.trade(spark, sf), ["degree"])
+    return centrality.top(scores).select("measure", "name", F.round("score", 8).alias("score"))
