@@ -231,6 +231,15 @@ def name_resolution(spark, sf):
     return store.resolve(rels, nodes).select("s", "exact", "subject_id")
 
 
+@query("SELECT lower(n_name) AS s, n_name AS o, 'nation:' || n_nationkey AS exact, md5(n_name) AS subject_id, md5(n_name) AS object_id FROM nation")
+def name_resolution_all(spark, sf):
+    """Both ends of a relation of every nation: one by its exact, one by its case-folded name."""
+    nation = sample.table(spark, sf, "nation")
+    nodes = nation.select(model.entity_id("n_name").alias("id"), F.col("n_name").alias("name"))
+    rels = nation.select(F.lower("n_name").alias("s"), F.col("n_name").alias("o"), F.concat(F.lit("nation:"), "n_nationkey").alias("exact"))
+    return store.resolve(rels, nodes).select("s", "o", "exact", "subject_id", "object_id")
+
+
 @query("SELECT md5('customer:' || c_custkey) AS id, CASE WHEN c_custkey % 3 = 0 THEN 'renewed' ELSE 'old' END AS description FROM customer UNION ALL SELECT md5('new:' || c_custkey), 'renewed' FROM customer WHERE c_custkey % 100 = 0")
 def upsert_nodes(spark, sf):
     rows = sample.table(spark, sf, "customer")
@@ -311,10 +320,21 @@ def fts_bm25(spark, sf):
 @query(f"WITH {CORE} SELECT count(*) AS n FROM nodes WHERE name = 'nation:7'")
 def full_text_hit(spark, sf):
     nodes, _ = sample.core(spark, sf)
-    found = retrieval.full_text(nodes.where("type = 'location'"), "nation 7", 30, fields=("name",))
+    found = retrieval.full_text(nodes, "nation 7", 30, fields=("name",))
     return found.where("name = 'nation:7'").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(rf"""WITH {CORE}, w AS (SELECT id, unnest([x for x in regexp_split_to_array(lower(name), '[^\p{{L}}\p{{N}}]+') if x <> '']) AS term FROM nodes),
+sz AS (SELECT id, count(*) AS size FROM w GROUP BY 1), tf AS (SELECT id, term, count(*) AS tf FROM w WHERE term IN ('nation', '7') GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), f AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT sum(size) FROM sz) / (SELECT count(*) FROM nodes) AS mean),
+hit AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM tf JOIN df USING (term) JOIN sz USING (id), f GROUP BY id)
+SELECT name, type, score FROM hit JOIN nodes USING (id) ORDER BY score DESC, id LIMIT 10""")
+def full_text_ranked(spark, sf):
+    """The ten best of all nodes."""
+    nodes, _ = sample.core(spark, sf)
+    return retrieval.full_text(nodes, "nation 7", 10, fields=("name",)).select("name", "type", F.round("score", 6).alias("score"))
+
+
 @query("""WITH e AS (SELECT 'document' AS source_type, 'd' || doc_id AS source_id, least(1.0, n_chars / 10000.0 + 0.05) AS score FROM documents)
 SELECT source_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, source_id) - 1 AS BIGINT) AS rank FROM e""")
 def fuse_rank(spark, sf):

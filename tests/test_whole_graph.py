@@ -25,3 +25,16 @@ def same(spark, sf, name):
 @pytest.mark.parametrize("name", WHOLE)
 def test_whole_graph(spark, name):
     same(spark, SF, name)
+
+
+@pytest.mark.parametrize("name", ["full_text_hit", "full_text_ranked", "name_resolution_all"])
+def test_search_of_all_nodes(spark, name):
+    same(spark, SF, name)
+
+
+def test_hit_is_searched_in_all_nodes(spark, monkeypatch):
+    seen = []
+    search = queries.retrieval.full_text
+    monkeypatch.setattr(queries.retrieval, "full_text", lambda nodes, *a, **k: seen.append(nodes.count()) or search(nodes, *a, **k))
+    queries.full_text_hit(spark, SF)
+    assert seen == [queries.sample.core(spark, SF)[0].count()]
