@@ -23,7 +23,7 @@ import os
 import re
 import zlib
 from array import array
-from bisect import bisect_right, insort
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,10 +31,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
+from .common import stage
 
 WINDOW, LEAST_TIER, END_ID = 4096, 512, 2
 #: Tokens of a pool, and tokens of a step group.
@@ -47,7 +48,8 @@ class WordTokenizer(dict):
     """Ids of whole texts by a tokenizer that drops white space, from the ids of their blank-free runs.
 
     Its normalizer composes, folds white space and lower-cases characters one by one, and its splitter never joins
-    characters across white space, so a text's ids are those of its runs. The mapping holds the runs met so far with their ids as bytes; a
+    characters across white space, so a text's ids are those of its runs. Special tokens come first: their strings cut the text as it
+    stands, before any normalizing, and what lies between them is encoded by itself. The mapping holds the runs met so far with their ids as bytes; a
     new run of printable characters below U+0250 is split as the tokenizer's own splitter does it, and only its pieces go through the
     merges; any other goes through the whole tokenizer.
     """
@@ -57,7 +59,9 @@ class WordTokenizer(dict):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = {t.content: i for i, t in self.model.get_added_tokens_decoder().items()}
+        self.special = {x: np.array([i], np.uint32) for x, i in special.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else lambda text: [text]
         self.tokenize = self.model.model.tokenize
         self.slow_split = re.compile(r"[ \t\n\r]+").split
         self.odd = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
@@ -65,6 +69,12 @@ class WordTokenizer(dict):
         self.map = dict(enumerate(byte_characters()))
 
     def encode(self, text: str) -> np.ndarray:
+        parts = self.cut(text)
+        if len(parts) == 1:
+            return self._encode(text)
+        return np.concatenate([self.special[x] if k % 2 else self._encode(x) for k, x in enumerate(parts)])
+
+    def _encode(self, text: str) -> np.ndarray:
         # ``str.split`` knows more white space than the tokenizer's; it serves where the text has none of that.
         runs = self.slow_split(text) if self.odd(text) else text.split()
         return np.frombuffer(b"".join(map(self.__getitem__, runs)), np.uint32)
@@ -95,9 +105,9 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 
 class Packer:
-    """Packs (document, ids) pieces; ``out`` gets (piece, sequence, offset, tier) rows.
+    """Packs (document, length) pieces; ``out`` gets (document, start, length, sequence, offset, tier) rows.
 
-    A piece is (length, order, document index, start): the shortest come first, ties in input order.
+    Free pieces wait by length, each length first in, first out; the bits of ``lengths`` say which lengths have any.
     """
 
     def __init__(self, window: int = WINDOW, least: int = LEAST_TIER):
@@ -105,14 +115,18 @@ class Packer:
         self.tiers = [least]
         while self.tiers[-1] < window:
             self.tiers.append(self.tiers[-1] * 2)
-        self.free: list[tuple[int, int, int, int]] = []
+        self.free: list[deque[tuple[int, int]]] = [deque() for _ in range(window)]
+        self.lengths = self.held = 0
         self.out: list[tuple[int, int, int, int, int, int]] = []
         self.sequences = 0
-        self.order = 0
 
     def tier(self, n: int) -> int:
         return next(t for t in self.tiers if n <= t)
 
+    def waiting(self) -> set[int]:
+        """Documents that have free pieces."""
+        return {doc for pieces in self.free for doc, _ in pieces}
+
     def add(self, doc: int, n: int) -> None:
         start = 0
         while n - start >= self.window:
@@ -122,8 +136,16 @@ class Packer:
             self._put(n - start, doc, start)
 
     def _put(self, n: int, doc: int, start: int) -> None:
-        insort(self.free, (n, self.order, doc, start))
-        self.order += 1
+        self.free[n].append((doc, start))
+        self.lengths |= 1 << n
+        self.held += n
+
+    def _take(self, n: int) -> tuple[int, int]:
+        piece = self.free[n].popleft()
+        if not self.free[n]:
+            self.lengths ^= 1 << n
+        self.held -= n
+        return piece
 
     def _emit(self, pieces: list[tuple[int, int, int]], tier: int) -> None:
         at = 0
@@ -134,38 +156,50 @@ class Packer:
 
     def pack(self, last: bool = False) -> None:
         """Close windows as long as the free pieces can fill one; with *last*, use them all up."""
-        held = sum(p[0] for p in self.free)
-        while self.free:
-            tier = self.tier(self.free[-1][0])
-            if held < tier:
+        while self.lengths:
+            tier = self.tier(self.lengths.bit_length() - 1)
+            if self.held < tier:
                 if not last:
                     return
-                tier = 1 << (held.bit_length() - 1)
+                tier = 1 << (self.held.bit_length() - 1)
             pieces, gap = [], tier
             while gap:
-                at = bisect_right(self.free, (gap, self.order)) - 1
-                if at >= 0:  # the longest that fits, whole
-                    n, _, doc, start = self.free.pop(at)
-                    pieces.append((doc, start, n))
+                n = (self.lengths & ((2 << gap) - 1)).bit_length() - 1
+                if n > 0:  # the longest that fits, whole
+                    pieces.append((*self._take(n), n))
                     gap -= n
                 else:  # the head of the shortest that doesn't
-                    n, _, doc, start = self.free.pop(0)
+                    n = (self.lengths & -self.lengths).bit_length() - 1
+                    doc, start = self._take(n)
                     pieces.append((doc, start, gap))
                     self._put(n - gap, doc, start + gap)
                     gap = 0
             self._emit(pieces, tier)
-            held -= tier
 
 
-_FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int64()), ("step_group", pa.int64())]
-_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
+_FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int64()), ("place", pa.int64())]
+_DDL = ", ".join(f"{name} long" for name, _ in _FIELDS)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, least: int = LEAST_TIER, step: int = STEP, pool: int = POOL, with_ids: bool = True) -> DataFrame:
     """One row a piece: where it comes from and lies, its crc32 and, if asked for, its ``ids``.
 
-    ``step_group`` numbers groups of sequences of one tier with *step* tokens each, within a task's rows.
+    ``step_group`` numbers, from 0 in each tier, groups of sequences of that tier with about *step* tokens each.
     """
+    pieces = stage(_pieces(docs, tokenizer_path, window, least, pool, with_ids), "pieces")
+    task = F.shiftright("sequence_id", 40)
+    own = pieces.groupBy(task.alias("__task"), "tier").agg((F.max("place") + 1).alias("n"))
+    before = Window.partitionBy("tier").orderBy("__task")
+    # One row a task and tier; the groups of a tier take turns in having one sequence more.
+    own = own.select("__task", "tier", (F.sum("n").over(before) - F.col("n")).alias("first"), F.sum("n").over(Window.partitionBy("tier")).alias("total"))
+    groups = F.ceil(F.col("total") / F.greatest(F.lit(1), F.floor(F.lit(step) / F.col("tier"))))
+    group = F.expr("(first + place) * groups DIV total")
+    found = pieces.withColumn("__task", task).join(F.broadcast(own.withColumn("groups", groups)), ["__task", "tier"]).withColumn("step_group", group)
+    return found.select(*[c for c in pieces.columns if c not in ("place", "ids")], "step_group", *(["ids"] if with_ids else []))
+
+
+def _pieces(docs: DataFrame, tokenizer_path: str, window: int, least: int, pool: int, with_ids: bool) -> DataFrame:
+    """The packed pieces, with each sequence's ``place`` among those of its tier in the task."""
     schema = pa.schema(_FIELDS + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +214,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, least: int
             nonlocal held, docs_in
             done, packer.out = packer.out, []
             for i in range(0, len(done), 4096):
-                yield _rows(done[i : i + 4096], docs_in, first, step, per_tier, schema)
-            docs_in = {p[2]: docs_in[p[2]] for p in packer.free}
-            held = sum(p[0] for p in packer.free)
+                yield _rows(done[i : i + 4096], docs_in, first, per_tier, schema)
+            docs_in = {d: docs_in[d] for d in packer.waiting()}
+            held = packer.held
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -197,19 +231,17 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, least: int
         packer.pack(last=True)
         yield from flush()
 
-    ddl = _DDL + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _DDL + (", ids array<int>" if with_ids else ""))
 
 
-def _rows(done, docs_in, first, step, per_tier, schema) -> pa.RecordBatch:
+def _rows(done, docs_in, first, per_tier, schema) -> pa.RecordBatch:
     cols: list[list] = [[] for _ in schema]
     for doc, start, n, seq, offset, tier in done:
         doc_id, ids = docs_in[doc]
         part = ids[start : start + n]
         if offset == 0:
             per_tier[tier] = per_tier.get(tier, -1) + 1
-        group = per_tier[tier] // max(1, step // tier)
-        values = (doc_id, start, n, zlib.crc32(part.astype("<u4").tobytes()), len(ids), first + seq, offset, tier, first + group)
+        values = (doc_id, start, n, zlib.crc32(part.astype("<u4").tobytes()), len(ids), first + seq, offset, tier, per_tier[tier])
         for c, v in zip(cols, values):
             c.append(v)
         if len(cols) > len(values):

@@ -129,7 +129,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of up to 4096 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents"), WORDS).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), WORDS, with_ids=False)
 
 
 #: Pairs by an inverted list of shingles, components by walking the links from every document.

@@ -14,9 +14,7 @@ PATH = P.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def check(rows, docs, library):
@@ -48,7 +46,8 @@ def test_tokenizer_equals_the_library(library):
     rng = random.Random(1)
     pool = "aeiouTNRS ÄÖÜéñ中文😀é‍\n\t  \x0b\x0c\x85\x1c'll's#ſΣİ"
     tok = packing.WordTokenizer(PATH)
-    texts = ["", " ", "<|endoftext|> x", "ΑΣ ΑΣ.", "é"] + ["".join(rng.choice(pool) for _ in range(rng.randrange(200))) for _ in range(500)]
+    ends = ["hello <|endoftext|> world", "<|endoftext|>", "a<|startoftext|>b<|endoftext|>", "<|endoftext|><|endoftext|>", "e<|endoftext|>\u0301", "<|ENDOFTEXT|> <|endoftext| <|<|endoftext|>|>", "\x85<|startoftext|>\x1c"]
+    texts = ["", " ", *ends, "ΑΣ ΑΣ.", "é"] + ["".join(rng.choice(pool) for _ in range(rng.randrange(200))) for _ in range(500)]
     for t in texts:
         assert tok.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
 
@@ -62,10 +61,18 @@ def test_pieces_of_a_corpus(spark, library):
     rows = packing.pack(df, PATH, pool=20_000).collect()
     check(rows, docs, library)
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
-    groups = defaultdict(set)
-    for r in rows:
-        groups[r.tier, r.step_group].add(r.sequence_id)
-    assert all(len(s) <= packing.STEP // min(t, packing.STEP) for (t, _), s in groups.items())
+
+
+def test_step_groups_are_balanced_over_tasks(spark):
+    """Many small partitions: the groups of a tier still differ by one sequence at most, and are numbered without a gap."""
+    docs = spark.createDataFrame([(i, "x y z " * (i * 37 % 900), "clash") for i in range(400)], "doc_id long, text string, place string").repartition(9)
+    groups = defaultdict(lambda: defaultdict(set))
+    for r in packing.pack(docs, PATH, step=1 << 14, with_ids=False).collect():
+        groups[r.tier][r.step_group].add(r.sequence_id)
+    assert len(groups[4096]) > 2
+    for tier, own in groups.items():
+        sizes = [len(own[g]) for g in range(len(own))]
+        assert max(sizes) - min(sizes) <= 1 and max(sizes) <= max(1, (1 << 14) // tier)
 
 
 def test_exact_powers_and_empty(spark, library):

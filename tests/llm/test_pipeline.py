@@ -35,9 +35,7 @@ def test_stages(spark, sf):
     assert rows[2] == [r for r in rows[1] if by_rules(r[1])]
     least = {d for d, _, c in components([(r[0], r[1]) for r in rows[2]]) if d == c}
     assert rows[3] == [r for r in rows[2] if r[0] in least] and len(rows[3]) < len(rows[2])
-    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
-    check_packing(outs[-1].collect(), [(r[0], r[1]) for r in rows[3]], library)
+    check_packing(outs[-1].collect(), [(r[0], r[1]) for r in rows[3]], Tokenizer.from_file(P.path("word_bpe_49k.json")))
 
 
 def test_stages_of_odd_rows(spark, sf):
