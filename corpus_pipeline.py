@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, in sequences of up to 4096 tokens."""
     bounded_batches(spark)
-    return packing.pack(docs, WORDS).drop("ids")
+    return packing.pack(docs, WORDS, with_ids=False)
 
 
 STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("packing", pack)]
