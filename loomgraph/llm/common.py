@@ -66,16 +66,18 @@ def drop_staged(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 7) -> DataFrame:
-    """About *bound* rows, chosen by a hash of *key*; every row if there are no more than that.
+def bounded_sample(df: DataFrame, bound: int, seed: int = 7, key: str | None = None) -> DataFrame:
+    """About *bound* rows, each drawn by itself; every row if there are no more than that.
 
-    Serves only to fit classifiers, which may see a bounded number of labelled rows.
+    With *key*, whose values must not repeat, the draw is a hash of it and so the same in whatever order rows come.
+    Serves only to fit classifiers and trees, which may see a bounded number of rows.
     """
     n = df.count()
     if n <= bound:
         return df
-    cut = int(bound / n * (1 << 30))
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < cut)
+    if key is None:
+        return df.where(F.rand(seed) < bound / n)
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
 
 
 def held_out(doc_id) -> "F.Column":

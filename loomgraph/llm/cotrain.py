@@ -155,12 +155,12 @@ def cotrain(x: np.ndarray, m: np.ndarray, y: np.ndarray, part: np.ndarray, round
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> list[np.ndarray] | None:
     """Weights and curves of both views and the weights that combine them."""
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
-    known = bounded_sample(known.groupBy("doc_id").agg(F.min("y").alias("y")), "doc_id", labelled)
+    known = bounded_sample(known.groupBy("doc_id").agg(F.min("y").alias("y")), labelled, key="doc_id")
     rows = _inputs(docs)
     chosen = F.broadcast(known)  # about `labelled` pairs of numbers
     part = F.when(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0, 1).otherwise(0)
     with_label = rows.join(chosen, "doc_id").select(*_COLUMNS, "y", part.cast("int").alias("part"))
-    free = bounded_sample(rows, "doc_id", pool, seed=13).select(*_COLUMNS, F.lit(-1).alias("y"), F.lit(2).alias("part"))
+    free = bounded_sample(rows, pool, seed=13).select(*_COLUMNS, F.lit(-1).alias("y"), F.lit(2).alias("part"))
     table = stage(with_label.unionByName(free).mapInArrow(_feature_batches, "f array<float>, y int, part int"), "features").toPandas()
     y, part = table.y.to_numpy(), table.part.to_numpy()
     if any(len(set(y[part == k])) < 2 for k in (0, 1)):

@@ -145,11 +145,3 @@ reach AS (SELECT doc_id AS x, doc_id AS c FROM d UNION SELECT r.x, v.b FROM reac
 m AS (SELECT x AS doc_id, min(c) AS component_id FROM reach GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d JOIN m ON d.doc_id = m.doc_id LEFT JOIN n ON d.doc_id = n.doc_id"""
-
-
-#: The exact answer, which the forest's equals where its budget covers the whole table, as it does at the check's scale.
-ORACLES["op6_nearest_neighbours"] = """
-WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL),
-s AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, list_inner_product(q.x, e.x) AS score FROM v q, v e WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""

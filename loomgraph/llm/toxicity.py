@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     """The model and the weights of the curve, from labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("__y")).where(F.col("__y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("__y").alias("__y")).where(~held_out(F.col("doc_id")))
-    chosen = F.broadcast(bounded_sample(known, "doc_id", sample))  # about `sample` pairs of numbers
+    chosen = F.broadcast(bounded_sample(known, sample, key="doc_id"))  # about `sample` pairs of numbers
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").select("text", "__y")
     rows = stage(rows.groupBy(F.xxhash64("text").alias("__h")).agg(F.first("text").alias("text"), F.max("__y").alias("__y")), "labelled")
     curve = F.pmod(F.col("__h"), F.lit(5)) == 0
