@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    A folder of our own is set only where the session has none (tests, local runs).
+    Where the session names none (tests, local runs), a folder in its warehouse is set, which they share as well.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -39,7 +38,7 @@ def work_dir(spark: SparkSession) -> str:
         if current.isDefined():
             found = current.get()
         else:
-            found = f"{tempfile.gettempdir()}/loomgraph-{spark.sparkContext.applicationId}"
+            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}"
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -50,20 +49,28 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write *df* to the shared folder and read it again: lineage ends there, so that a lost
-    executor costs one table scan and not the whole history."""
-    path = new_path(df.sparkSession, name)
+    executor costs one table scan and not the whole history. The files go with ``drop_staged``, else when the application ends."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    store, folder = _at(spark, path)
+    store.deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Remove the files of a staged table that no plan reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/loomgraph-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+def _at(spark: SparkSession, path: str) -> tuple:
+    """A folder's store and its path there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Remove the files of staged tables that no plan reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/loomgraph-" in path:
+                store, folder = _at(df.sparkSession, path)
+                store.delete(folder, True)
 
 
 def bounded_sample(df: DataFrame, bound: int, seed: int = 7, key: str | None = None) -> DataFrame:

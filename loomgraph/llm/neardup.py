@@ -9,8 +9,8 @@ bands with probability (1 - 0.75^4)^32 < 6e-6. Candidates are confirmed on the f
 
 Work is arranged so that a group of copies costs its size, not its square:
 
-1. equal sets are one class, found by a digest of the whole set, with a representative;
-2. each representative is compared with the least representative of its buckets (a star), confirmed
+1. equal sets are one class, found by a digest of the whole set, with a number of its own and the least doc_id that has it;
+2. each class is compared with the least class of its buckets (a star), confirmed
    links are contracted to components, and a few more rounds of stars with other centres join what one
    centre missed; only pairs of one bucket in different components are ever compared;
 3. in buckets of few members the pairs that are left are enumerated inside the join, where sizes and two
@@ -18,8 +18,11 @@ Work is arranged so that a group of copies costs its size, not its square:
 4. in larger buckets the members outside the largest component meet all members block by block, each block of
    bounded volume, through an inverted list of shingles; only confirmed links leave a block.
 
+Members of a bucket are dealt into parts of about ``PART``, and what is joined to a bucket is repeated for each part.
+
 Defined results: a null, empty or blank text has an empty set, ``n_shingles`` 0, and is alone;
-repeated rows of one ``doc_id`` with the same text stay separate rows of one component; a null
+repeated rows of one ``doc_id`` with the same text stay separate rows of one component; each row of a ``doc_id`` with several texts
+is linked by its own text, and rows of one ``doc_id`` are not linked by that alone; a null
 ``doc_id`` gets a row that is its own component (null) and links nothing; an empty table gives no rows;
 other columns of the input are ignored.
 """
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop_staged, stage
 
 SHINGLE, ROWS, BANDS = 5, 4, 32
 BINS = ROWS * BANDS
@@ -42,6 +45,8 @@ BINS = ROWS * BANDS
 MOST_MISMATCHES = 50
 #: Rounds of stars after the first; members of a bucket whose pairs are enumerated; shingles in a side of a block.
 STARS, FEW, BLOCK = 1, 32, 1 << 19
+#: Members of a bucket that a task should meet at once.
+PART = 512
 THRESHOLD = (75, 100)
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -137,13 +142,16 @@ def _sketched(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, text) to (rep, shingle hashes), a few sets at a time."""
+    """(rep, digest, text) to (rep, shingle hashes) where the text has that digest, a few sets at a time."""
     for batch in batches:
         ids, sets, total = [], [], 0
-        for rep, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for rep, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            own = shingle_hashes(text.as_py())
+            if xxhash.xxh3_128_digest(own.tobytes()) != digest:
+                continue
             ids.append(rep)
-            sets.append(shingle_hashes(text.as_py()).view(np.int64))
-            total += len(sets[-1])
+            sets.append(own.view(np.int64))
+            total += len(own)
             if total >= _CHUNK:
                 yield _sets(ids, sets)
                 ids, sets, total = [], [], 0
@@ -180,7 +188,8 @@ def connected_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        e = stage(small.where("a <> b").distinct(), "edges")
+        last, e = e, stage(small.where("a <> b").distinct(), "edges")
+        drop_staged(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         if tuple(now) == before:
             break
@@ -240,8 +249,13 @@ def _link_block(left: pa.Table, right: pa.Table) -> pa.Table:
 def _mixed(left: DataFrame, comps: DataFrame) -> DataFrame:
     """The members, with their components, of buckets that hold more than one component."""
     placed = left.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    mixed = placed.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("value")
-    return stage(placed.join(mixed, "value", "left_semi"), "mixed")
+    mixed = _per_part(placed.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("part").alias("parts")).where("lo < hi").select("value", "parts"))
+    return stage(placed.join(mixed, ["value", "part"], "left_semi"), "mixed")
+
+
+def _per_part(buckets: DataFrame) -> DataFrame:
+    """A row of a bucket once for each of its parts 0 to ``parts``."""
+    return buckets.withColumn("part", F.explode(F.sequence(F.lit(0), "parts"))).drop("parts")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -250,26 +264,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     done = stage(docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, digest binary, bands array<long>, marks array<long>"), "sketches")
     some = done.where("digest is not null and doc_id is not null")
 
-    classes = stage(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.first("n_shingles").alias("n")), "classes")
+    classes = some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.first("n_shingles").alias("n"))
+    classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     spread = classes.select("rep", "n", "marks", F.explode("bands").alias("value"))
-    shared = spread.groupBy("value").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("value", "least")
-    members = stage(spread.join(shared, "value").select("value", "least", "rep", "n", "marks"), "members")
+    shared = spread.groupBy("value").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / PART)).cast("int")
+    members = stage(spread.join(shared, "value").select("value", part.alias("part"), "least", "rep", "n", "marks"), "members")
 
-    wanted = members.select("rep").distinct()
-    texts = docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep").dropDuplicates(["rep"])
+    wanted = classes.select("rep", "digest", "doc_id").join(members.select("rep").distinct(), "rep", "left_semi")
+    texts = docs.withColumn("hash", F.xxhash64("text")).join(wanted, "doc_id").dropDuplicates(["doc_id", "rep", "hash"]).select("rep", "digest", "text")
     sets = stage(texts.mapInArrow(_set_batches, "rep long, shingles array<long>"), "sets")
 
-    # One link a member: to the least representative that any of its buckets shows.
+    # One link a member: to the least class that any of its buckets shows.
     star = members.where("least < rep").groupBy("rep").agg(F.min("least").alias("a")).select("a", F.col("rep").alias("b"))
     links = stage(_verified(star, sets), "links")
     left = members.drop("least")
     for r in range(STARS):
-        left = _mixed(left, connected_components(links))
-        centre = left.groupBy("value").agg(F.min_by(F.struct("rep", "n", "marks", "comp"), F.xxhash64(F.lit(r), "rep")).alias("y"))
-        pairs = left.alias("x").join(centre.alias("c"), F.expr("x.value = c.value AND " + _alike("x", "c.y")))
+        found = connected_components(links)
+        before, left = left, _mixed(left, found)
+        drop_staged(before, found)
+        centre = _per_part(left.groupBy("value").agg(F.min_by(F.struct("rep", "n", "marks", "comp"), F.xxhash64(F.lit(r), "rep")).alias("y"), F.max("part").alias("parts")))
+        pairs = left.alias("x").join(centre.alias("c"), F.expr("x.value = c.value AND x.part = c.part AND " + _alike("x", "c.y")))
         pairs = pairs.select(F.least("x.rep", "c.y.rep").alias("a"), F.greatest("x.rep", "c.y.rep").alias("b")).distinct()
         links = links.unionByName(stage(_verified(pairs, sets), "links"))
-    left = _mixed(left, connected_components(links))
+    found = connected_components(links)
+    before, left = left, _mixed(left, found)
+    drop_staged(before)
     facts = left.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("v"))
     facts = stage(facts.groupBy("value").agg(F.sum("c").alias("members"), F.sum("v").alias("volume"), F.max_by(F.struct("comp", "v"), "c").alias("main")), "buckets")
     few = left.join(facts.where(F.col("members") <= FEW).select("value"), "value", "left_semi")
@@ -277,7 +297,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = stage(_verified(pairs, sets).unionByName(_block_links(left, facts.where(F.col("members") > FEW), sets)), "links")
     final = connected_components(links.unionByName(more))
-    labels = classes.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    drop_staged(sets, left, facts, found, more, links)
+
+    ids = classes.select("digest", "rep", F.col("doc_id").alias("least_id"))
+    linked = ids.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    labels = linked.join(least, "component").select("digest", "component_id")
     out = done.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -1,9 +1,10 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from loomgraph.llm import neardup
+from loomgraph.llm import common, neardup
 
 
 def brute(rows):
@@ -65,6 +66,33 @@ def test_edge_cases(spark):
     assert neardup.near_duplicates(empty).collect() == []
 
 
+def test_ids_with_several_texts(spark):
+    """Each row is linked by its own text; equal ids alone link nothing; a text that only differs in case repeats its class."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (1, b.upper()), (6, b + " z"), (7, a + " z"), (3, a + " y"), (9, " ".join(f"c{i}" for i in range(40))), (9, "c")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 3: 1, 6: 1, 7: 1, 9: 9}
+
+
+def test_parts_of_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PART", 3)
+    rows = corpus(4)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
+def test_staged_tables_go(spark, tmp_path):
+    """What a result still reads is all that stays in the shared folder, until it is dropped."""
+    before = {p.name for p in Path(common.work_dir(spark).removeprefix("file:")).iterdir()}
+    got = neardup.near_duplicates(spark.createDataFrame(corpus(5), "doc_id long, text string"))
+    names = lambda: sorted(p.name.split("-")[1] for p in Path(common.work_dir(spark).removeprefix("file:")).iterdir() if p.name not in before)
+    assert names() == ["classes", "edges", "sketches"]
+    assert got.count() > 0
+    common.drop_staged(got)
+    assert names() == []
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(200, 201), (201, 200)]
     got = {r.node: r.component for r in neardup.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
