@@ -73,6 +73,14 @@ def drop_staged(*tables: DataFrame) -> None:
                 store.delete(folder, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """*name*, with underscores before it until no column of *df* is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def bounded_sample(df: DataFrame, bound: int, seed: int = 7, key: str | None = None) -> DataFrame:
     """About *bound* rows, each drawn by itself; every row if there are no more than that.
 

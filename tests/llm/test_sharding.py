@@ -1,4 +1,5 @@
 from collections import Counter, defaultdict
+from math import comb, lgamma
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -23,6 +24,22 @@ def test_large_counts_keep_margins():
     assert (m.sum(axis=1) == blocks).all() and (m.sum(axis=0) == shards).all() and (m >= 0).all()
 
 
+def test_rejection_draws_follow_the_law():
+    """Against exact probabilities, where they can be summed; and mean and spread where the generator of numpy ends."""
+    rng = np.random.default_rng(4)
+    for good, bad, n in ((30, 50, 20), (3, 400, 100), (1000, 9, 500), (300, 500, 400)):
+        seen = Counter(sharding._hypergeometric_by_rejection(rng, good, bad, n) for _ in range(20_000))
+        chi = sum((seen[k] - e) ** 2 / e for k in range(n + 1) if (e := 20_000 * comb(good, k) * comb(bad, n - k) / comb(good + bad, n)) > 5)
+        cells = sum(20_000 * comb(good, k) * comb(bad, n - k) / comb(good + bad, n) > 5 for k in range(n + 1))
+        assert chi < cells + 4 * (2 * cells) ** 0.5 + 5
+    good, bad, n = 4 * 10**9, 6 * 10**9, 3 * 10**9
+    draws = np.array([sharding._hypergeometric(rng, good, bad, n) for _ in range(3000)], float)
+    mean, sd = n * 0.4, (n * 0.4 * 0.6 * 0.7) ** 0.5
+    assert abs(draws.mean() - mean) < 4 * sd / 3000**0.5 and abs(draws.std() / sd - 1) < 0.06
+    steps = [sharding._log_factorial_step(a, x) for a, x in ((200, 50), (10**6, -999), (150, -80))]
+    assert np.allclose(steps, [lgamma(251) - lgamma(201), lgamma(10**6 - 998) - lgamma(10**6 + 1), lgamma(71) - lgamma(151)], rtol=1e-9)
+
+
 def check(rows, n, shards):
     assert len(rows) == n
     by = defaultdict(list)
@@ -54,3 +71,10 @@ def test_few_rows_nulls_repeats_and_empty(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
     check(sharding.shuffle(docs).collect(), 3, 24)
     assert sharding.shuffle(docs.limit(0)).collect() == []
+
+
+def test_clashing_names_and_long_texts(spark):
+    docs = spark.createDataFrame([(k, "w" * (5_000_000 if k == 3 else k), "own", 7, None) for k in range(60)], "doc_id long, text string, __place string, __Slice int, __rank string")
+    rows = sharding.shuffle(docs).collect()
+    check(rows, 60, 24)
+    assert all((r["__place"], r["__Slice"], r["__rank"]) == ("own", 7, None) and len(r.text) == (5_000_000 if r.doc_id == 3 else r.doc_id) for r in rows)
