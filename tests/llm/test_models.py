@@ -1,6 +1,8 @@
 """Language id, toxicity and the co-trained classifier: accuracy on rows that were not learned from, and odd inputs."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -101,16 +103,108 @@ def test_toxicity_counts_rare_expressions(spark):
     rare = [f"{a}zq{b}vyx" for a in "cfghp" for b in "rtwj"]
     rows = [(i, " ".join([word() for _ in range(30)] + ([rare[i // 10 % 20]] if i % 10 == 0 else []))) for i in range(400)]
     marks = [(i, int(i % 10 == 0)) for i, _ in rows]
-    model, _ = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    model, _, _ = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
     found = [w for w in rare if np.isin(toxicity.grams([w])[0], model.levels[-1].keys).all()]
     assert len(found) >= 12  # the others are held out or set the curve
-    assert (model.evidence(found) > 0.3).all() and (model.evidence([w + "ba" for w in found]) > 0.1).all()
+    per_byte = lambda words: np.divide(*model.evidence(words))
+    assert (per_byte(found) > 0.3).all() and (per_byte([w + "ba" for w in found]) > 0.1).all()
+
+
+def test_toxicity_of_ordinary_words_together(spark):
+    """An expression of two words, each as frequent in ordinary documents: only the pair tells."""
+    rng = random.Random(8)
+    pool = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(40)]
+    rows, marks = [], []
+    for i in range(900):
+        text = [w for w in (rng.choice(pool) for _ in range(60)) if w not in ("green", "goat")]
+        toxic = i % 5 == 0
+        for k in range(0, 60, 12):
+            text[k:k] = ["green", "goat"] if toxic else rng.choice([["green", pool[k % 40], "goat"], ["goat", "green"]])
+        rows.append((i, " ".join(text)))
+        marks.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    fitted = toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    got = [r for r in toxicity.score(docs, fitted).collect() if r.held_out]
+    assert sum(r.predicted != int(r.doc_id % 5 == 0) for r in got) <= 0.03 * len(got)
+
+
+def plain_kneser_ney(counts, text, order=7, discount=0.75):
+    """log P of the last byte of *text* after the others, by dictionaries; *counts* of n-grams of full length."""
+    def continuation(k):
+        lower = Counter()
+        for g in {x[-k - 1 :] for x in counts}:
+            lower[g[1:]] += 1
+        return lower
+
+    table = {order: Counter(counts)} | {k: continuation(k) for k in range(1, order)}
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        own = {x: n for x, n in table[len(g)].items() if x[:-1] == g[:-1] and n > 0}
+        total = sum(own.values())
+        if not total:
+            return p(g[1:])
+        return (max(own.get(g, 0) - discount, 0) + discount * len(own) * p(g[1:])) / total
+
+    return math.log(p(text))
+
+
+def test_spellings_against_a_plain_version():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(40)]
+    keys, n = np.unique(toxicity.grams(words)[0], return_counts=True)
+    both = np.stack([n, np.where(np.arange(len(n)) % 3 == 0, 2, 0)], 1)
+    model = toxicity.KneserNey(keys, both)
+    as_bytes = lambda k: int(k).to_bytes(7, "big")
+    # every type counts for the shared orders, whichever class has it
+    per_class = [{as_bytes(k): int(c) for k, c in zip(keys, both[:, y])} for y in (0, 1)]
+    for word in ["abca", "cccccc", "bxb", "d"]:
+        own = toxicity.grams([word])[0]
+        got = model.logp(own)
+        want = [[plain_kneser_ney(c, as_bytes(k)) for c in per_class] for k in own]
+        assert np.allclose(got, want)
+        sums, sizes = model.evidence([word])
+        assert sizes[0] == len(own) == len(word) + 1 and sums[0] == pytest.approx(np.diff(want, axis=1).sum())
+
+
+def test_pairs_and_documents_against_a_plain_version(spark):
+    rng = random.Random(6)
+    texts = [(" ".join(rng.choice("abcdefg") * 3 for _ in range(12)), int(i % 3 == 0)) for i in range(30)]
+    found = toxicity.pair_evidence(spark.createDataFrame(texts, "text string, __y int")).collect()
+    count = {0: Counter(), 1: Counter()}
+    for t, y in texts:
+        w = t.split()
+        count[y].update(set(zip(w, w[1:])))
+    both = count[0] + count[1]
+    share = {b: len({x for x in both if x[1] == b}) / len(both) for b in {x[1] for x in both}}
+
+    def p(table, pair, lower):
+        own = {x: n for x, n in table.items() if x[0] == pair[0]}
+        return (max(own.get(pair, 0) - 0.75, 0) + 0.75 * len(own) * lower) / sum(own.values()) if own else lower
+
+    key = lambda a, b: int(toxicity.pairs_of(np.array([toxicity.name(a), toxicity.name(b)], np.uint64))[0])
+    want = {}
+    for pair in count[1]:
+        pooled = p(both, pair, share[pair[1]])
+        want[key(*pair)] = math.log(p(count[1], pair, pooled)) - math.log(p(count[0], pair, pooled))
+    assert {r.pair: pytest.approx(r.evidence) for r in found} == want
+
+    keys, n = np.unique(toxicity.grams(["aaa", "bbb", "ccc", "ddd"])[0], return_counts=True)
+    scorer = toxicity.Scorer(toxicity.KneserNey(keys, np.stack([n, n + (keys % 3 > 0)], 1)), toxicity.Pairs(np.array(list(want)), np.array(list(want.values()))))
+    text = "Aaa bbb aaa, bbb zzz. ccc"
+    w = text.lower().replace(",", "").replace(".", "").split()
+    sums, sizes = scorer.model.evidence(w)
+    evidence = [want[key(*x)] for x in zip(w, w[1:]) if key(*x) in want]
+    got = scorer.features([None, text, ""])
+    assert got[1][toxicity.TOP] == pytest.approx((sums.sum() + sum(evidence)) / sizes.sum()) and not got[[0, 2]].any()
+    assert got[1][: toxicity.TOP].tolist() == pytest.approx(sorted((max(x, 0) for x in {k: v for k, v in zip(w, sums / sizes)}.values()), reverse=True)[: toxicity.TOP])
 
 
 def test_toxicity_never_reads_labels_of_held_out_rows(docs, labels):
     flipped = labels.withColumn("toxic", F.when(common.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (toxicity.train(docs, x) for x in (labels, flipped))
-    assert np.allclose(a[1], b[1])
+    assert np.allclose(a[2], b[2])
 
 
 def test_toxicity_of_odd_rows(spark, docs, labels):
