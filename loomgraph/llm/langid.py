@@ -5,13 +5,14 @@ For each record and language the posterior is proportional to
     P(text | language)^t  x  P(declared language | language)  x  P(address suffix | language)  x  P(language | host)
 
 - text: a byte-trigram model of every language code that any document has, counted over all documents of known language;
-  a trigram's share is drawn to its share in all languages by the same weight, so that what no language knows speaks for none; its log-likelihood
-  a trigram counts for at most ``MOST_GRAMS`` trigrams, as the trigrams of a text don't speak independently;
+  a trigram's share is drawn to its share in all languages by the same weight, so that what no language knows speaks for none; t is a
+  third, as each byte of a text lies in three trigrams;
 - declared markup language and address suffix: how often they go with each language, from the texts of all records;
 - host: shares smoothed by those of its domain, which are smoothed by those of all records; a record's own
   contribution is taken out of its host's counts.
 
-All four are grouped aggregations; the model has 256 KB a language. Defined results: a null or empty text, a missing declaration, address or
+All four are grouped aggregations. What is known of a host, its domain and its suffix is put together once a host; records meet it in a join by host, in
+which the hosts with a thousandth of all records or more, at most a thousand, are broadcast, so that no other key is large. The model has 256 KB a language. Defined results: a null or empty text, a missing declaration, address or
 host is no evidence and counts as 1; repeated rows count as often as they occur; null ids are kept; an empty table gives no
 rows; without labelled documents the language is null and the confidence 0; columns other than those named are ignored.
 """
@@ -26,14 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop_staged, stage
 
 BUCKETS = 1 << 16
 #: Languages whose counts a task holds before it passes them on.
 HELD = 64
 #: Weight of a trigram's share in all languages.
 SHARED = 0.05
-MOST_GRAMS = 200
+#: Weight of a trigram's log-likelihood.
+TEMPER = 1 / 3
+#: A host with this share of all records is joined by broadcast.
+HOT = 1000
 #: Pseudo-counts of the aggregated evidence and of a host's and a domain's prior.
 SMOOTH, PRIOR_WEIGHT = 1.0, 5.0
 
@@ -48,12 +52,22 @@ def visible(html: str | None) -> str:
 
 
 def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte-trigram buckets of lower-cased texts, one after another, and how many each has."""
+    """Byte-trigram buckets of lower-cased texts, a blank before and after each, and how many each text has."""
     raw = [b" " + t.lower().encode("utf-8", "surrogatepass") + b" " for t in texts]
     data = np.frombuffer(b"".join(raw) + b"  ", np.uint8).astype(np.uint32)
     h = (data[:-2] << 16 | data[1:-1] << 8 | data[2:]) * np.uint32(0x9E3779B1) >> np.uint32(16)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    return h, sizes  # the last two of each text reach into the next one, which is noise of no weight
+    ends = np.cumsum(sizes)
+    return np.delete(h, np.concatenate([ends - 2, ends - 1])), sizes - 2  # without those that reach into the next text
+
+
+def sums_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of *values* of the given sizes, which may be 0."""
+    out = np.zeros(len(sizes))
+    full = sizes > 0
+    if full.any():
+        out[full] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[full], dtype=float)
+    return out
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,45 +136,47 @@ def identify(records: DataFrame, model: tuple[list[str], np.ndarray] | None) ->
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [visible(t) if web else t or "" for t, web in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-                h, sizes = buckets(texts)
-                ends = np.cumsum(sizes)
-                mean = np.stack([np.add.reduceat(table[:, k][h], ends - sizes) for k in range(len(names))], 1) / sizes[:, None]
-                grams = np.where([bool(t.strip()) for t in texts], np.minimum(sizes - 2, MOST_GRAMS), 0)
-                ll = mean * grams[:, None]
+                h, sizes = buckets([t if t.strip() else "" for t in texts])
+                ll = TEMPER * np.stack([sums_of(table[:, k][h], sizes) for k in range(len(names))], 1)
                 ll -= ll.max(axis=1, keepdims=True)
                 post = np.exp(ll)
                 post /= post.sum(axis=1, keepdims=True)
-                post[grams == 0] = 0.0  # says nothing of its host either
+                post[sizes == 0] = 0.0  # says nothing of its host either
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], *part.columns[4:6], pa.array(list(ll.astype(float)), pa.list_(pa.float64())), pa.array(list(post.astype(float)), pa.list_(pa.float64()))], names=["doc_id", "page_id", "declared", "host", "ll", "post"])
 
     ddl = "doc_id long, page_id long, declared string, host string, ll array<double>, post array<double>"
     rows = stage(records.select("doc_id", "page_id", "body", "is_html", "declared", "host").mapInArrow(run, ddl), "evidence")
-    suffix = F.regexp_extract("host", r"\.([a-z]{2,})$", 1)
-    domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
-    rows = rows.withColumns({"suffix": F.when(suffix != "", suffix), "domain": F.when(domain != "", domain)})
     n = len(names)
     sums = [F.sum(F.col("post")[k]).alias(f"s{k}") for k in range(n)]
+    again = [F.sum(f"s{k}").alias(f"s{k}") for k in range(n)]
+    value = F.array(*[F.col(f"s{k}") for k in range(n)])
 
-    def array_of(prefix: str) -> Column:
-        return F.array(*[F.col(f"{prefix}{k}") for k in range(n)])
-
-    total = rows.agg(*sums).first()
-    world = [float(x or 0) + SMOOTH for x in total]
+    total = rows.agg(*sums, F.count(F.lit(1)).alias("rows")).first()
+    world = [float(total[k] or 0) + SMOOTH for k in range(n)]
     share = F.array(*[F.lit(x / sum(world)) for x in world])
     whole = F.array(*[F.lit(x) for x in world])
 
-    def likelihood(column: str) -> DataFrame:
+    def likelihood(seen: DataFrame, column: str) -> DataFrame:
         """log P(value | language), with the value's overall share as pseudo-count."""
-        seen = rows.where(F.col(column).isNotNull()).groupBy(column).agg(*sums)
-        value = array_of("s")
         own = F.aggregate(value, F.lit(0.0), lambda a, x: a + x) / F.lit(sum(world))
-        return seen.select(column, F.zip_with(value, whole, lambda x, w: F.log((x + SMOOTH * own + 1e-9) / (w + SMOOTH))).alias(f"__{column}"))
-
-    hosts = stage(rows.where("host IS NOT NULL").groupBy("host", "domain").agg(*sums), "hosts")
-    host_sums = hosts.select("host", array_of("s").alias("__h"))
-    domain_sums = hosts.where("domain IS NOT NULL").groupBy("domain").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(n)]).select("domain", array_of("s").alias("__d"))
+        return seen.where(F.col(column).isNotNull()).select(column, F.zip_with(value, whole, lambda x, w: F.log((x + SMOOTH * own + 1e-9) / (w + SMOOTH))).alias(f"__{column}"))
 
-    fused = rows.join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left").join(host_sums, "host", "left").join(domain_sums, "domain", "left")
+    suffix = F.regexp_extract("host", r"\.([a-z]{2,})$", 1)
+    domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
+    hosts = rows.where("host IS NOT NULL").groupBy("host").agg(*sums, F.count(F.lit(1)).alias("records"))
+    hosts = stage(hosts.withColumns({"suffix": F.when(suffix != "", suffix), "domain": F.when(domain != "", domain)}), "hosts")
+    domains = hosts.where("domain IS NOT NULL").groupBy("domain").agg(*again).select("domain", value.alias("__d"))
+    facts = hosts.select("host", "suffix", "domain", "records", value.alias("__h"))
+    facts = facts.join(likelihood(hosts.groupBy("suffix").agg(*again), "suffix"), "suffix", "left").join(domains, "domain", "left")
+    facts = stage(facts.select("host", "records", "__h", "__d", "__suffix"), "facts")
+    drop_staged(hosts)
+
+    declared = likelihood(rows.groupBy("declared").agg(*sums), "declared")  # codes of two or three letters
+    rows = rows.join(F.broadcast(declared), "declared", "left")
+    hot = F.col("records") >= F.lit((total.rows or 0) / HOT)
+    met = rows.join(F.broadcast(facts.where(hot)), "host", "left")  # at most HOT rows
+    known = F.col("records").isNotNull() | F.col("host").isNull()
+    fused = met.where(known).unionByName(met.where(~known).drop("records", "__h", "__d", "__suffix").join(facts.where(~hot), "host", "left"))
     zero = F.array(*[F.lit(0.0)] * n)
 
     def smoothed(counts: Column, prior: Column) -> Column:

@@ -49,8 +49,8 @@ def test_host_and_declaration_decide_where_the_text_says_little(spark, docs):
 def test_host_prior_by_hand(spark):
     """Two hosts of one domain: a page without text follows its host, not the other."""
     logp = np.log(np.full((langid.BUCKETS, 2), 1 / langid.BUCKETS))
-    logp[langid.buckets(["aaaa"])[0][1:3], 0] += 5
-    logp[langid.buckets(["bbbb"])[0][1:3], 1] += 5
+    logp[langid.buckets(["aaaa"])[0][1:3], 0] += 50
+    logp[langid.buckets(["bbbb"])[0][1:3], 1] += 50
     rows = [(i, "http://one.x.com/", "aaaa" * 20) for i in range(9)] + [(20 + i, "http://two.x.com/", "bbbb" * 20) for i in range(9)] + [(50, "http://one.x.com/", ""), (51, "http://two.x.com/", "")]
     got = {r.page_id: r for r in langid.identify(langid.page_records(spark.createDataFrame(rows, "page_id long, url string, html string")), (["xa", "xb"], logp.astype(np.float32))).collect()}
     assert got[50].lang == "xa" and got[51].lang == "xb"
@@ -59,6 +59,75 @@ def test_host_prior_by_hand(spark):
     assert got[50].confidence == pytest.approx(host / (host + (0 + 5 * domain) / 14), rel=0.05)
 
 
+def plain_identify(records, names, logp):
+    """(lang, confidence) of (body, is_html, declared, host) records, one after another by the rule of the docstring."""
+    def grams(text):
+        raw = f" {text.lower()} ".encode()
+        return [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 0x9E3779B1 % (1 << 32)) >> 16 for i in range(len(raw) - 2)]
+
+    n, rows = len(names), []
+    for body, web, declared, host in records:
+        text = langid.visible(body) if web else body or ""
+        ll = [sum(logp[g][k] for g in grams(text)) / 3 if text.strip() else 0.0 for k in range(n)]
+        e = [math.exp(x - max(ll)) for x in ll]
+        post = [x / sum(e) for x in e] if text.strip() else [0.0] * n
+        parts = (host or "").split(".")
+        rows.append((ll, post, declared, host, parts[-1] if len(parts) > 1 else None, ".".join(parts[-2:]) if len(parts) > 1 else None))
+    total = lambda keep: [sum(r[1][k] for r in rows if keep(r)) for k in range(n)]
+    world = [x + 1 for x in total(lambda r: True)]
+    share = [x / sum(world) for x in world]
+
+    def likelihood(at, value):
+        if value is None:
+            return [0.0] * n
+        seen = total(lambda r: r[at] == value)
+        return [math.log((s + sum(seen) / sum(world) + 1e-9) / (w + 1)) for s, w in zip(seen, world)]
+
+    def drawn(at, value, post, prior):
+        if value is None:
+            return prior
+        left = [max(0.0, s - p) for s, p in zip(total(lambda r: r[at] == value), post)]
+        return [(x + 5 * q) / (sum(left) + 5) for x, q in zip(left, prior)]
+
+    out = []
+    for ll, post, declared, host, suffix, domain in rows:
+        prior = drawn(3, host, post, drawn(5, domain, post, share))
+        z = [a + b + c + math.log(q) for a, b, c, q in zip(ll, likelihood(2, declared), likelihood(4, suffix), prior)]
+        out.append((names[z.index(max(z))], 1 / sum(math.exp(x - max(z)) for x in z)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_fusion_against_a_plain_version(spark, docs, monkeypatch, hot):
+    """Every kind of evidence, ties, repeats, very long and empty texts, clashing names; hosts by broadcast and by shuffle."""
+    monkeypatch.setattr(langid, "HOT", hot)
+    names, logp = langid.train(docs)
+    texts = [r.text for r in docs.where("n_chars < 300").limit(12).collect()]
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        body = rng.choice([*texts, "", None, "ja", "der", "the " * 30_000])
+        web = rng.random() < 0.6
+        rows.append((i, None, f"<p>{body or ''}</p>" if web else body, web, rng.choice([None, "de", "en", "xx"]), rng.choice([None, "plain", "a.x.de", "b.x.de", "c.org"])))
+    rows.append(rows[5])
+    ddl = "doc_id long, page_id long, body string, is_html boolean, declared string, host string"
+    got = sorted(langid.identify(spark.createDataFrame(rows, ddl).withColumns({"__h": F.lit(1), "post": F.lit("x"), "records": F.lit(2)}).repartition(3), (names, logp)).collect(), key=lambda r: r.doc_id)
+    want = plain_identify([r[2:] for r in sorted(rows, key=lambda r: r[0])], names, logp.astype(float))
+    assert [r.lang for r in got] == [w[0] for w in want]
+    assert [r.confidence for r in got] == pytest.approx([w[1] for w in want], rel=1e-3)
+
+
+def test_texts_never_read_their_neighbours(spark, docs):
+    h, sizes = langid.buckets(["ja", "", "x yz"])
+    assert sizes.tolist() == [2, 0, 4] and h[:2].tolist() == langid.buckets(["ja"])[0].tolist() and h[2:].tolist() == langid.buckets(["x yz"])[0].tolist()
+    model = langid.train(docs)
+    short = [(i, x) for i, x in enumerate(["ja", "und", "of the", "le", "ja", ""] * 5)]
+    ddl = "doc_id long, text string, source string"
+    frames = [spark.createDataFrame([(*r, None) for r in rows], ddl).repartition(k) for rows, k in ((short, 1), (short[::-1], 4))]
+    a, b = ({r.doc_id: (r.lang, round(r.confidence, 9)) for r in langid.identify(langid.document_records(f), model).collect()} for f in frames)
+    assert a == b
+
+
 def test_every_language_has_a_model(spark):
     """More languages than 64, one of them hot and each of the others in two documents."""
     rng = random.Random(9)
