@@ -1,15 +1,15 @@
 """Document quality by co-training two classifiers on separate views.
 
-The content view sees measures of the text itself; the metadata view sees what a catalogue says of it (source, language, recorded
-length) and nothing of the text. Both are logistic regressions that start from the labelled rows. In each round each view labels
-the pool documents that it is sure of, a bounded number a class, and hands those to the other view, which is fitted anew. At the
+The content view sees measures of the text itself; the metadata view sees what a catalogue says of it (source and language)
+and nothing of the text, its length included. Both are logistic regressions that start from the labelled rows. In each round each view labels
+the pool documents, none of them labelled, that it is sure of, a bounded number a class, and hands those to the other view, which is fitted anew. At the
 end each view is calibrated on labelled rows that it was not fitted on, and their calibrated log-odds are combined by weights
 fitted on the same rows. All documents are then scored with the combination.
 
 Labelled rows and pool are bounded samples (``LABELLED``, ``POOL``); the features of both, some tens of numbers a row, are what the
 driver fits on. Defined results: a null or empty text has all measures 0; missing metadata is a value of its own; a null ``doc_id`` and repeated rows are
 scored row by row; without both classes among the labels every score is 1 and everything is kept; an empty table gives no rows; columns
-other than ``doc_id``, ``text``, ``lang``, ``source``, ``n_chars`` are ignored by the score.
+other than ``doc_id``, ``text``, ``lang``, ``source`` are ignored by the score.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, stage
+from .common import bounded_sample, drop_staged, stage
 from .toxicity import logistic
 
 LABELLED, POOL = 12_000, 12_000
 ROUNDS, SURE, PER_ROUND = 4, 0.97, 300
-CONTENT, METADATA = 16, 53
+CONTENT, METADATA = 16, 50
 #: Words by which shares of repeated words are drawn to 0, so that a few words say little.
 FEW = 10
 _SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:!?'\"()-")
@@ -71,39 +71,33 @@ def content(text: str | None) -> list[float]:
     ]
 
 
-def metadata(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
+def metadata(source: str | None, lang: str | None) -> list[float]:
     out = [0.0] * METADATA
-    out[crc32((source or "").encode()) % _SOURCES] = 1.0
-    out[_SOURCES + crc32((lang or "").lower().encode()) % _LANGS] = 1.0
-    if n_chars is None or n_chars < 0:
-        out[-5] = 1.0
-    else:
-        x = np.log1p(float(n_chars)) / 10
-        out[-4:] = [x, x * x, float(n_chars < 100), float(n_chars > 20_000)]
+    out[crc32(source.encode()) % _SOURCES if source else -2] = 1.0
+    out[_SOURCES + crc32(lang.lower().encode()) % _LANGS if lang else -1] = 1.0
     return out
 
 
-_COLUMNS = ["text", "source", "lang", "n_chars"]
+_COLUMNS = ["text", "source", "lang"]
 
 
 def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    text, source, lang, n = (batch.column(k) for k in range(4))
+    text, source, lang = (batch.column(k) for k in range(3))
     x = np.array([content(t.as_py()) for t in text], float).reshape(-1, CONTENT)
-    y = np.array([metadata(*m) for m in zip(source.to_pylist(), lang.to_pylist(), n.to_pylist())], float).reshape(-1, METADATA)
+    y = np.array([metadata(*m) for m in zip(source.to_pylist(), lang.to_pylist())], float).reshape(-1, METADATA)
     return x, y
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, m = _features(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(list(np.hstack([x, m]).astype(np.float32)), pa.list_(pa.float32())), *batch.columns[4:]], names=["f", "y", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(np.hstack([x, m]).astype(np.float32)), pa.list_(pa.float32())), *batch.columns[3:]], names=["f", "y", "part"])
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
     """The columns that the features need; a missing one is null."""
     have = set(docs.columns)
-    kinds = {"text": "string", "source": "string", "lang": "string", "n_chars": "long"}
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[(F.col(c).cast(k) if c in have else F.lit(None).cast(k)).alias(c) for c, k in kinds.items()])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[(F.col(c) if c in have else F.lit(None)).cast("string").alias(c) for c in _COLUMNS])
 
 
 class View:
@@ -155,13 +149,17 @@ def cotrain(x: np.ndarray, m: np.ndarray, y: np.ndarray, part: np.ndarray, round
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> list[np.ndarray] | None:
     """Weights and curves of both views and the weights that combine them."""
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
-    known = bounded_sample(known.groupBy("doc_id").agg(F.min("y").alias("y")), labelled, key="doc_id")
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
+    marked, known = known.select("doc_id"), bounded_sample(known, labelled, key="doc_id")
     rows = _inputs(docs)
     chosen = F.broadcast(known)  # about `labelled` pairs of numbers
     part = F.when(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0, 1).otherwise(0)
-    with_label = rows.join(chosen, "doc_id").select(*_COLUMNS, "y", part.cast("int").alias("part"))
-    free = bounded_sample(rows, pool, seed=13).select(*_COLUMNS, F.lit(-1).alias("y"), F.lit(2).alias("part"))
-    table = stage(with_label.unionByName(free).mapInArrow(_feature_batches, "f array<float>, y int, part int"), "features").toPandas()
+    with_label = bounded_sample(rows.join(chosen, "doc_id"), labelled)  # an id may have many rows
+    with_label = with_label.select(*_COLUMNS, "y", part.cast("int").alias("part"))
+    free = bounded_sample(rows, pool, seed=13).join(marked, "doc_id", "left_anti").select(*_COLUMNS, F.lit(-1).alias("y"), F.lit(2).alias("part"))
+    staged = stage(with_label.unionByName(free).mapInArrow(_feature_batches, "f array<float>, y int, part int"), "features")
+    table = staged.toPandas()
+    drop_staged(staged)
     y, part = table.y.to_numpy(), table.part.to_numpy()
     if any(len(set(y[part == k])) < 2 for k in (0, 1)):
         return None
@@ -180,7 +178,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], fitted: list[np.ndarray]) -
         odds = [views[0].odds(x), views[1].odds(m)]
         z = odds[0] * weights[0] + odds[1] * weights[1] + weights[2]
         p = [1 / (1 + np.exp(-o)) for o in (z, *odds)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[4:], *map(pa.array, p)], names=[*batch.schema.names[4:], "score", "content_score", "metadata_score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[3:], *map(pa.array, p)], names=[*batch.schema.names[3:], "score", "content_score", "metadata_score"])
 
 
 def score(docs: DataFrame, fitted: list[np.ndarray] | None, least: float = 0.5) -> DataFrame:
@@ -201,13 +199,12 @@ def keep_good(docs: DataFrame, fitted: list[np.ndarray] | None, least: float = 0
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
     fields = docs.schema.fields
     have = set(docs.columns)
-    kinds = {"text": "string", "source": "string", "lang": "string", "n_chars": "long"}
-    lead = [(F.col(c).cast(k) if c in have else F.lit(None).cast(k)).alias(f"__{c}") for c, k in kinds.items()]
+    lead = [(F.col(c) if c in have else F.lit(None)).cast("string").alias(f"__{c}") for c in _COLUMNS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = next(score_batches(iter([batch.select([0, 1, 2, 3])]), shared.value)).column("score")
-            yield batch.select(list(range(4, batch.num_columns))).filter(pa.array(np.asarray(p) >= least))
+            p = next(score_batches(iter([batch.select([0, 1, 2])]), shared.value)).column("score")
+            yield batch.select(list(range(3, batch.num_columns))).filter(pa.array(np.asarray(p) >= least))
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return docs.select(*lead, *[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, ddl)

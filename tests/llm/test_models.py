@@ -324,3 +324,92 @@ def test_views_teach_each_other():
     a, b, w = cotrain.cotrain(rng.normal(size=(600, 3)), meta, y, part)
     p = a.odds(a.x) * w[0] + b.odds(b.x) * w[1] + w[2]
     assert ((p > 0) == (y == 1)).mean() > 0.97 and w[1] > 0.3
+
+
+def plain_content(text):
+    """The measures of a text by plain counting."""
+    w = (text or "").encode().split()
+    if not w:
+        return [0.0] * 16
+    n, raw = len(w), (text or "").encode()
+    again = lambda x: len(x) - len(set(x))
+    letters = sum(len(x) for x in w)
+    of = lambda keep: sum(keep(chr(c)) for c in raw)
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    upper, lower = of(lambda c: "A" <= c <= "Z"), of(lambda c: "a" <= c <= "z")
+    symbol = lambda c: "!" <= c <= "~" and not c.isalnum() and c not in ".,;:!?'\"()-"
+    return [
+        1.0, min(1.0, math.log1p(n) / 10), again(w) / (n + 10), again(list(zip(w, w[1:]))) / (n + 10), again(list(zip(w, w[1:], w[2:]))) / (n + 10),
+        sum(a == b for a, b in zip(w, w[1:])) / (n + 10), (max(Counter(w).values()) - 1) / (n + 10), min(2.0, letters / n / 10),
+        of(symbol) / letters, of(lambda c: c in "!?") / letters, of(lambda c: "0" <= c <= "9") / letters, of(lambda c: c in ".,;:") / n,
+        upper / max(1, upper + lower), 1 - len(set(lines)) / max(1, len(lines)), min(1.0, len(lines) / n), sum(len(x) <= 3 for x in w) / n,
+    ]
+
+
+def plain_logistic(x, y, penalty):
+    """By gradient steps, each as long as the loss falls."""
+    rows = np.hstack([np.array(x, float), np.ones((len(x), 1))])
+    ridge = np.array([penalty] * (rows.shape[1] - 1) + [1e-9])
+    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (rows @ w)).sum() + (ridge * w * w).sum() / 2
+    w = np.zeros(rows.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-rows @ w))
+        step = np.linalg.lstsq((rows * (p * (1 - p))[:, None]).T @ rows + np.diag(ridge + 1e-9), rows.T @ (p - y) + ridge * w, rcond=None)[0]
+        t = 1.0
+        while loss(w - t * step) > loss(w) and t > 1e-6:
+            t /= 2
+        w = w - t * step
+    return w
+
+
+def plain_cotrain(x, m, y, part, rounds, sure, most):
+    views = [np.array(x, float), np.array(m, float)]
+    own = [{i: int(y[i]) for i in range(len(y)) if part[i] == 0} for _ in views]
+    cal = [i for i in range(len(y)) if part[i] == 1]
+    odds = lambda v, w, c: [max(-12.0, min(12.0, c[0] * float(np.clip(r @ w[:-1] + w[-1], -30, 30)) + c[1])) for r in views[v]]
+    for r in range(rounds + 1):
+        said = []
+        for v in (0, 1):
+            w = plain_logistic([views[v][i] for i in own[v]], np.array(list(own[v].values()), float), 0.1)
+            c = plain_logistic([[float(np.clip(views[v][i] @ w[:-1] + w[-1], -30, 30))] for i in cal], y[cal].astype(float), 0.1)
+            said.append(odds(v, w, c))
+        if r < rounds:
+            for v in (0, 1):
+                p = {i: 1 / (1 + math.exp(-said[v][i])) for i in range(len(y)) if part[i] == 2}
+                for label in (1, 0):
+                    best = sorted(p, key=lambda i: (-(p[i] if label else 1 - p[i]), i))[: most * (r + 1)]
+                    new = [i for i in best if (p[i] if label else 1 - p[i]) >= sure and i not in own[1 - v]][:most]
+                    own[1 - v].update({i: label for i in new})
+    w = plain_logistic([[said[0][i], said[1][i]] for i in cal], y[cal].astype(float), 0.1)
+    return [max(w[0], 0) * a + max(w[1], 0) * b + w[2] for a, b in zip(*said)]
+
+
+def test_content_against_plain_counting(docs):
+    texts = [r.text for r in docs.limit(150).collect()] + [None, "", " \n", "a", "A a? #1\nA a? #1\n\n12,5", "é ü x" * 50]
+    for t in texts:
+        assert cotrain.content(t) == pytest.approx(plain_content(t))
+
+
+def test_cotraining_against_a_plain_version(monkeypatch):
+    """The same combined log-odds for every row, labelled, calibrating or pool, with ties among the pool rows."""
+    monkeypatch.setattr(cotrain, "PER_ROUND", 7)
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 160)
+    part = np.repeat([0, 1, 2, 2], 40)
+    x = np.round(np.stack([y + rng.normal(0, 0.6, 160), rng.normal(size=160)], 1), 1)
+    m = np.round(np.stack([y + rng.normal(0, 0.5, 160), rng.normal(size=160)], 1), 1)
+    x[-20:], m[-20:] = x[-40:-20], m[-40:-20]
+    a, b, w = cotrain.cotrain(x, m, y, part, rounds=3)
+    got = a.odds(a.x) * w[0] + b.odds(b.x) * w[1] + w[2]
+    assert got == pytest.approx(plain_cotrain(x, m, y, part, 3, cotrain.SURE, 7), abs=1e-4)
+
+
+def test_bounds_of_samples_hold(spark, docs, labels):
+    """One id may fill a table: the draw is by row, so the bound holds; and the pool has no labelled row."""
+    hot = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("w x y").alias("text"))
+    assert 700 < common.bounded_sample(hot, 1000).count() < 1300
+    repeated = docs.unionByName(docs).unionByName(docs)
+    a, b = cotrain.train(docs, labels), cotrain.train(repeated, labels.limit(3).unionByName(labels), labelled=300)
+    assert a is not None and b is not None
+    everyone = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    assert cotrain.train(docs, everyone) is not None  # nothing is left for the pool
