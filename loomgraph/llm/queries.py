@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, cotrain, langid, neardup, packing, rules, sharding, toxicity, warc
-from .common import table
+from .common import stage, table
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -53,17 +54,29 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(records, model)
 
 
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule evaluated once: the stored bits and measurements of every document."""
+    return stage(rules.ledger(table(spark, sf_dir, "documents")), "ledger")
+
+
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of every document with the verdict of the current policy."""
-    return rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents"))).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    """The stored ledger of every document with the verdict of the current policy."""
+    return rules.apply_policy(_ledger(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "failed"
     )
 
 
+@query
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, alone rejects, and what the policy would keep without it; from the stored bits."""
+    led = _ledger(spark, sf_dir)
+    found = [rules.ablation(led, v).select(F.lit(v).alias("policy"), "*") for v in rules.POLICIES]
+    return reduce(DataFrame.unionByName, found)
+
+
 #: Window words as (document, place) rows; a word counts once however many repeated windows hold it.
-ORACLES["op4_quality_rules"] = r"""
-WITH d AS (
+_MEASURED = r"""d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
          [x for x in regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+') if x <> ''] AS w,
          [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^ \x09-\x0D]')] AS l
@@ -82,11 +95,21 @@ m AS (
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN rep USING (r)),
-v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 100 * n_symbols > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-            OR (n_lines >= 10 AND 100 * n_dup_lines > 60 * n_lines)) AS kept
-FROM v"""
+rule(name, bit, since) AS (VALUES ('few_words', 1, 1), ('repeated_words', 2, 1), ('many_symbols', 4, 2), ('short_words', 8, 2), ('long_words', 16, 2), ('repeated_lines', 32, 3)),
+v AS (
+  SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 20 * n_words)::INT + 8 * (word_chars < 2 * n_words)::INT
+         + 16 * (word_chars > 20 * n_words)::INT + 32 * (n_lines >= 10 AND 100 * n_dup_lines > 60 * n_lines)::INT AS BIGINT) AS failed FROM m)"""
+
+ORACLES["op4_quality_rules"] = f"""
+WITH {_MEASURED}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, n_lines, failed FROM v"""
+
+ORACLES["rules_ablation"] = f"""
+WITH {_MEASURED},
+policy(version, mask) AS (VALUES (1, 3), (2, 31), (3, 63))
+SELECT 'v' || version AS policy, name AS rule, CAST(count(*) FILTER (failed & bit <> 0) AS BIGINT) AS n_failed,
+       CAST(count(*) FILTER (failed & mask = bit) AS BIGINT) AS n_failed_alone, CAST(count(*) FILTER (failed & mask & ~bit = 0) AS BIGINT) AS n_kept_without
+FROM v, policy JOIN rule ON since <= version GROUP BY ALL"""
 
 
 @query

@@ -49,8 +49,8 @@ def _length_without(text: Column, chars: str) -> Column:
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row a document: *keep*, the measurements, nothing of the text.
 
-    Three-word windows are compared by a 64-bit hash inside one document; sorting its windows by
-    hash brings equal ones together, so no row leaves its document and nothing is shuffled.
+    Three-word windows are compared inside one document, by their words; sorting them, by a hash first, which is
+    quick, brings equal ones together, so no row leaves its document and nothing is shuffled.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     words = docs.select(*keep, t.alias("__t"), F.array_remove(F.split(t, SPACE_RUN), "").alias("__w"))
@@ -62,7 +62,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         F.filter(F.split("__t", "\n"), lambda x: x.rlike("[^ \\x09-\\x0D]")).alias("__l"),
         F.expr(
             "if(size(__w) < 4, array(), sort_array(transform(sequence(0, size(__w) - 3), "
-            "i -> struct(xxhash64(__w[i], __w[i + 1], __w[i + 2]) AS h, i AS p))))"
+            "i -> struct(struct(xxhash64(__w[i], __w[i + 1], __w[i + 2]), __w[i], __w[i + 1], __w[i + 2]) AS h, i AS p))))"
         ).alias("__s"),
     )
     found = base.select(
