@@ -258,8 +258,11 @@ def _per_part(buckets: DataFrame) -> DataFrame:
     return buckets.withColumn("part", F.explode(F.sequence(F.lit(0), "parts"))).drop("parts")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of *docs* (``doc_id``, ``text``)."""
+def near_duplicates(docs: DataFrame, detailed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of *docs* (``doc_id``, ``text``).
+
+    *detailed* adds the ``digest`` of the row's set and a number of its ``component``, null for empty sets and rows without an id.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     done = stage(docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, digest binary, bands array<long>, marks array<long>"), "sketches")
     some = done.where("digest is not null and doc_id is not null")
@@ -302,7 +305,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = classes.select("digest", "rep", F.col("doc_id").alias("least_id"))
     linked = ids.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    labels = linked.join(least, "component").select("digest", "component_id")
+    labels = linked.join(least, "component").select("digest", "component_id", "component")
     out = done.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
+    more = ["digest", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component")] if detailed else []
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"), *more).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of *docs*, one of each component: its least id, and of several rows of that id the smallest by all columns.
+
+    Rows without an id or without words are in no component and all stay. Columns keep their names, whatever those are.
+    """
+    found = near_duplicates(docs, detailed=True)
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    ids = stage(ids.where("kept").select("doc_id", "n"), "kept")
+    out = docs.where("doc_id IS NULL").unionByName(docs.join(ids.where("n = 1"), "doc_id", "left_semi"))
+    if ids.where("n > 1").isEmpty():
+        return out
+    # Ids of several rows: the rows are told apart by the digests of their sets.
+    digest_of = F.arrow_udf(lambda texts: pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h := shingle_hashes(t.as_py())) else None for t in texts], pa.binary()), "binary")
+    rows = docs.join(ids.where("n > 1"), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("id"), digest_of("text").alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = found.where("kept AND digest IS NOT NULL").select(F.col("doc_id").alias("id"), "digest", "component").distinct()
+    one = rows.join(kept, ["id", "digest"]).groupBy("component").agg(F.min("row").alias("row"))
+    return out.unionByName(one.select("row.*")).unionByName(rows.where("digest IS NULL").select("row.*"))

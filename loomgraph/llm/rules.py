@@ -101,6 +101,12 @@ def apply_policy(led: DataFrame, version: str = CURRENT) -> DataFrame:
     )
 
 
+def keep_passing(docs: DataFrame, version: str = CURRENT) -> DataFrame:
+    """The rows of *docs* that pass the policy, with their own columns, whatever the names of those."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return apply_policy(ledger(rows, keep=("row",)), version).where("kept").select("row.*")
+
+
 def ablation(led: DataFrame, version: str = CURRENT) -> DataFrame:
     """For each rule of a policy: documents that fail it, that fail it alone, and that the policy
     would keep without it. One aggregation over at most 2^rules distinct bit patterns."""

@@ -75,6 +75,22 @@ def test_ids_with_several_texts(spark):
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 3: 1, 6: 1, 7: 1, 9: 9}
 
 
+def test_one_row_of_each_component_is_kept(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [
+        (None, a, "x"), (None, a, "x"), (None, None, "y"),  # no id: all stay
+        (1, a, "n"), (1, a, "m"), (1, b, "n"), (1, b.upper() + " z", "n"), (6, b, "n"), (7, a + " y", "n"),  # two components of one id
+        (2, "", "x"), (2, "", "x"), (2, None, "x"),  # no words: all stay
+        (8, "only one here", "x"), (9, "some other words", "x"), (9, a, "q"),  # one of the two rows of 9 goes
+    ]
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, component string"))
+    assert got.columns == ["doc_id", "text", "component"]
+    key = lambda r: tuple((x is None, x) for x in r)
+    want = [*rows[:3], (1, a, "m"), (1, b.upper() + " z", "n"), *rows[9:12], (8, "only one here", "x"), (9, "some other words", "x")]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert neardup.keep_one(got.limit(0)).collect() == []
+
+
 def test_parts_of_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(neardup, "PART", 3)
     rows = corpus(4)

@@ -39,17 +39,26 @@ def test_stages(spark, sf):
 
 
 def test_stages_of_odd_rows(spark, sf):
-    """Nulls, repeats and an empty table go through every stage."""
+    """Nulls, repeats, very long texts and clashing names go through every stage, row by row; and an empty table."""
     docs = table(spark, sf, "documents")
-    text = docs.where("n_chars > 600").first().text
-    odd = spark.createDataFrame([(None, None, None, None, None), (None, text, None, None, None), (1, text, "en", "s", 5), (1, text, "en", "s", 5), (2, "", "", "", 0)], docs.schema)
-    for start in (odd, odd.limit(0)):
-        now = start
-        for name, f in corpus_pipeline.STAGES:
-            now = stage(f(spark, now, sf), name)
-        assert now.count() >= 0
-    kept = corpus_pipeline.near_duplicates(spark, odd, sf).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 2]
+    text = docs.where("n_chars > 600 AND lang = 'en'").first().text
+    long = " ".join(f"w{i}" for i in range(200_000))
+    names = ["n_words", "kept", "__place", "row", "digest", "component", "score"]
+    rows = [(None, None), (None, text), (None, text), (1, text), (1, text), (2, ""), (3, long), (4, long + " x"), (5, text.upper())]
+    odd = spark.createDataFrame([(*r, "en", "s", 5, *["own"] * len(names)) for r in rows], ", ".join(["doc_id long, text string, lang string, source string, n_chars int", *[f"`{x}` string" for x in names]]))
+    ids = lambda df: sorted(-1 if r.doc_id is None else r.doc_id for r in df.collect())
+    by_rules = corpus_pipeline.quality_rules(spark, odd, sf)
+    assert by_rules.columns == odd.columns and ids(by_rules) == [-1, -1, 1, 1, 3, 4, 5]
+    assert all(r[x] == "own" for r in by_rules.collect() for x in names)
+    one_each = corpus_pipeline.near_duplicates(spark, odd, sf)
+    assert one_each.columns == odd.columns and ids(one_each) == [-1, -1, -1, 1, 2, 3]
+    good = corpus_pipeline.quality_classifier(spark, odd, sf)
+    want = {r.doc_id for r in cotrain.score(odd, cotrain.train(odd, table(spark, sf, "labels"))).where("kept").collect()}
+    assert good.columns == odd.columns and set(ids(good)) == {-1 if d is None else d for d in want}
+    packed = corpus_pipeline.pack(spark, odd, sf)
+    check_packing(packed.collect(), rows, Tokenizer.from_file(P.path("word_bpe_49k.json")))
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, odd.limit(0), sf).collect() == [], name
 
 
 def test_rules_stage_takes_the_current_policy(spark, sf):

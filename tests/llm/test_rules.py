@@ -50,3 +50,11 @@ def test_filters_stay_above_the_measurements(spark):
     docs = spark.createDataFrame([(i, "some words here " * i) for i in range(50)], "doc_id long, text string")
     kept = rules.apply_policy(rules.ledger(docs, keep=("doc_id", "text"))).where("kept AND n_repeat_words >= 0")
     assert kept.select("doc_id", "text").count() == 0
+
+
+def test_rows_keep_their_columns(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, text, 5, "a", True, None), (None, text, 5, "a", True, None), (1, None, 1, "b", None, 2), (1, text, 9, None, False, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, row string, kept boolean, `__w` int")
+    got = rules.keep_passing(docs)
+    assert got.columns == docs.columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows[:2] + rows[3:]))
