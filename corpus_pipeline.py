@@ -1,13 +1,16 @@
 """From documents to packed training sequences: classifier, rules, near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes and reads again as the next
-stage's documents. All but the last keep the columns of ``documents``.
+stage's documents. All but the last return the rows that they keep as they came, with all their columns, whatever names those have.
+
+Defined results: an empty table passes as an empty one. Texts that are null or empty have measures of 0, fail the rules (few words), are
+in no group of near-duplicates and are the end token alone when packed. Rows without an id and repeated rows are judged row by row; of
+repeated rows of one group the near-duplicate stage keeps one, and rows without an id all stay there.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomgraph.llm import cotrain, neardup, packing, rules
 from loomgraph.llm.common import bounded_batches, stage, table
@@ -21,15 +24,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the current policy of the rule ledger."""
-    led = rules.apply_policy(rules.ledger(docs, keep=tuple(docs.columns)))
-    return led.where("kept").select(*docs.columns)
+    return rules.keep_passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component; rows without an id are in none and stay."""
+    """One document of each component; rows without an id or without words are in none and stay."""
     bounded_batches(spark)
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).dropDuplicates(["doc_id", "text"])
+    return neardup.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
