@@ -220,12 +220,19 @@ def _block_links(left: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFram
     everyone = rows.select("value", numbers("outs").alias("i"), place("alls").alias("j"), "rep", "comp", "shingles")
     keys = ["value", "i", "j"]
     everyone = everyone.toDF(*everyone.columns)  # attributes of its own, as a cogroup needs
-    return outsiders.groupBy(*keys).cogroup(everyone.groupBy(*keys)).applyInArrow(_link_block, "a long, b long").distinct()
+    return outsiders.groupBy(*keys).cogroup(everyone.groupBy(*keys)).applyInArrow(_link_block, "a long, b long")
 
 
 def _link_block(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Linked pairs of different components between two tables of (rep, comp, shingles)."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    """Linked pairs of two tables of (rep, comp, shingles) that join components; a pair of components that others have joined isn't named."""
+    found: list[tuple[int, int]] = []
+    above: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in above:
+            c = above[c]
+        return c
+
     if left.num_rows and right.num_rows:
         lists = right["shingles"].combine_chunks()
         sizes = np.asarray(lists.value_lengths())
@@ -240,9 +247,12 @@ def _link_block(left: pa.Table, right: pa.Table) -> pa.Table:
             at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
             inter = np.bincount(owner[at], minlength=len(sizes))
             hit = np.flatnonzero((THRESHOLD[1] * inter >= THRESHOLD[0] * (len(own) + sizes - inter)) & (comps != comp))
-            if len(hit):
-                found.append((np.minimum(reps[hit], rep), np.maximum(reps[hit], rep)))
-    a, b = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+            for other, k in zip(*np.unique(comps[hit], return_index=True)):
+                x, y = top(comp), top(int(other))
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    found.append((rep, int(reps[hit[k]])))
+    a, b = zip(*found) if found else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -269,8 +279,9 @@ def near_duplicates(docs: DataFrame, detailed: bool = False) -> DataFrame:
 
     classes = some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.first("n_shingles").alias("n"))
     classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    spread = classes.select("rep", "n", "marks", F.explode("bands").alias("value"))
-    shared = spread.groupBy("value").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    spread = classes.select("rep", "doc_id", "n", "marks", F.explode("bands").alias("value"))
+    # The first document of a bucket is the likeliest to be what the others vary.
+    shared = spread.groupBy("value").agg(F.min(F.struct("doc_id", "rep")).alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / PART)).cast("int")
     members = stage(spread.join(shared, "value").select("value", part.alias("part"), "least", "rep", "n", "marks"), "members")
 
@@ -279,7 +290,7 @@ def near_duplicates(docs: DataFrame, detailed: bool = False) -> DataFrame:
     sets = stage(texts.mapInArrow(_set_batches, "rep long, shingles array<long>"), "sets")
 
     # One link a member: to the least class that any of its buckets shows.
-    star = members.where("least < rep").groupBy("rep").agg(F.min("least").alias("a")).select("a", F.col("rep").alias("b"))
+    star = members.where("least.rep <> rep").groupBy("rep").agg(F.min("least").alias("a")).select("a.rep", F.col("rep").alias("b")).toDF("a", "b")
     links = stage(_verified(star, sets), "links")
     left = members.drop("least")
     for r in range(STARS):
