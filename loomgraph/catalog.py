@@ -47,11 +47,18 @@ def metadata_queries(dialect: str, database: str) -> dict[str, str]:
         )
         if dialect == "mysql":
             fks = f"SELECT table_name, column_name, referenced_table_name AS referenced_table, referenced_column_name AS referenced_column, constraint_name FROM information_schema.key_column_usage WHERE table_schema {where} AND referenced_table_name IS NOT NULL"
-        else:
+        elif dialect == "postgresql":  # names of constraints repeat within a schema, so keys are told apart by their tables
+            fks = (
+                "SELECT t.relname AS table_name, x.attname AS column_name, r.relname AS referenced_table, y.attname AS referenced_column, c.conname AS constraint_name "
+                "FROM pg_constraint c JOIN pg_class t ON t.oid = c.conrelid JOIN pg_namespace s ON s.oid = t.relnamespace JOIN pg_class r ON r.oid = c.confrelid "
+                "CROSS JOIN LATERAL unnest(c.conkey, c.confkey) AS k(own, other) JOIN pg_attribute x ON x.attrelid = c.conrelid AND x.attnum = k.own "
+                f"JOIN pg_attribute y ON y.attrelid = c.confrelid AND y.attnum = k.other WHERE c.contype = 'f' AND s.nspname {where}"
+            )
+        else:  # names are unique in a schema
             fks = (
                 "SELECT a.table_name, a.column_name, b.table_name AS referenced_table, b.column_name AS referenced_column, r.constraint_name "
-                "FROM information_schema.referential_constraints r JOIN information_schema.key_column_usage a ON a.constraint_name = r.constraint_name "
-                "JOIN information_schema.key_column_usage b ON b.constraint_name = r.unique_constraint_name AND b.ordinal_position = a.ordinal_position "
+                "FROM information_schema.referential_constraints r JOIN information_schema.key_column_usage a ON a.constraint_schema = r.constraint_schema AND a.constraint_name = r.constraint_name "
+                "JOIN information_schema.key_column_usage b ON b.constraint_schema = r.unique_constraint_schema AND b.constraint_name = r.unique_constraint_name AND b.ordinal_position = a.ordinal_position "
                 f"WHERE a.table_schema {where}"
             )
         return {

@@ -132,38 +132,36 @@ def repair_json(text: str):
     parts = {k: _objects(body, k) for k in ("entities", "relationships")}
     if any(v is not None for v in parts.values()):
         return {k: v or [] for k, v in parts.items()}
-    for end in range(len(body), max(0, len(body) - 2000), -1):
-        closed = _close(body[:end])
-        if closed is None:
-            continue
+    for end, closing in reversed(_cuts(body)):
         try:
-            return json.loads(closed)
+            return json.loads(body[:end].rstrip().rstrip(",") + closing)
         except ValueError:
             continue
     return None
 
 
-def _close(text: str) -> str | None:
-    stack, inside, escaped = [], False, False
-    for c in text:
+def _cuts(text: str) -> list[tuple[int, str]]:
+    """Where a text may be cut, after a value or a bracket, and the brackets that are open there, innermost first."""
+    found, open_, inside, escaped = [], "", False, False
+    for at, c in enumerate(text):
         if inside:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                inside = False
-            continue
-        if c == '"':
-            inside, escaped = True, False
+            inside = escaped or c != '"'
+            escaped = not escaped and c == "\\"
+            if not inside:
+                found.append((at + 1, open_))
+        elif c == '"':
+            inside = True
         elif c in "{[":
-            stack.append("}" if c == "{" else "]")
+            open_ = ("}" if c == "{" else "]") + open_
+            found.append((at + 1, open_))
         elif c in "}]":
-            if not stack or stack.pop() != c:
-                return None
-    if inside:
-        return None
-    return text.rstrip().rstrip(",") + "".join(reversed(stack))
+            if not open_.startswith(c):
+                return found
+            open_ = open_[1:]
+            found.append((at + 1, open_))
+        elif c == ",":
+            found.append((at, open_))
+    return found if inside else [*found, (len(text), open_)]
 
 
 ALIASES = {"entities": ("entities", "entity"), "relationships": ("relationships", "relations", "relation")}

@@ -22,10 +22,11 @@ def terms(c: Column | str) -> Column:
     return F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def index(docs: DataFrame, key: str, *fields: str) -> DataFrame:
-    """Inverted list (term, key, tf, size) over the joined fields."""
+def index(docs: DataFrame, key: str, *fields: str, only: list[str] | None = None) -> DataFrame:
+    """Inverted list (term, key, tf, size) over the joined fields; with *only*, the lists of these terms and no others."""
     words = docs.select(key, terms(F.concat_ws(" ", *fields)).alias("w"))
-    long = words.select(key, F.size("w").alias("size"), F.explode("w").alias("term"))
+    wanted = F.filter("w", lambda x: x.isin(only)) if only is not None else F.col("w")
+    long = words.select(key, F.size("w").alias("size"), F.explode(wanted).alias("term"))
     return long.groupBy("term", key, "size").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -46,13 +47,15 @@ def full_text(nodes: DataFrame, query: str, limit: int = 10, prefixes: list[str]
     if types:
         rows = rows.where(F.col("type").isin(types))
     words = rows.sparkSession.range(1).select(terms(F.lit(query)).alias("t")).first().t
-    facts = nodes.select(F.size(terms(F.concat_ws(" ", *fields))).alias("n")).agg(F.count(F.lit(1)).alias("total"), F.avg("n").alias("mean")).first()
-    scores = bm25(index(rows, "id", *fields), words or [""], "id", facts.total, facts.mean or 1.0)
-    found = rows.join(scores, "id").withColumn("similarity", fn.capped("score")).orderBy(F.desc("score"), "id").limit(limit)
-    if not found.isEmpty():
-        return found
-    plain = rows.where(F.coalesce(F.col("name").contains(query), F.lit(False)) | F.coalesce(F.col("description").contains(query), F.lit(False)))
-    return plain.withColumns({"score": F.lit(None).cast("double"), "similarity": F.lit(None).cast("double")}).orderBy("id").limit(limit)
+    text = terms(F.concat_ws(" ", *fields))
+    hit = F.arrays_overlap(text, F.array(*map(F.lit, words))) if words else F.lit(False)
+    if rows.where(hit).isEmpty():  # a scan that ends at the first hit
+        plain = rows.where(F.coalesce(F.col("name").contains(query), F.lit(False)) | F.coalesce(F.col("description").contains(query), F.lit(False)))
+        return plain.withColumns({"score": F.lit(None).cast("double"), "similarity": F.lit(None).cast("double")}).orderBy("id").limit(limit)
+    facts = nodes.select(F.size(text).alias("n")).agg(F.count(F.lit(1)).alias("total"), F.avg("n").alias("mean")).first()
+    # How rare a term is follows from all nodes, whatever part of them is asked for.
+    scores = bm25(index(nodes, "id", *fields, only=sorted(set(words))), words, "id", facts.total, facts.mean or 1.0)
+    return rows.join(scores, "id").withColumn("similarity", fn.capped("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def full_text_page(nodes: DataFrame, query: str, limit: int = 10, offset: int = 0, kind: str | None = None) -> tuple[DataFrame, int]:

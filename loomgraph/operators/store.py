@@ -1,12 +1,13 @@
 """The graph store: versioned Parquet tables of nodes and edges with merge, upsert and delete.
 
-A write makes a new version directory and then moves the pointer file, so readers see whole versions and a failed
-write leaves the old one. All mutations are joins by key; none looks rows up one at a time.
+A write makes a new version directory and then, by one rename, a pointer file of the next number; the pointer of the largest number
+counts. So readers see whole versions, and a write that fails anywhere leaves the one before. All mutations are joins by key; none looks rows up one at a time.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -134,10 +135,16 @@ class GraphStore:
     def _at(self, *parts: str):
         return self.jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
 
+    def _pointers(self, table: str) -> list[tuple[int, str]]:
+        """Numbers and file names of a table's pointers, newest first."""
+        if not self.fs.exists(self._at()):
+            return []
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._at())]
+        return sorted(((int(m[1]), n) for n in names if (m := re.fullmatch(rf"{table}\.(\d+)\.current", n))), reverse=True)
+
     def version(self, table: str) -> str | None:
-        if not self.fs.exists(self._at(f"{table}.current")):
-            return None
-        return self.spark.read.text(f"{self.path}/{table}.current").first().value
+        found = self._pointers(table)
+        return self.spark.read.text(f"{self.path}/{found[0][1]}").first().value if found else None
 
     def read(self, table: str) -> DataFrame:
         now = self.version(table)
@@ -146,16 +153,24 @@ class GraphStore:
         return self.spark.read.parquet(f"{self.path}/{table}/{now}")
 
     def write(self, table: str, df: DataFrame) -> str:
-        """A new version. Nodes are laid out by type, edges by subject, so that reads prune files."""
+        """A new version. Nodes are laid out by ranges of type and id, edges by subject, so that reads prune files and no type is one file."""
         name = uuid.uuid4().hex
-        laid = df.repartition("type").sortWithinPartitions("id") if table == "nodes" else df.sortWithinPartitions("subject_id")
+        laid = df.repartitionByRange("type", "id").sortWithinPartitions("type", "id") if table == "nodes" else df.sortWithinPartitions("subject_id")
         laid.write.parquet(f"{self.path}/{table}/{name}")
-        out = self.fs.create(self._at(f"{table}.next"), True)
+        self._point(table, name)
+        return name
+
+    def _point(self, table: str, name: str) -> None:
+        older = self._pointers(table)
+        written = self._at(f"{table}.next-{name}")
+        out = self.fs.create(written, True)
         out.write(bytearray(name.encode()))
         out.close()
-        self.fs.delete(self._at(f"{table}.current"), False)
-        self.fs.rename(self._at(f"{table}.next"), self._at(f"{table}.current"))
-        return name
+        number = older[0][0] + 1 if older else 1
+        if not self.fs.rename(written, self._at(f"{table}.{number}.current")):
+            raise RuntimeError(f"another writer has made version {number} of {table}")
+        for _, old in older[1:]:
+            self.fs.delete(self._at(old), False)
 
     @property
     def nodes(self) -> DataFrame:

@@ -55,11 +55,14 @@ def with_parents(nodes: DataFrame) -> DataFrame:
 
 def subtree_tokens(nodes: DataFrame) -> DataFrame:
     """(doc_id, ord, tokens): a node's own and its descendants', which run to the next node of no greater level."""
-    own = nodes.select("doc_id", "ord", "level", fn.tokens("text").alias("t"))
-    down = own.alias("a").join(own.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.ord") > F.col("a.ord")) & (F.col("b.level") <= F.col("a.level")), "left")
-    ends = down.groupBy("a.doc_id", "a.ord").agg(F.min("b.ord").alias("end"))
-    kids = ends.alias("e").join(own.alias("o"), (F.col("e.doc_id") == F.col("o.doc_id")) & (F.col("o.ord") >= F.col("e.ord")) & (F.col("o.ord") < F.coalesce("end", F.lit(1 << 30))))
-    return kids.groupBy(F.col("e.doc_id").alias("doc_id"), F.col("e.ord").alias("ord")).agg(F.sum("t").cast("long").alias("tokens"))
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    own = nodes.select("doc_id", "ord", "level", fn.tokens("text").cast("long").alias("t"))
+    own = own.withColumns({"__before": F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("t"), "__all": F.sum("t").over(Window.partitionBy("doc_id"))})
+    after = w.rowsBetween(1, Window.unboundedFollowing)
+    # What is counted before the next node of level k or less, for each of the six levels.
+    ends = F.array(*[F.first(F.when(F.col("level") <= k, F.col("__before")), ignorenulls=True).over(after) for k in range(1, 7)])
+    end = F.coalesce(F.try_element_at(ends, F.col("level").cast("int")), F.col("__all"))
+    return own.withColumn("__end", end).select("doc_id", "ord", (F.col("__end") - F.col("__before")).alias("tokens"))
 
 
 def thin(nodes: DataFrame, least: int) -> DataFrame:

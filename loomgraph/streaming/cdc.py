@@ -33,24 +33,29 @@ class Schema:
     type: str = model.ROW_TYPE
 
 
+def _read(messages: DataFrame) -> DataFrame:
+    """The messages with their envelope ``__e`` and the row that it puts or deletes, null for a message that makes no change."""
+    have = set(messages.columns)
+    raw = F.coalesce(*[F.col(c).cast("string") for c in ("payload", "value") if c in have])
+    inner = F.coalesce(F.get_json_object(raw, "$.payload"), raw)
+    rows = messages.withColumn("__e", F.from_json(inner, ENVELOPE, {"mode": "PERMISSIVE"}))
+    row = F.when(F.col("__e.op").isin("c", "r", "u"), F.col("__e.after")).when(F.col("__e.op") == "d", F.col("__e.before"))
+    return rows.withColumn("__row", F.when(F.col("__e.source.table").isNotNull(), row))
+
+
 def parse(messages: DataFrame) -> DataFrame:
     """(seq, payload | value) messages to changes: c, r, u carry the row after, d the row before; anything else is left out.
 
     The envelope may be wrapped in ``{schema, payload}``; text that is no JSON is left out.
     """
-    have = set(messages.columns)
-    raw = F.coalesce(*[F.col(c).cast("string") for c in ("payload", "value") if c in have])
-    inner = F.coalesce(F.get_json_object(raw, "$.payload"), raw)
-    rows = messages.withColumn("e", F.from_json(inner, ENVELOPE, {"mode": "PERMISSIVE"}))
-    row = F.when(F.col("e.op").isin("c", "r", "u"), F.col("e.after")).when(F.col("e.op") == "d", F.col("e.before"))
-    seq = F.col("seq").cast("string") if "seq" in have else F.lit("0-0")
-    return rows.select(seq.alias("seq"), F.col("e.op").alias("op"), F.col("e.source.table").alias("table"), row.alias("row"), F.col("e.ts_ms").alias("ts_ms")).where("row IS NOT NULL AND table IS NOT NULL")
+    seq = F.col("seq").cast("string") if "seq" in messages.columns else F.lit("0-0")
+    rows = _read(messages).where("__row IS NOT NULL")
+    return rows.select(seq.alias("seq"), F.col("__e.op").alias("op"), F.col("__e.source.table").alias("table"), F.col("__row").alias("row"), F.col("__e.ts_ms").alias("ts_ms"))
 
 
 def rejected(messages: DataFrame) -> DataFrame:
-    """Messages that make no change, for a dead-letter table."""
-    numbered = messages.withColumn("seq", F.col("seq").cast("string"))
-    return numbered.join(parse(numbered).select("seq"), "seq", "left_anti")
+    """Messages that make no change, each as it came, for a dead-letter table; ids may repeat over streams or be missing."""
+    return _read(messages).where("__row IS NULL").select(*messages.columns)
 
 
 def order_of(seq: Column) -> Column:
