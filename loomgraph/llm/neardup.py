@@ -330,13 +330,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs, detailed=True)
     ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
-    ids = stage(ids.where("kept").select("doc_id", "n"), "kept")
-    out = docs.where("doc_id IS NULL").unionByName(docs.join(ids.where("n = 1"), "doc_id", "left_semi"))
-    if ids.where("n > 1").isEmpty():
+    # Most rows stay, so those that may not are named: the smaller side of the join with the texts.
+    doubtful = stage(ids.where("n > 1 OR NOT kept"), "doubtful")
+    out = docs.join(doubtful.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    several = doubtful.where("n > 1 AND kept").select("doc_id")
+    if several.isEmpty():
         return out
     # Ids of several rows: the rows are told apart by the digests of their sets.
     digest_of = F.arrow_udf(lambda texts: pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h := shingle_hashes(t.as_py())) else None for t in texts], pa.binary()), "binary")
-    rows = docs.join(ids.where("n > 1"), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("id"), digest_of("text").alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.join(several, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("id"), digest_of("text").alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kept = found.where("kept AND digest IS NOT NULL").select(F.col("doc_id").alias("id"), "digest", "component").distinct()
     one = rows.join(kept, ["id", "digest"]).groupBy("component").agg(F.min("row").alias("row"))
     return out.unionByName(one.select("row.*")).unionByName(rows.where("digest IS NULL").select("row.*"))
