@@ -12,7 +12,7 @@ stand its strongest words and its strongest pair, as few words make a long docum
 labelled rows that gave no counts, turns that into a score.
 
 Labels are learned only from rows that are not held out (``held_out`` in ``common``), at most about
-``SAMPLE`` of them; that bound also bounds the models, which are broadcast. Exact copies among them count once.
+``SAMPLE`` of them, word pairs from about ``PAIRED``; these bounds also bound the models, which are broadcast. Exact copies among them count once.
 
 Defined results: a null or empty text has no evidence and gets the score of a document without any; repeated
 rows are scored alike; a null ``doc_id`` is held out when crc32 of the empty text says so (it is 0, so
@@ -38,6 +38,8 @@ from .common import bounded_sample, held_out, stage
 ORDER, DISCOUNT = 7, 0.75
 #: Labelled rows to learn from; every fifth of them sets the curve and gives no counts.
 SAMPLE = 24_000
+#: Of the rows that give counts, at most about so many give word pairs, of which there are far more than spellings.
+PAIRED = 6_000
 #: Strongest words that stand beside the document's own evidence and its strongest pair.
 TOP = 3
 MEMORY = 400_000
@@ -229,19 +231,19 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label) to the pairs of each document, once each: both words' names, the pair, the class."""
+    """(text, label) to the pairs of each document, once each: both words' names, the class."""
     for batch in batches:
         for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             names = np.fromiter(map(name, words_of(t)), np.uint64)
             if len(names) > 1:
-                keys, at = np.unique(pairs_of(names), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names[at].view(np.int64)), pa.array(names[at + 1].view(np.int64)), pa.array(keys), pa.array(np.full(len(at), y == 0, np.int64)), pa.array(np.full(len(at), y == 1, np.int64))], names=["first", "second", "pair", "ordinary", "toxic"])
+                at = np.unique(pairs_of(names), return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(names[at].view(np.int64)), pa.array(names[at + 1].view(np.int64)), pa.array(np.full(len(at), y == 0, np.int32)), pa.array(np.full(len(at), y == 1, np.int32))], names=["first", "second", "ordinary", "toxic"])
 
 
 def pair_evidence(rows: DataFrame) -> DataFrame:
-    """``pair``, ``evidence`` of (text, __y) rows: log P(second | first, toxic) - log P(second | first, ordinary) of the pairs that toxic rows have."""
-    n = {c: F.sum(c).alias(c) for c in ("ordinary", "toxic")}
-    pairs = stage(rows.mapInArrow(_pair_batches, "first long, second long, pair long, ordinary long, toxic long").groupBy("first", "second", "pair").agg(*n.values()), "pairs")
+    """``first``, ``second``, ``evidence`` of (text, __y) rows: log P(second | first, toxic) - log P(second | first, ordinary) of the pairs that toxic rows have."""
+    n = {c: F.sum(c).cast("int").alias(c) for c in ("ordinary", "toxic")}
+    pairs = stage(rows.mapInArrow(_pair_batches, "first long, second long, ordinary int, toxic int").groupBy("first", "second").agg(*n.values()), "pairs")
     kinds = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds")
     after = pairs.groupBy("first").agg(*[F.sum(c).alias(f"{c}_all") for c in n], kinds("ordinary"), kinds("toxic"), F.count(F.lit(1)).alias("kinds"))
     before = pairs.groupBy("second").agg(F.count(F.lit(1)).alias("lefts"))
@@ -254,7 +256,7 @@ def pair_evidence(rows: DataFrame) -> DataFrame:
     both = backed(F.col("ordinary") + F.col("toxic"), F.col("ordinary_all") + F.col("toxic_all"), F.col("kinds"), F.col("lefts") / F.lit(total))
     known = known.withColumn("both", both)
     own = [backed(F.col(c), F.col(f"{c}_all"), F.col(f"{c}_kinds"), F.col("both")) for c in ("toxic", "ordinary")]
-    return known.select("pair", (F.log(own[0]) - F.log(own[1])).alias("evidence"))
+    return known.select("first", "second", (F.log(own[0]) - F.log(own[1])).alias("evidence"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> tuple[KneserNey, Pairs, np.ndarray] | None:
@@ -267,12 +269,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     rows = stage(bounded_sample(rows, sample, key="__h"), "labelled")  # an id may have many texts
     curve = F.pmod(F.col("__h"), F.lit(5)) == 0
     counted = rows.where(~curve).select("text", "__y")
-    table = counted.mapInArrow(_count_batches, "gram long, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toPandas()
+    table = counted.mapInArrow(_count_batches, "gram long, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").cast("int").alias("ordinary"), F.sum("toxic").cast("int").alias("toxic")).toPandas()
     if not table.ordinary.any() or not table.toxic.any():
         return None
     model = KneserNey(table.gram.to_numpy(np.int64), table[["ordinary", "toxic"]].to_numpy())
-    found = pair_evidence(counted).toPandas()
-    pairs = Pairs(found.pair.to_numpy(np.int64), found.evidence.to_numpy(float))
+    del table
+    found = pair_evidence(bounded_sample(rows.where(~curve), PAIRED, key="__h").select("text", "__y")).toPandas()
+    names = found[["first", "second"]].to_numpy(np.int64).view(np.uint64)
+    pairs = Pairs(pairs_of(names.ravel())[::2], found.evidence.to_numpy(float))
     shared = docs.sparkSession.sparkContext.broadcast((model, pairs))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
