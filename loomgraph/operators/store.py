@@ -2,6 +2,7 @@
 
 A write makes a new version directory and then, by one rename, a pointer file of the next number; the pointer of the largest number
 counts. So readers see whole versions, and a write that fails anywhere leaves the one before. All mutations are joins by key; none looks rows up one at a time.
+A pointer names a whole table and the changes since; a change holds only the rows that it puts and the keys that go, so a small batch is a small write.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,6 +128,8 @@ class GraphStore:
     """Nodes and edges under one folder."""
 
     KEYS = {"nodes": "id", "edges": "relationship_id"}
+    #: Changes kept beside a table before it is written whole again.
+    CHANGES = 16
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -142,29 +146,55 @@ class GraphStore:
         names = [s.getPath().getName() for s in self.fs.listStatus(self._at())]
         return sorted(((int(m[1]), n) for n in names if (m := re.fullmatch(rf"{table}\.(\d+)\.current", n))), reverse=True)
 
-    def version(self, table: str) -> str | None:
+    def _parts(self, table: str) -> list[str]:
+        """The folder of the whole table and those of the changes since, in order; none before the first write."""
         found = self._pointers(table)
-        return self.spark.read.text(f"{self.path}/{found[0][1]}").first().value if found else None
+        return self.spark.read.text(f"{self.path}/{found[0][1]}", wholetext=True).first().value.split() if found else []
+
+    def version(self, table: str) -> str | None:
+        return (self._parts(table) or [None])[-1]
 
     def read(self, table: str) -> DataFrame:
-        now = self.version(table)
-        if now is None:
+        parts = self._parts(table)
+        if not parts:
             return self.spark.createDataFrame([], model.NODE if table == "nodes" else model.EDGE)
-        return self.spark.read.parquet(f"{self.path}/{table}/{now}")
+        whole, *changes = [self.spark.read.parquet(f"{self.path}/{table}/{p}") for p in parts]
+        if not changes:
+            return whole
+        numbered = [c.withColumn("__n", F.lit(n)) for n, c in enumerate(changes)]
+        together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
+        now = last_per(together, [self.KEYS[table]], "__n").drop("__n")
+        return merge(whole, now, self.KEYS[table]).where("__gone IS NOT TRUE").drop("__gone")
 
     def write(self, table: str, df: DataFrame) -> str:
         """A new version. Nodes are laid out by ranges of type and id, edges by subject, so that reads prune files and no type is one file."""
         name = uuid.uuid4().hex
         laid = df.repartitionByRange("type", "id").sortWithinPartitions("type", "id") if table == "nodes" else df.sortWithinPartitions("subject_id")
         laid.write.parquet(f"{self.path}/{table}/{name}")
-        self._point(table, name)
+        self._point(table, [name])
         return name
 
-    def _point(self, table: str, name: str) -> None:
+    def change(self, table: str, puts: DataFrame, gone: DataFrame) -> None:
+        """Put rows, one a key, over those of their keys, and take away the keys of *gone* that are not put.
+
+        Writes only these rows. After ``CHANGES`` of them the table is written whole, so a read joins a bounded number of them.
+        """
+        key, parts = self.KEYS[table], self._parts(table)
+        if not parts:
+            self.write(table, puts)
+            return
+        doomed = gone.select(key).distinct().join(puts.select(key), key, "left_anti").withColumn("__gone", F.lit(True))
+        name = uuid.uuid4().hex
+        puts.withColumn("__gone", F.lit(False)).unionByName(doomed, allowMissingColumns=True).write.parquet(f"{self.path}/{table}/{name}")
+        self._point(table, [*parts, name])
+        if len(parts) > self.CHANGES:
+            self.write(table, self.read(table))
+
+    def _point(self, table: str, parts: list[str]) -> None:
         older = self._pointers(table)
-        written = self._at(f"{table}.next-{name}")
+        written = self._at(f"{table}.next-{parts[-1]}")
         out = self.fs.create(written, True)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray("\n".join(parts).encode()))
         out.close()
         number = older[0][0] + 1 if older else 1
         if not self.fs.rename(written, self._at(f"{table}.{number}.current")):
@@ -196,7 +226,8 @@ class GraphStore:
         return [s.getPath().getName() for s in found]
 
     def keep_newest(self, table: str, n: int = 10) -> None:
-        for name in [v for v in self.versions(table)[n:] if v != self.version(table)]:
+        used = self._parts(table)
+        for name in [v for v in self.versions(table)[n:] if v not in used]:
             self.fs.delete(self._at(table, name), True)
 
     def export(self, path: str, form: str = "json") -> None:

@@ -117,6 +117,26 @@ def fk_diff(changes: DataFrame, schemas: list[Schema], edges: DataFrame, cdc_onl
     return have.join(want.select("relationship_id"), "relationship_id", "left_anti"), want.join(have.select("relationship_id"), "relationship_id", "left_anti")
 
 
+@dataclass
+class Delta:
+    """What a batch puts and takes away: whole rows, and ids."""
+
+    nodes: DataFrame
+    gone_nodes: DataFrame
+    edges: DataFrame
+    gone_edges: DataFrame
+
+
+def delta(edges: DataFrame, changes: DataFrame, schemas: list[Schema], datasource: str, cdc_only: bool = False) -> Delta:
+    """The difference that one batch of changes makes, for a store to write beside what it has; edges at a deleted row go with it."""
+    now = latest(changes, schemas)
+    stale, new = fk_diff(now, schemas, edges, cdc_only)
+    doomed = now.where("op = 'd'").select(model.entity_id("name").alias("id"))
+    ends = edges.select("relationship_id", F.explode(F.array("subject_id", "object_id")).alias("id"))
+    gone = stale.select("relationship_id").unionByName(ends.join(doomed, "id", "left_semi").select("relationship_id"))
+    return Delta(nodes_of(now, schemas, datasource), doomed, detach_delete(doomed, new, doomed)[1], gone)
+
+
 def apply(nodes: DataFrame, edges: DataFrame, changes: DataFrame, schemas: list[Schema], datasource: str, cdc_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges after one batch of changes."""
     now = latest(changes, schemas)
@@ -141,10 +161,11 @@ class Follower:
         self.query: StreamingQuery | None = None
 
     def batch(self, messages: DataFrame, number: int) -> None:
+        """Write what the batch changes; a batch that is run again after a failure writes the same rows."""
         messages.persist()
-        nodes, edges = apply(self.store.nodes, self.store.edges, parse(messages), self.schemas, self.datasource)
-        self.store.write("edges", edges)
-        self.store.write("nodes", nodes)
+        d = delta(self.store.edges, parse(messages), self.schemas, self.datasource)
+        self.store.change("edges", d.edges, d.gone_edges)
+        self.store.change("nodes", d.nodes, d.gone_nodes)
         if self.dead_letters:
             rejected(messages).withColumn("batch", F.lit(number)).write.mode("append").parquet(self.dead_letters)
         messages.unpersist()

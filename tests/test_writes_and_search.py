@@ -34,6 +34,28 @@ def test_a_write_that_fails_leaves_the_version_before(spark, tmp_path, monkeypat
     assert [r.name for r in kept.nodes.collect()] == ["n2"] and len(kept._pointers("nodes")) <= 3
 
 
+def test_changes_are_small_and_read_in_order(spark, tmp_path, monkeypatch):
+    kept = store.GraphStore(spark, str(tmp_path / "graph"))
+    none = nodes_of(spark, ["x"]).limit(0)
+    kept.change("nodes", nodes_of(spark, ["x", "y", "z"]), none)
+    state = lambda: sorted((r.name, r.datasource) for r in kept.nodes.collect())
+    kept.change("nodes", nodes_of(spark, ["x"], "b"), nodes_of(spark, ["x", "y", "unknown"]))
+    assert state() == [("x", "b"), ("z", "a")] and len(kept._parts("nodes")) == 2
+    kept.change("nodes", nodes_of(spark, ["y"], "c").withColumn("extra", F.lit(1)), nodes_of(spark, ["z"]))
+    assert state() == [("x", "b"), ("y", "c")]
+    assert spark.read.parquet(f"{kept.path}/nodes/{kept.version('nodes')}").count() == 2
+    kept.keep_newest("nodes", 1)
+    assert state() == [("x", "b"), ("y", "c")]
+    with monkeypatch.context() as m:
+        m.setattr(kept, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            kept.change("nodes", none, nodes_of(spark, ["x", "y"]))
+    assert state() == [("x", "b"), ("y", "c")]
+    monkeypatch.setattr(store.GraphStore, "CHANGES", 2)
+    kept.change("nodes", none, nodes_of(spark, ["x"]))
+    assert state() == [("y", "c")] and len(kept._parts("nodes")) == 1
+
+
 def test_rejects_need_no_ids(spark):
     good = json.dumps({"op": "c", "after": {"k": "1"}, "source": {"table": "t"}, "ts_ms": 5})
     rows = [("1-0", good), ("1-0", "no json"), (None, '{"op": "x"}'), ("2-0", None), ("3-0", '{"op": "d", "before": null, "source": {"table": "t"}}')]
