@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .dedup import top_per
 from .paths import _cut
 
-#: Nodes up to which a partition may be found in one task.
-SMALL = 20_000
+#: Nodes and edges up to which a partition may be found in one task.
+SMALL, SMALL_EDGES = 20_000, 400_000
 
 
 def undirected(edges: DataFrame, weight: str = "strength") -> DataFrame:
@@ -70,9 +70,9 @@ def louvain_labels(names: list[str], edges: list[tuple[str, str, float]], resolu
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, weighted: bool = True, resolution: float = 1.0) -> DataFrame:
-    """(name, partition_id). One task for small graphs; larger ones by rounds of local moves (``label_rounds``)."""
+    """(name, partition_id), largest first. One task for small graphs, joins for larger ones (``label_rounds``); both move until no level gains."""
     e = edges.select("src", "dst", (F.col("weight") if weighted else F.lit(1.0)).alias("weight")).where("src <> dst")
-    if nodes.count() > SMALL:
+    if nodes.count() > SMALL or e.count() > SMALL_EDGES:
         return label_rounds(nodes, e, resolution)
     rows = nodes.select("name", F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("weight")).unionByName(e.withColumnRenamed("src", "name")).withColumn("g", F.lit(1))
 
@@ -85,26 +85,72 @@ def louvain(nodes: DataFrame, edges: DataFrame, weighted: bool = True, resolutio
     return rows.groupBy("g").applyInPandas(run, "name string, partition_id long")
 
 
-def label_rounds(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = 12) -> DataFrame:
-    """Local moving as joins: in each round the half of the nodes that a hash names moves to the neighbouring label of most gain."""
-    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+def _quality(label: DataFrame, both: DataFrame, strength: DataFrame, total: float, resolution: float) -> float:
+    """Newman's modularity of labels (name, c) on links that are there from both ends."""
+    ends = both.join(label.select(F.col("name").alias("src"), F.col("c").alias("__a")), "src").join(label.select(F.col("name").alias("dst"), F.col("c").alias("__b")), "dst")
+    inside = ends.where("__a = __b").agg(F.sum("weight")).first()[0] or 0.0
+    squares = label.join(strength, "name").groupBy("c").agg(F.sum("k").alias("v")).agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
+    return inside / total - resolution * squares / total**2
+
+
+def _round_of_moves(label: DataFrame, links: DataFrame, strength: DataFrame, total: float, resolution: float, number: int) -> DataFrame:
+    """The half of the nodes that a hash names for this round moves to the neighbouring label of most gain."""
+    volume = label.join(strength, "name").groupBy("c").agg(F.sum("k").alias("v"))
+    near = links.join(label.select(F.col("name").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("name"), "c").agg(F.sum("weight").alias("w"))
+    near = near.unionByName(label.select("name", "c", F.lit(0.0).alias("w"))).groupBy("name", "c").agg(F.sum("w").alias("w"))
+    scored = near.join(strength, "name").join(volume, "c").join(label.withColumnRenamed("c", "own"), "name")
+    inside = F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
+    gain = F.col("w") - resolution * (F.col("v") - inside) * F.col("k") / total
+    best = scored.groupBy("name").agg(F.max_by("c", F.struct(gain, (F.col("c") == F.col("own")).cast("int"), "c")).alias("to"))
+    turn = F.pmod(F.xxhash64(F.lit(number), "name"), F.lit(2)) == 0
+    return _cut(label.join(best, "name", "left").select("name", F.when(turn & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("c")).alias("c")))
+
+
+def _local_moves(names: DataFrame, both: DataFrame, total: float, resolution: float, patience: int = 3) -> DataFrame | None:
+    """The best labels (name, c) that pairs of rounds find until *patience* of them bring no more; None if none beats one label a node."""
     strength = _cut(both.groupBy(F.col("src").alias("name")).agg(F.sum("weight").alias("k")))
-    total = strength.agg(F.sum("k")).first()[0] or 1.0
-    label = nodes.select("name", F.col("name").alias("c"))
-    for r in range(rounds):
-        volume = label.join(strength, "name").groupBy("c").agg(F.sum("k").alias("v"))
-        near = both.join(label.select(F.col("name").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("name"), "c").agg(F.sum("weight").alias("w"))
-        near = near.unionByName(label.select("name", "c", F.lit(0.0).alias("w"))).groupBy("name", "c").agg(F.sum("w").alias("w"))
-        own = label.withColumnRenamed("c", "own")
-        scored = near.join(strength, "name").join(volume, "c").join(own, "name")
-        inside = F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
-        gain = F.col("w") - resolution * (F.col("v") - inside) * F.col("k") / total
-        best = scored.groupBy("name").agg(F.max_by("c", F.struct(gain, (F.col("c") == F.col("own")).cast("int"), "c")).alias("to"))
-        turn = F.pmod(F.xxhash64(F.lit(r), "name"), F.lit(2)) == 0
-        label = _cut(label.join(best, "name", "left").select("name", F.when(turn & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("c")).alias("c")))
-    sizes = label.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("least"))
-    number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "least")) - 1
-    return label.join(sizes.withColumn("partition_id", number.cast("long")).select("c", "partition_id"), "c").select("name", "partition_id")
+    links = both.where("src <> dst")
+    label = names.select("name", F.col("name").alias("c"))
+    found, best, number, idle = None, _quality(label, both, strength, total, resolution), 0, 0
+    while idle < patience:
+        for _ in range(2):
+            label = _round_of_moves(label, links, strength, total, resolution, number)
+            number += 1
+        now = _quality(label, both, strength, total, resolution)
+        idle += 1
+        if now > best + 1e-7:
+            found, best, idle = label, now, 0
+    return found
+
+
+def numbered(df: DataFrame, *order, to: str = "number") -> DataFrame:
+    """Gapless numbers from 0 in *order*: ranges are sorted apart, and only one count a range goes through the driver."""
+    row = F.monotonically_increasing_id()
+    laid = _cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.shiftright(row, 33), "__at": row.bitwiseAND(F.lit((1 << 33) - 1))}))
+    before, starts = 0, []
+    for r in laid.groupBy("__part").count().orderBy("__part").collect():
+        starts.append((r["__part"], before))
+        before += r["count"]
+    start = df.sparkSession.createDataFrame(starts, "__part long, __start long")
+    return laid.join(F.broadcast(start), "__part").withColumn(to, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")  # a row a range
+
+
+def label_rounds(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """Louvain as joins, for graphs of any size: local moves, then communities become the nodes of the next level, until none gains.
+
+    Ties differ from the form in one task, as half of the nodes move at a time.
+    """
+    both = _cut(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
+    whole = nodes.select("name", F.col("name").alias("c"))
+    total = both.agg(F.sum("weight")).first()[0]
+    names = nodes.select("name")
+    while total and (label := _local_moves(names, both, total, resolution)) is not None:
+        whole = _cut(whole.join(label.select(F.col("name").alias("c"), F.col("c").alias("__to")), "c", "left").select("name", F.coalesce("__to", "c").alias("c")))
+        src, dst = (label.select(F.col("name").alias(end), F.col("c").alias(f"__{end}")) for end in ("src", "dst"))
+        both = _cut(both.join(src, "src").join(dst, "dst").groupBy(F.col("__src").alias("src"), F.col("__dst").alias("dst")).agg(F.sum("weight").alias("weight")))
+        names = label.select(F.col("c").alias("name")).distinct()
+    sizes = whole.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("least"))
+    return whole.join(numbered(sizes, F.desc("n"), "least", to="partition_id").select("c", "partition_id"), "c").select("name", "partition_id")
 
 
 def kmeans(nodes: DataFrame, edges: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:

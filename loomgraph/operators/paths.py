@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -17,10 +18,17 @@ def build(edges: DataFrame, directed: bool = True) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage of a loop: in the shared checkpoint folder where one is set, else in the cache."""
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() or df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.cache()
+    """End the lineage of a loop by a table in the shared folder that ``spark.checkpoint.dir`` names, or in the warehouse where a session names none.
+
+    A table also ends the constraints that the optimizer keeps of a checkpoint, which grow with every round. It goes when the application ends.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _rounds(most: int | None):

@@ -207,6 +207,21 @@ def test_partitions(spark):
     assert community.meta_graph(e, parts, drop_zero=True)[1].count() == 0
 
 
+def test_louvain_as_joins_is_as_good_as_in_one_task(spark):
+    rng = random.Random(3)
+    names = [f"n{i:02d}" for i in range(48)]
+    edges = [(a, b, 1.0) for (i, a), (j, b) in itertools.combinations(enumerate(names), 2) if rng.random() < (0.7 if i // 6 == j // 6 else 0.15 if i // 24 == j // 24 else 0.01)]
+    nodes = spark.createDataFrame([(n,) for n in [*names, "alone"]], "name string")
+    e = spark.createDataFrame(edges, "src string, dst string, weight double")
+    parts = community.label_rounds(nodes, e).cache()
+    best = community.modularity(e, community.louvain(nodes, e)).first().modularity
+    assert community.modularity(e, parts).first().modularity >= 0.95 * best
+    ids = [r.partition_id for r in parts.collect()]
+    assert len(ids) == 49 and sorted(set(ids)) == list(range(len(set(ids)))) and ids.count(0) == max(map(ids.count, ids))
+    empty = community.label_rounds(nodes, e.limit(0)).collect()
+    assert sorted(r.partition_id for r in empty) == list(range(49))
+
+
 def test_compress_of_tiny_graph_is_empty(spark):
     e = spark.createDataFrame([("a", "b", 1.0)], "src string, dst string, weight double")
     kept, ratio = community.compress(e, 0.5)
