@@ -98,3 +98,23 @@ def bounded_sample(df: DataFrame, bound: int, seed: int = 7, key: str | None = N
 def held_out(doc_id) -> "F.Column":
     """Whether crc32 of the id's decimal text is divisible by 5; null ids count as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
+
+
+def by_place(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, "F.Column"]]:
+    """*df* with columns named by their place, and the column of each of *names* there.
+
+    Of names that differ in case only, the one spelled so is meant; without one, the first that differs in case.
+    """
+    found = {}
+    for name in names:
+        same = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+        if not same:
+            raise ValueError(f"no column {name} in {df.columns}")
+        found[name] = F.col(f"_{same[0]}")
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]), found
+
+
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, whatever the names of the others."""
+    placed, found = by_place(df, *names)
+    return placed.select(*[c.alias(name) for name, c in found.items()])

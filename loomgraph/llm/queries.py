@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, cotrain, langid, neardup, packing, rules, sharding, toxicity, warc
+from . import ann, bpe, cotrain, langid, mixing, neardup, packing, rules, sharding, toxicity, warc
 from .common import stage, table
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -168,3 +168,32 @@ reach AS (SELECT doc_id AS x, doc_id AS c FROM d UNION SELECT r.x, v.b FROM reac
 m AS (SELECT x AS doc_id, min(c) AS component_id FROM reach GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d JOIN m ON d.doc_id = m.doc_id LEFT JOIN n ON d.doc_id = n.doc_id"""
+
+
+@query
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=("doc_id",))
+
+
+#: The level by sorting sources by the words a unit of weight at which they are full, in place of rounds; draws by a running sum in place of narrowing.
+ORACLES["op11_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         CAST(len([x for x in regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+') if x <> '']) AS BIGINT) AS size FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS HUGEINT) AS n, CAST([3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS HUGEINT) AS w FROM d GROUP BY source),
+f AS (
+  SELECT *, coalesce(sum(2 * n) OVER before, 0) AS full_before, coalesce(sum(w) OVER before, 0) AS w_before, sum(n) OVER () AS n_all, sum(w) OVER () AS w_all,
+         row_number() OVER (ORDER BY 2 * n * (6 // w), source NULLS LAST) AS place
+  FROM s WINDOW before AS (ORDER BY 2 * n * (6 // w), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT place, 3 * n_all - 2 * full_before AS num, 2 * (w_all - w_before) AS den FROM f WHERE (3 * n_all - 2 * full_before) * w <= 2 * n * 2 * (w_all - w_before)
+  ORDER BY place LIMIT 1),
+t AS (
+  SELECT source, n, CASE WHEN f.place < level.place THEN CAST(2 * n AS DOUBLE) ELSE CAST(num * w AS DOUBLE) / CAST(den AS DOUBLE) END AS target,
+         CASE WHEN f.place < level.place THEN 2 * n ELSE (2 * num * w + den) // (2 * den) END AS quota FROM f, level),
+r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM d)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target,
+       CAST(CASE WHEN n > 0 THEN (quota // n) * size + greatest(0, least(size, quota % n - seen)) ELSE 0 END AS BIGINT) AS taken
+FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source"""
