@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, cotrain, divergence, langid, mixing, neardup, packing, rules, sharding, toxicity, warc
+from . import ann, bpe, cotrain, divergence, langid, mixing, neardup, packing, rules, sharding, toxicity, trie, warc
 from .common import stage, table
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -226,3 +226,29 @@ pair AS (
 own AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (FROM pair UNION ALL FROM own))
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+#: Prefixes as lists, ancestors by cutting them; crc32 bit by bit.
+ORACLES["op12_prefix_trie"] = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+         (coalesce(role, ''), coalesce(text, '')) AS said FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(said ORDER BY i) AS own FROM t GROUP BY 1),
+c AS (
+  SELECT conv_id, own, (xor(list_reduce(list_prepend(4294967295::UBIGINT, [ascii(x)::UBIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT) % 4)::INT AS h FROM o),
+m AS (SELECT c.conv_id, list_concat(coalesce(b.own, [])[1:h], c.own[h + 1:]) AS said FROM c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, d, said[1:d] AS path, len(said) = d AS ends FROM (SELECT *, unnest(range(0, len(said) + 1)) AS d FROM m)),
+n AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, bool_and(ends) AS leaf,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+s AS (SELECT *, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE len([x FOR x IN regexp_split_to_array(path[d][2], '[ \\x09-\\x0D]+') IF x <> '']) END AS saved FROM n),
+up AS (SELECT path[1:k] AS path, k AS d, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved, count(*) FILTER (d = k + 1) AS n_children FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM s) GROUP BY 1, 2)
+SELECT s.conv_id, s.d::BIGINT AS depth, q.conv_id AS parent_conv_id, s.n_convs, n_children, n_leaves, up.saved::BIGINT AS saved_tokens, s.ends_sha256
+FROM s JOIN up ON s.path = up.path AND s.d = up.d LEFT JOIN s q ON s.d > 0 AND q.d = s.d - 1 AND q.path = s.path[1:s.d - 1]"""
