@@ -1,21 +1,20 @@
-"""Centralities on ``nodes(name)`` and ``edges(src, dst)``. All but betweenness and closeness are joins and aggregations in a
-loop; those two run a breadth-first search from every source (or a stated number of sources), sources dealt over tasks."""
+"""Centralities on ``nodes(name)`` and ``edges(src, dst)``: joins and aggregations in loops whose tables are written and dropped round by round."""
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
+from functools import reduce
+from math import ceil
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dedup import top_per
-from .paths import _cut
+from .paths import _cut, drop
 
 MEASURES = ("degree", "betweenness", "closeness", "pagerank", "eigenvector")
-#: Edges that a search from every node may hold in each task.
-MOST_EDGES = 2_000_000
+#: Rows (source, node) that the searches of one batch of sources hold together.
+STATES = 200_000_000
 
 
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -36,6 +35,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance:
         flow = rank.join(step, rank.name == step.src).groupBy(F.col("dst").alias("name")).agg(F.sum(F.col("score") / F.col("out")).alias("in"))
         new = _cut(rank.join(flow, "name", "left").select("name", F.col("score").alias("old"), ((1 - alpha) / n + alpha * (F.coalesce("in", F.lit(0.0)) + dangling / n)).alias("score")))
         moved = new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+        drop(rank)
         rank = new.drop("old")
         if iterations is None and moved < n * tolerance:
             break
@@ -52,85 +52,111 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-6, rou
         raw = _cut(score.join(flow, "name", "left").select("name", F.col("score").alias("old"), (F.col("score") + F.coalesce("in", F.lit(0.0))).alias("new")))
         norm = raw.agg(F.sqrt(F.sum(F.col("new") * F.col("new")))).first()[0] or 1.0
         moved = raw.agg(F.sum(F.abs(F.col("new") / norm - F.col("old")))).first()[0]
+        drop(score)
         score = raw.select("name", (F.col("new") / norm).alias("score"))
         if iterations is None and moved < n * tolerance:
             return score
     return score if iterations is not None else nodes.select("name", F.lit(0.0).alias("score"))
 
 
-def _adjacency(edges: DataFrame) -> dict[str, list[str]]:
-    pairs = edges.select("src", "dst").distinct()
-    if pairs.count() > MOST_EDGES:
-        raise ValueError(f"more than {MOST_EDGES} edges: searches from every node need a smaller graph or a subgraph of it")
-    out: dict[str, list[str]] = {}
-    for r in pairs.toLocalIterator():
-        out.setdefault(r.src, []).append(r.dst)
-    return {k: sorted(v) for k, v in out.items()}
-
-
 def _sources(nodes: DataFrame, count: int | None, seed: int = 42) -> DataFrame:
     names = nodes.select("name")
     return names if count is None else names.orderBy(F.xxhash64(F.lit(seed), "name"), "name").limit(count)
 
 
+def _batches(sources: DataFrame, n: int) -> Iterator[DataFrame]:
+    """The sources in runs whose searches hold about ``STATES`` rows (source, node) together."""
+    runs = max(1, ceil(sources.count() * n / STATES))
+    dealt = _cut(sources.select("name", F.pmod(F.xxhash64("name"), F.lit(runs)).alias("run")))
+    for i in range(runs):
+        yield dealt.where(F.col("run") == i).select("name")
+    drop(dealt)
+
+
+def _levels(sources: DataFrame, step: DataFrame) -> list[DataFrame]:
+    """Breadth-first search from all sources at once: a written table (source, node, ways) for each distance, ways being the number of shortest paths."""
+    levels = [_cut(sources.select(F.col("name").alias("source"), F.col("name").alias("node"), F.lit(1.0).alias("ways")))]
+    while True:
+        reached = levels[-1].join(step, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("ways").alias("ways"))
+        seen = reduce(DataFrame.unionByName, levels).select("source", "node")
+        front = _cut(reached.join(seen, ["source", "node"], "left_anti"))
+        if front.isEmpty():
+            drop(front)
+            return levels
+        levels.append(front)
+
+
 def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Inward: (reachable / total distance) x (reachable / (n - 1)) over the nodes that reach a node; 0 if none does."""
+    """Inward: (reachable / total distance) x (reachable / (n - 1)) over the nodes that reach a node; 0 if none does.
+
+    Exact, by a search from every node: n^2 rows (source, node) on a connected graph, in batches of ``STATES``. ``closeness_sketched`` needs n sketches.
+    """
+    n = nodes.count()
+    step = _cut(edges.select("src", "dst").distinct())
+    sums = None
+    for sources in _batches(nodes.select("name"), n):
+        levels = _levels(sources, step)
+        found = reduce(DataFrame.unionByName, [lv.groupBy("node").agg(F.count(F.lit(1)).alias("c")).select("node", "c", (F.col("c") * d).alias("far")) for d, lv in enumerate(levels)])
+        now = found if sums is None else found.unionByName(sums)
+        sums = _cut(now.groupBy("node").agg(F.sum("c").alias("c"), F.sum("far").alias("far")), sums)
+        drop(*levels)
+    reach = F.col("c") - 1
+    score = F.when(F.col("far") > 0, reach / F.col("far") * (reach / (n - 1))).otherwise(F.lit(0.0))
+    return nodes.select("name").join(sums.withColumnRenamed("node", "name"), "name", "left").select("name", F.coalesce(score, F.lit(0.0)).alias("score"))
+
+
+def closeness_sketched(nodes: DataFrame, edges: DataFrame, bits: int = 12) -> DataFrame:
+    """Closeness by distinct-count sketches of the nodes that reach a node within 1, 2, ... steps (Boldi and Vigna 2013).
+
+    A round joins each node's sketch along its out-edges and unites; sums of distances follow from the growth of the counts. Work is edges x sketch (2^bits
+    bytes) x diameter. The relative standard error of a count is about 1.04 / sqrt(2^bits), 1.6 % with 12 bits; small sets are counted exactly.
+    """
     n = nodes.count()
-    shared = edges.sparkSession.sparkContext.broadcast(_adjacency(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        back = shared.value
-        for f in frames:
-            rows = []
-            for s in f.name:
-                far = _search(back, s)[1]
-                total, reach = sum(far.values()), len(far) - 1
-                rows.append(reach / total * (reach / (n - 1)) if total else 0.0)
-            yield pd.DataFrame({"name": f.name, "score": rows})
-
-    return nodes.select("name").mapInPandas(run, "name string, score double")
-
-
-def _search(step: dict[str, list[str]], source: str) -> tuple[list[str], dict[str, int], dict[str, float], dict[str, list[str]]]:
-    """Nodes in order of distance, distances, numbers of shortest paths, predecessors."""
-    order, far, ways, before = [], {source: 0}, {source: 1.0}, {source: []}
-    queue = deque([source])
-    while queue:
-        u = queue.popleft()
-        order.append(u)
-        for v in step.get(u, ()):
-            if v not in far:
-                far[v], ways[v], before[v] = far[u] + 1, 0.0, []
-                queue.append(v)
-            if far[v] == far[u] + 1:
-                ways[v] += ways[u]
-                before[v].append(u)
-    return order, far, ways, before
+    step = _cut(edges.select("src", "dst").where("src <> dst").distinct())
+    state = _cut(nodes.select("name").groupBy("name").agg(F.hll_sketch_agg("name", bits).alias("s")).select("name", "s", F.lit(1).cast("long").alias("c"), F.lit(0).cast("long").alias("far")))
+    d, moved = 0, True
+    while moved:
+        d += 1
+        sent = state.join(step, F.col("name") == F.col("src")).select(F.col("dst").alias("name"), "s")
+        united = sent.unionByName(state.select("name", "s")).groupBy("name").agg(F.hll_union_agg("s").alias("now"))
+        new = F.greatest("c", F.hll_sketch_estimate("now"))
+        grown = state.join(united, "name").select("name", F.col("now").alias("s"), new.alias("c"), (F.col("far") + d * (new - F.col("c"))).alias("far"), (new > F.col("c")).alias("moved"))
+        grown = _cut(grown)
+        moved = not grown.where("moved").isEmpty()
+        drop(state)
+        state = grown.drop("moved")
+    reach = F.col("c") - 1
+    return state.select("name", F.when(F.col("far") > 0, reach / F.col("far") * (reach / (n - 1))).otherwise(F.lit(0.0)).alias("score"))
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, sample: int | None = None) -> DataFrame:
-    """Directed, unweighted, over (n - 1)(n - 2); with *sample*, scaled from that many sources."""
-    n = nodes.count()
-    chosen = _sources(nodes, sample)
-    shared = edges.sparkSession.sparkContext.broadcast(_adjacency(edges))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, float] = {}
-        for f in frames:
-            for s in f.name:
-                order, _, ways, before = _search(shared.value, s)
-                credit = dict.fromkeys(order, 0.0)
-                for v in reversed(order):
-                    for u in before[v]:
-                        credit[u] += ways[u] / ways[v] * (1 + credit[v])
-                    if v != s:
-                        total[v] = total.get(v, 0.0) + credit[v]
-        yield pd.DataFrame({"name": list(total), "part": list(total.values())})
+    """Directed, unweighted, over (n - 1)(n - 2); with *sample*, scaled from that many sources.
 
+    Brandes (2001) as joins: searches from a batch of sources level by level, then credit passed back from the last level to the first.
+    No task holds the graph; a batch holds about ``STATES`` rows (source, node).
+    """
+    n = nodes.count()
+    step = _cut(edges.select("src", "dst").where("src <> dst").distinct())
+    total = None
+    for sources in _batches(_sources(nodes, sample), n):
+        levels = _levels(sources, step)
+        credit, parts = None, []
+        for level in reversed(levels):
+            own = level.withColumn("credit", F.lit(0.0))
+            if credit is not None:
+                later = credit.select("source", F.col("node").alias("dst"), F.col("ways").alias("later_ways"), F.col("credit").alias("later"))
+                back = step.join(later, "dst").join(level.select("source", F.col("node").alias("src"), "ways"), ["source", "src"])
+                back = back.groupBy("source", F.col("src").alias("node")).agg(F.sum(F.col("ways") / F.col("later_ways") * (1 + F.col("later"))).alias("credit"))
+                own = level.join(back, ["source", "node"], "left").select("source", "node", "ways", F.coalesce("credit", F.lit(0.0)).alias("credit"))
+            credit = _cut(own)
+            parts.append(credit)
+        found = reduce(DataFrame.unionByName, parts).where("source <> node AND credit > 0").groupBy(F.col("node").alias("name")).agg(F.sum("credit").alias("p"))
+        now = found if total is None else found.unionByName(total).groupBy("name").agg(F.sum("p").alias("p"))
+        total = _cut(now, total)
+        drop(*levels, *parts)
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     scale *= n / sample if sample else 1.0
-    part = chosen.mapInPandas(run, "name string, part double").groupBy("name").agg(F.sum("part").alias("p"))
-    return nodes.select("name").join(part, "name", "left").select("name", (F.coalesce("p", F.lit(0.0)) * scale).alias("score"))
+    return nodes.select("name").join(total, "name", "left").select("name", (F.coalesce("p", F.lit(0.0)) * scale).alias("score"))
 
 
 def table(nodes: DataFrame, edges: DataFrame, measures: list[str] | None = None) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dedup import top_per
-from .paths import _cut
+from .paths import _cut, drop
 
 #: Nodes and edges up to which a partition may be found in one task.
 SMALL, SMALL_EDGES = 20_000, 400_000
@@ -166,43 +169,118 @@ def kmeans(nodes: DataFrame, edges: DataFrame, k: int = 5, seed: int = 42) -> Da
     return KMeans(k=k, seed=seed).fit(rows).transform(rows).select("name", F.col("prediction").cast("long").alias("partition_id"))
 
 
-def _lloyd(x: np.ndarray, k: int, seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    centres = [x[rng.integers(len(x))]]
-    for _ in range(k - 1):
-        far = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        centres.append(x[rng.choice(len(x), p=far / far.sum()) if far.sum() else 0])
-    c = np.array(centres)
-    for _ in range(100):
-        near = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
-        new = np.array([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(k)])
-        if np.allclose(new, c):
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _gram(rows: DataFrame, held: int, k: int) -> np.ndarray:
+    """[v w]^T w over all rows (v, w): (held + k) x k numbers, summed in the tasks; nothing else comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((held + k, k))
+        for b in batches:
+            if b.num_rows:
+                w = _matrix(b.column("w"))
+                total += np.hstack([_matrix(b.column("v")).reshape(len(w), held), w]).T @ w
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["i", "x"])
+
+    sums = rows.select("v", "w").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros((held + k) * k)
+    for r in sums:
+        out[r.i] = r.x
+    return out.reshape(held + k, k)
+
+
+def _mapped(rows: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray], columns: tuple[str, ...] = ("v", "w")) -> DataFrame:
+    """Rows (name, v, w) with w replaced by what *f* makes of the matrices of v and w, a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                w = f(*[_matrix(b.column(c)) for c in columns])
+                ends = pa.array(np.arange(0, w.size + 1, w.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([b.column("name"), b.column("v"), pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(w).ravel()))], ["name", "v", "w"])
+
+    return rows.mapInArrow(run, "name string, v array<double>, w array<double>")
+
+
+def _orthogonal(rows: DataFrame, held: int, k: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """w made orthonormal to v and in itself, with h and r of w = v h + q r. Two passes, the second on what the first leaves, keep full precision; directions that vanish are 0."""
+    h = _gram(rows, held, k)[:held]
+    first = _mapped(rows, lambda v, w: w - v.reshape(len(w), held) @ h)
+    again = _gram(first, held, k)
+    fix, rest = again[:held], again[held:]
+    values, turned = np.linalg.eigh(rest - fix.T @ fix)
+    size = np.sqrt(np.where(values > 1e-24, values, 0.0))
+    scaled = turned * np.where(size > 0, 1 / np.where(size > 0, size, 1), 0)
+    return _mapped(first, lambda v, w: (w - v.reshape(len(w), held) @ fix) @ scaled), h + fix, size[:, None] * turned.T
+
+
+def spectral_vectors(edges: DataFrame, k: int, depth: int = 6, tolerance: float = 1e-8, most: int = 60) -> DataFrame:
+    """(name, w): each linked node's entries in the *k* leading eigenvectors of the normalised adjacency, that is the least of the Laplacian.
+
+    Block Lanczos with restarts: a block of k vectors is multiplied by the matrix in one join along the edges, made orthogonal to the blocks before it through a small
+    Gram matrix, and after *depth* blocks the projected problem, of depth x k rows, is solved on the driver. The matrix is (I + S) / 2, so that
+    its spectrum is positive. A node's row holds depth x k numbers; no task holds the graph. *tolerance* bounds the residual.
+    """
+    both = edges.where("src <> dst").select("src", "dst", "weight").where("weight > 0")
+    both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    strength = _cut(both.groupBy("src").agg(F.sum("weight").alias("d")))
+    ends = strength.select(F.col("src").alias("dst"), F.col("d").alias("e"))
+    step = _cut(both.join(strength, "src").join(ends, "dst").select("src", "dst", (F.col("weight") / F.sqrt(F.col("d") * F.col("e"))).alias("s")))
+    n = strength.count()
+    k = min(k, n)
+    schema = "name string, v array<double>, w array<double>"
+    if not n:
+        return edges.sparkSession.createDataFrame([], schema).select("name", "w")
+    none = F.array().cast("array<double>")
+    start = F.array(*[F.pmod(F.xxhash64(F.lit(i), "src"), F.lit(1 << 20)) / F.lit(float(1 << 19)) - 1 for i in range(k)])
+    found = _cut(_orthogonal(_cut(strength.select(F.col("src").alias("name"), none.alias("v"), start.alias("w"))), 0, k)[0])
+    for _ in range(most):
+        basis, t = found.select("name", F.col("w").alias("v")), np.zeros((depth * k, depth * k))
+        for j in range(1, depth + 1):
+            held = j * k
+            last = basis.select("name", F.slice("v", held - k + 1, k).alias("b"))
+            flow = last.join(step, F.col("name") == F.col("src")).groupBy(F.col("dst").alias("name")).agg(*[F.sum(F.col("s") * F.get("b", F.lit(i))).alias(f"z{i}") for i in range(k)])
+            w = F.array(*[(F.get("v", F.lit(held - k + i)) + F.col(f"z{i}")) / 2 for i in range(k)])
+            rows = _cut(basis.join(flow, "name").select("name", "v", w.alias("w")))
+            q, h, r = _orthogonal(rows, held, k)
+            t[:held, held - k : held] = h
+            if j < depth:
+                t[held : held + k, held - k : held] = r
+                new = _cut(q.select("name", F.concat("v", "w").alias("v")))
+                drop(rows, *([basis] if j > 1 else []))
+                basis = new
+        _, vectors = np.linalg.eigh((t + t.T) / 2)
+        best = vectors[:, ::-1][:, :k]
+        new = _cut(_mapped(basis.select("name", "v", none.alias("w")), lambda v: v @ best, ("v",)).select("name", "w"))
+        drop(found, basis, rows)
+        found = new
+        if np.linalg.norm(r @ best[-k:]) <= tolerance:
             break
-        c = new
-    return near
+    return found.select("name", "w")
 
 
 def spectral(nodes: DataFrame, edges: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """Spectral clustering of the weighted adjacency for small graphs; power-iteration clustering (Lin and Cohen 2010) for larger ones."""
-    n = nodes.count()
-    if n > 2000:
-        from pyspark.ml.clustering import PowerIterationClustering
-
-        number = nodes.select("name").withColumn("id", F.xxhash64("name"))
-        pairs = edges.join(number.select(F.col("name").alias("src"), F.col("id").alias("a")), "src").join(number.select(F.col("name").alias("dst"), F.col("id").alias("b")), "dst")
-        found = PowerIterationClustering(k=k, srcCol="a", dstCol="b", weightCol="weight").assignClusters(pairs)
-        return number.join(found, "id", "left").select("name", F.coalesce("cluster", F.lit(0)).cast("long").alias("partition_id"))
-    names = sorted(r.name for r in nodes.select("name").collect())
-    at = {x: i for i, x in enumerate(names)}
-    a = np.zeros((n, n))
-    for r in edges.select("src", "dst", "weight").collect():
-        a[at[r.src], at[r.dst]] = a[at[r.dst], at[r.src]] = r.weight
-    k = min(k, n)
-    d = a.sum(axis=1)
-    scale = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1)), 0)
-    _, vectors = np.linalg.eigh(np.eye(n) - scale[:, None] * a * scale[None])
-    labels = _lloyd(np.round(vectors[:, :k], 12), k, seed)
-    return edges.sparkSession.createDataFrame([(x, int(c)) for x, c in zip(names, labels)], "name string, partition_id long")
+    """Spectral clustering of the weighted adjacency, the same at every size: ``spectral_vectors``, then distributed k-means on the rows.
+
+    Partitions of linked nodes are numbered by size, then least name; nodes without links are one more partition, the last.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    vectors = spectral_vectors(edges, k)
+    linked = vectors.count()
+    if linked > k:
+        rows = _cut(vectors.orderBy("name")).select("name", array_to_vector("w").alias("features"))
+        label = KMeans(k=k, seed=seed, maxIter=100).fit(rows).transform(rows).select("name", F.col("prediction").alias("c"))
+    else:
+        label = vectors.select("name", F.col("name").alias("c"))
+    label = _cut(label)
+    sizes = label.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("least")).orderBy(F.desc("n"), "least").collect()  # k rows
+    order = nodes.sparkSession.createDataFrame([(r.c, i) for i, r in enumerate(sizes)], label.select("c", F.lit(0).cast("long").alias("partition_id")).schema)
+    placed = label.join(F.broadcast(order), "c")  # k rows
+    return nodes.select("name").join(placed, "name", "left").select("name", F.coalesce("partition_id", F.lit(len(sizes))).cast("long").alias("partition_id"))
 
 
 def partition(nodes: DataFrame, edges: DataFrame, method: str = "louvain", **options) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,20 +17,43 @@ def build(edges: DataFrame, directed: bool = True) -> DataFrame:
     return e.groupBy("src", "dst").agg(F.max_by("strength", F.struct("relationship_id", "strength")).alias("strength"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage of a loop by a table in the shared folder that ``spark.checkpoint.dir`` names, or in the warehouse where a session names none.
-
-    A table also ends the constraints that the optimizer keeps of a checkpoint, which grow with every round. It goes when the application ends.
-    """
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names, or in the warehouse where a session names none; removed when the application ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{folder.rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    at, store = _place(spark, path)
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return path
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """End the lineage of a loop by a written table; the files of *old*, which nothing reads any more once this is written, go.
+
+    A table also ends the constraints that the optimizer keeps of a checkpoint, which grow with every round.
+    """
+    spark = df.sparkSession
+    path = _folder(spark)
+    df.write.mode("append").parquet(path)
+    if old is not None:
+        drop(old)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``_cut`` wrote; other tables stay."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/loomgraph-" in path:
+                at, store = _place(df.sparkSession, path)
+                store.delete(at, True)
+
+
 def _rounds(most: int | None):
     """Round numbers from 1; beyond *most* an error, as the frontier isn't empty then."""
     for n in count(1):
@@ -48,7 +71,7 @@ def hops(edges: DataFrame, source: str, most: int | None = None) -> DataFrame:
         front = _cut(front.join(step, front.node == step.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(n).alias("hops")))
         if front.isEmpty():
             break
-        seen = _cut(seen.unionByName(front))
+        seen = _cut(seen.unionByName(front), seen)
     return seen
 
 

@@ -414,7 +414,16 @@ def closeness(spark, sf):
     return centrality.closeness(nodes, edges).select("name", F.round("score", 8).alias("score"))
 
 
-@query()
+#: Least distances, numbers of shortest paths, and of those through a third node: the definition, with nothing passed back.
+_BETWEEN = f"""WITH RECURSIVE {TRADE}, walk AS (SELECT n_name AS a, n_name AS b, 0 AS h FROM nation UNION SELECT w.a, s.dst, w.h + 1 FROM walk w JOIN strong s ON s.src = w.b WHERE w.h < 24),
+far AS MATERIALIZED (SELECT a, b, min(h) AS h FROM walk GROUP BY 1, 2),
+route AS (SELECT n_name AS a, n_name AS b, 0 AS h FROM nation UNION ALL SELECT r.a, s.dst, r.h + 1 FROM route r JOIN strong s ON s.src = r.b JOIN far f ON f.a = r.a AND f.b = s.dst AND f.h = r.h + 1),
+ways AS MATERIALIZED (SELECT a, b, any_value(h) AS h, count(*) AS n FROM route GROUP BY 1, 2),
+through AS (SELECT x.b AS name, sum(x.n * y.n / z.n) AS v FROM ways x JOIN ways y ON x.b = y.a JOIN ways z ON z.a = x.a AND z.b = y.b AND z.h = x.h + y.h WHERE x.a <> x.b AND y.a <> y.b GROUP BY 1)
+SELECT n_name AS name, round(coalesce(v, 0) / (24 * 23), 8) AS score FROM nation LEFT JOIN through ON n_name = name"""
+
+
+@query(_BETWEEN)
 def betweenness(spark, sf):
     nodes, edges = sample.strong_trade(spark, sf)
     return centrality.betweenness(nodes, edges).select("name", F.round("score", 8).alias("score"))
@@ -511,7 +520,7 @@ def cdc_merge(spark, sf):
 @query(f"WITH {_LATEST} SELECT md5('users:' || user_id) AS subject_id, md5('groups:' || (event_id % 7)) AS object_id, 'new' AS kind FROM l WHERE op <> 'd' AND event_id % 7 <> 0 UNION ALL SELECT md5('users:' || user_id), md5('groups:0'), 'stale' FROM l WHERE op <> 'd' AND event_id % 7 <> 0")
 def fk_diff(spark, sf):
     """Against a store in which every user is in group 0."""
-    now = cdc.latest(cdc.parse(_messages(spark, sf)), _USERS)
+    now = paths._cut(cdc.latest(cdc.parse(_messages(spark, sf)), _USERS))
     users = sample.table(spark, sf, "events").select("user_id").distinct()
     old = cdc.wanted_edges(users.select(F.lit("r").alias("op"), F.lit("users").alias("table"), F.concat(F.lit("users:"), "user_id").alias("name"), F.create_map(F.lit("group_id"), F.lit("0")).alias("row")), _USERS)
     stale, new = cdc.fk_diff(now, _USERS, old)
@@ -966,7 +975,7 @@ def trade_closeness(spark, sf):
     return _rounded(centrality.closeness(*sample.trade(spark, sf)))
 
 
-@query()
+@query(_BETWEEN.replace("JOIN strong", "JOIN trade"))
 def trade_betweenness(spark, sf):
     return _rounded(centrality.betweenness(*sample.trade(spark, sf)))
 
