@@ -12,14 +12,15 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[ \\x09-\\x0D]+"
 
 
-#: Rows of an Arrow batch between Spark and Python: few enough for long texts to fit beside each other.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch between Spark and Python, whichever is reached first; a text longer than that is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small in this session; the default of 10 000 rows lets a batch of long texts fill a worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +45,12 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one, removed when the application ends, whether what is written to it succeeds or not."""
+    path = f"{work_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
+    store, folder = _at(spark, path)
+    store.mkdirs(folder)
+    store.deleteOnExit(folder)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -52,9 +58,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     executor costs one table scan and not the whole history. The files go with ``drop_staged``, else when the application ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    store, folder = _at(spark, path)
-    store.deleteOnExit(folder)
+    df.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -118,3 +122,9 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, whatever the names of the others."""
     placed, found = by_place(df, *names)
     return placed.select(*[c.alias(name) for name, c in found.items()])
+
+
+def with_own_names(docs: DataFrame, keep, *needed: str) -> DataFrame:
+    """The rows that *keep* leaves of *docs*, where only the *needed* columns have their names meanwhile; so the others may be called anything, also differ from those in case only."""
+    names = [c if c in needed else f"__{i}" for i, c in enumerate(docs.columns)]
+    return keep(docs.toDF(*names)).toDF(*docs.columns)

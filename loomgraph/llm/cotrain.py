@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, drop_staged, stage
+from .common import bounded_sample, drop_staged, stage, with_own_names
 from .toxicity import logistic
 
 LABELLED, POOL = 12_000, 12_000
@@ -31,6 +31,7 @@ CONTENT, METADATA = 16, 50
 #: Words by which shares of repeated words are drawn to 0, so that a few words say little.
 FEW = 10
 _SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:!?'\"()-")
+#: Places for sources and languages in the metadata view, by a hash: with more values than that some share a weight.
 _SOURCES, _LANGS = 32, 16
 
 
@@ -194,8 +195,10 @@ def score(docs: DataFrame, fitted: list[np.ndarray] | None, least: float = 0.5)
 
 def keep_good(docs: DataFrame, fitted: list[np.ndarray] | None, least: float = 0.5) -> DataFrame:
     """The rows of *docs* of good quality, with the columns that they came with."""
-    if fitted is None:
-        return docs
+    return docs if fitted is None else with_own_names(docs, lambda d: _keep_good(d, fitted, least), "doc_id", *_COLUMNS)
+
+
+def _keep_good(docs: DataFrame, fitted: list[np.ndarray], least: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
     fields = docs.schema.fields
     have = set(docs.columns)

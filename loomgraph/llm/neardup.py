@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, stage
+from .common import drop_staged, stage, with_own_names
 
 SHINGLE, ROWS, BANDS = 5, 4, 32
 BINS = ROWS * BANDS
@@ -324,10 +324,14 @@ def near_duplicates(docs: DataFrame, detailed: bool = False) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of *docs*, one of each component: its least id, and of several rows of that id the smallest by all columns.
+    """The rows of *docs*, one of each component: its least id, and of several rows of that id the one whose columns, as JSON, come first.
 
-    Rows without an id or without words are in no component and all stay. Columns keep their names, whatever those are.
+    Rows without an id or without words are in no component and all stay. Columns keep their names, whatever those are, and may be of any type.
     """
+    return with_own_names(docs, _keep_one, "doc_id", "text")
+
+
+def _keep_one(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs, detailed=True)
     ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
     # Most rows stay, so those that may not are named: the smaller side of the join with the texts.
@@ -340,5 +344,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     digest_of = F.arrow_udf(lambda texts: pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h := shingle_hashes(t.as_py())) else None for t in texts], pa.binary()), "binary")
     rows = docs.join(several, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("id"), digest_of("text").alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kept = found.where("kept AND digest IS NOT NULL").select(F.col("doc_id").alias("id"), "digest", "component").distinct()
-    one = rows.join(kept, ["id", "digest"]).groupBy("component").agg(F.min("row").alias("row"))
+    one = rows.join(kept, ["id", "digest"]).groupBy("component").agg(F.min_by("row", F.to_json("row", {"ignoreNullFields": "false"})).alias("row"))
     return out.unionByName(one.select("row.*")).unionByName(rows.where("digest IS NULL").select("row.*"))

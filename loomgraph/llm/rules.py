@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_RUN
+from .common import SPACE, SPACE_RUN, with_own_names
 
 SYMBOLS = "#*$%&|<>"
 
@@ -103,8 +103,12 @@ def apply_policy(led: DataFrame, version: str = CURRENT) -> DataFrame:
 
 def keep_passing(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """The rows of *docs* that pass the policy, with their own columns, whatever the names of those."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return apply_policy(ledger(rows, keep=("row",)), version).where("kept").select("row.*")
+
+    def passing(docs: DataFrame) -> DataFrame:
+        rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+        return apply_policy(ledger(rows, keep=("row",)), version).where("kept").select("row.*")
+
+    return with_own_names(docs, passing, "text")
 
 
 def ablation(led: DataFrame, version: str = CURRENT) -> DataFrame:

@@ -286,8 +286,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
             yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.list_(pa.float64())), batch.column(1)], names=["f", "y"])
 
     fit = rows.where(curve).select("text", "__y").mapInArrow(measured, "f array<double>, y int").toPandas()
-    if fit.y.nunique() < 2:
-        return model, pairs, np.array([10.0, *[0.0] * (TOP + 1), -3.0])
+    if fit.y.nunique() < 2:  # too few labels for a part of both classes: the curve is fitted on the rows that the models have counted as well
+        fit = rows.select("text", "__y").mapInArrow(measured, "f array<double>, y int").toPandas()
     return model, pairs, logistic(np.array(fit.f.tolist()), fit.y.to_numpy(float))
 
 

@@ -63,3 +63,16 @@ def test_stages_of_odd_rows(spark, sf):
 
 def test_rules_stage_takes_the_current_policy(spark, sf):
     assert rules.CURRENT in rules.POLICIES
+
+
+def test_stages_of_columns_of_any_type_and_name(spark, sf):
+    """Maps, arrays and binaries, and names that differ from the needed ones in case only."""
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, {"a": 1}, [1], b"x", "T"), (1, text, {"b": 2}, None, None, "U"), (1, text, {"a": 1}, [1], b"x", "T"), (2, text + " more", None, [], b"", None), (3, "few", {"c": 3}, [2], b"y", "V")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, a array<int>, b binary, Text string")
+    one = corpus_pipeline.near_duplicates(spark, odd, sf)
+    assert one.columns == odd.columns and [(r[0], r[2]) for r in sorted(one.collect(), key=lambda r: r[0])] == [(1, {"a": 1}), (3, {"c": 3})]
+    passed = corpus_pipeline.quality_rules(spark, odd, sf)
+    assert passed.columns == odd.columns and [r[0] for r in passed.collect()] == [1, 1, 1, 2]
+    assert corpus_pipeline.quality_classifier(spark, odd, sf).columns == odd.columns
+    assert corpus_pipeline.pack(spark, odd, sf).count() > 0

@@ -78,3 +78,20 @@ def test_clashing_names_and_long_texts(spark):
     rows = sharding.shuffle(docs).collect()
     check(rows, 60, 24)
     assert all((r["__place"], r["__Slice"], r["__rank"]) == ("own", 7, None) and len(r.text) == (5_000_000 if r.doc_id == 3 else r.doc_id) for r in rows)
+
+
+def test_query_equals_brute_force(spark, sf):
+    """Sizes, checksums, law and counts of the whole query."""
+    import zlib
+    from collections import Counter
+
+    from loomgraph.llm import queries
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op9_sharding(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs) and {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    assert all(r.size == len(docs[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(docs[r.doc_id].encode()) for r in got)
+    counts = Counter(r.shard for r in got)
+    assert set(counts) <= set(range(24)) and max(counts.values()) - min(counts[s] for s in range(24)) <= 1
+    for s in range(24):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(counts[s]))
