@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import cotrain, neardup, packing, rules
-from loomgraph.llm.common import bounded_batches, stage, table
+from loomgraph.llm.common import bounded_batches, only, stage, table
 from loomgraph.llm.queries import WORDS
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
-    return cotrain.keep_good(docs, cotrain.train(docs, table(spark, sf_dir, "labels")))
+    return cotrain.keep_good(docs, cotrain.train(only(docs, *[c for c in ("doc_id", "text", "source", "lang") if c in docs.columns]), table(spark, sf_dir, "labels")))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, in sequences of up to 4096 tokens."""
     bounded_batches(spark)
-    return packing.pack(docs, WORDS, with_ids=False)
+    return packing.pack(only(docs, "doc_id", "text"), WORDS, with_ids=False)
 
 
 STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("packing", pack)]
