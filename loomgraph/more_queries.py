@@ -149,10 +149,10 @@ def dedup_citations(spark, sf):
     return retrieval.citations(_fused(spark, sf))
 
 
-@query(f"WITH f AS ({_FUSED}) SELECT count(*) AS n, CAST(floor(sum(length('about ' || doc_id)) / 4) AS BIGINT) AS tokens, (SELECT 'about ' || doc_id FROM f ORDER BY score DESC, 'd' || doc_id LIMIT 1) AS best FROM f")
+@query(f"WITH f AS ({_FUSED}) SELECT count(*) AS n, least(count(*), 200) AS listed, CAST(floor(sum(length('about ' || doc_id)) / 4) AS BIGINT) AS tokens, (SELECT 'about ' || doc_id FROM f ORDER BY score DESC, 'd' || doc_id LIMIT 1) AS best FROM f")
 def ctx_build(spark, sf):
     got = retrieval.context(_fused(spark, sf))
-    return got.select(F.size("document").cast("long").alias("n"), "tokens", F.col("document")[0].summary.alias("best"))
+    return got.select(F.col("n_document").alias("n"), F.size("document").cast("long").alias("listed"), "tokens", F.col("document")[0].summary.alias("best"))
 
 
 # Paged documents: a nation is a document, its customers are entries of its contents page, each on a page of its own after that.
@@ -297,12 +297,11 @@ def seg_split(spark, sf):
 
 
 # Text and JSON functions over whole columns.
-@query(r"""SELECT doc_id, lower(left(text, 200)) AS low, upper(replace(left(text, 200), 'ß', 'ss')) AS up, trim(left(text, 200), ' ') AS bare, CAST(floor(length(text) / 4) AS BIGINT) AS ctx,
+@query(r"""SELECT doc_id, lower(text) AS low, upper(replace(text, 'ß', 'ss')) AS up, trim(text, ' ') AS bare, CAST(floor(length(text) / 4) AS BIGINT) AS ctx,
 least(1.0, n_chars / 1000.0)::DOUBLE AS capped, replace(source || '/' || doc_id, '/', '-') AS safe FROM documents""")
 def fn_text_basics(spark, sf):
     docs = sample.table(spark, sf, "documents")
-    head = F.substring("text", 1, 200)
-    return docs.select("doc_id", F.lower(head).alias("low"), F.upper(head).alias("up"), F.trim(head).alias("bare"), fn.context_tokens("text").alias("ctx"), fn.capped(F.col("n_chars") / 1000.0).alias("capped"), fn.file_safe(F.concat("source", F.lit("/"), "doc_id")).alias("safe"))
+    return docs.select("doc_id", F.lower("text").alias("low"), F.upper("text").alias("up"), F.trim("text").alias("bare"), fn.context_tokens("text").alias("ctx"), fn.capped(F.col("n_chars") / 1000.0).alias("capped"), fn.file_safe(F.concat("source", F.lit("/"), "doc_id")).alias("safe"))
 
 
 @query(r"SELECT doc_id, len([x for x in regexp_split_to_array(text, '\n\s*\n') if trim(x, ' ') <> '']) AS paragraphs FROM (SELECT doc_id, replace(text, '. ', '.' || chr(10) || ' ' || chr(10)) AS text FROM documents)")

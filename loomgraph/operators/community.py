@@ -216,12 +216,12 @@ def _orthogonal(rows: DataFrame, held: int, k: int) -> tuple[DataFrame, np.ndarr
     return _mapped(first, lambda v, w: (w - v.reshape(len(w), held) @ fix) @ scaled), h + fix, size[:, None] * turned.T
 
 
-def spectral_vectors(edges: DataFrame, k: int, depth: int = 6, tolerance: float = 1e-8, most: int = 60) -> DataFrame:
+def spectral_vectors(edges: DataFrame, k: int, depth: int = 6, tolerance: float = 1e-8, most: int = 60, extra: int = 4) -> DataFrame:
     """(name, w): each linked node's entries in the *k* leading eigenvectors of the normalised adjacency, that is the least of the Laplacian.
 
-    Block Lanczos with restarts: a block of k vectors is multiplied by the matrix in one join along the edges, made orthogonal to the blocks before it through a small
-    Gram matrix, and after *depth* blocks the projected problem, of depth x k rows, is solved on the driver. The matrix is (I + S) / 2, so that
-    its spectrum is positive. A node's row holds depth x k numbers; no task holds the graph. *tolerance* bounds the residual.
+    Block Lanczos with restarts: a block of k + *extra* vectors (those beyond k make the others converge sooner) is multiplied by the matrix in one join along the edges, made orthogonal to the blocks before it through a small
+    Gram matrix, and after *depth* blocks the projected problem, of depth x (k + extra) rows, is solved on the driver. The matrix is (I + S) / 2, so that
+    its spectrum is positive. A node's row holds as many numbers; no task holds the graph. *tolerance* bounds the residual.
     """
     both = edges.where("src <> dst").select("src", "dst", "weight").where("weight > 0")
     both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
@@ -229,7 +229,7 @@ def spectral_vectors(edges: DataFrame, k: int, depth: int = 6, tolerance: float
     ends = strength.select(F.col("src").alias("dst"), F.col("d").alias("e"))
     step = _cut(both.join(strength, "src").join(ends, "dst").select("src", "dst", (F.col("weight") / F.sqrt(F.col("d") * F.col("e"))).alias("s")))
     n = strength.count()
-    k = min(k, n)
+    asked, k = min(k, n), min(k + extra, n)
     schema = "name string, v array<double>, w array<double>"
     if not n:
         return edges.sparkSession.createDataFrame([], schema).select("name", "w")
@@ -256,23 +256,26 @@ def spectral_vectors(edges: DataFrame, k: int, depth: int = 6, tolerance: float
         new = _cut(_mapped(basis.select("name", "v", none.alias("w")), lambda v: v @ best, ("v",)).select("name", "w"))
         drop(found, basis, rows)
         found = new
-        if np.linalg.norm(r @ best[-k:]) <= tolerance:
+        if np.linalg.norm(r @ best[-k:, :asked]) <= tolerance:
             break
-    return found.select("name", "w")
+    return found.select("name", F.slice("w", 1, asked).alias("w"))
 
 
-def spectral(nodes: DataFrame, edges: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """Spectral clustering of the weighted adjacency, the same at every size: ``spectral_vectors``, then distributed k-means on the rows.
+def spectral(nodes: DataFrame, edges: DataFrame, k: int = 5, seed: int = 42, tolerance: float = 1e-4, most: int = 15) -> DataFrame:
+    """Spectral clustering of the weighted adjacency, the same at every size: ``spectral_vectors``, then distributed k-means on the rows, each normed
+    to length 1 (Ng, Jordan and Weiss 2002). Where the spectrum has no gap after the k-th value, vectors are taken as they are after *most* restarts.
 
     Partitions of linked nodes are numbered by size, then least name; nodes without links are one more partition, the last.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    vectors = spectral_vectors(edges, k)
+    vectors = spectral_vectors(edges, k, tolerance=tolerance, most=most)
     linked = vectors.count()
     if linked > k:
-        rows = _cut(vectors.orderBy("name")).select("name", array_to_vector("w").alias("features"))
+        length = F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x))
+        unit = F.transform("w", lambda x: F.when(length > 0, x / length).otherwise(0.0))
+        rows = _cut(vectors.select("name", unit.alias("w")).orderBy("name")).select("name", array_to_vector("w").alias("features"))
         label = KMeans(k=k, seed=seed, maxIter=100).fit(rows).transform(rows).select("name", F.col("prediction").alias("c"))
     else:
         label = vectors.select("name", F.col("name").alias("c"))

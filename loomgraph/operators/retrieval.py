@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import text as fn
+from .community import numbered
 from .dedup import budget_prefix, content_hash, first_per, top_per
 from .graph import both_ways
 
 # Source priorities of evidence, bonus of each, bonus of a named entity.
 PRIORITY = {"entity": 4, "relation": 3, "database": 2, "document": 1}
 PRIORITY_STEP, ENTITY_BONUS, RELATION_SCORE = 0.05, 0.2, 0.7
+#: Characters that a line of a prompt has at least: its keys and a score.
+LEAST_LINE = 20
 EVIDENCE = "source_type string, source_id string, content map<string,string>, score double"
 
 
@@ -61,7 +64,7 @@ def full_text(nodes: DataFrame, query: str, limit: int = 10, prefixes: list[str]
 def full_text_page(nodes: DataFrame, query: str, limit: int = 10, offset: int = 0, kind: str | None = None) -> tuple[DataFrame, int]:
     """One page of full-text hits and their number; where nothing matches, of nodes that contain the text in any case."""
     rows = nodes.where(F.col("type") == kind) if kind else nodes
-    found = full_text(rows, query, 1 << 30).where("score IS NOT NULL")
+    found = full_text(nodes, query, 1 << 30, types=[kind] if kind else None).where("score IS NOT NULL")
     total = found.count()
     if not total:
         low = query.lower()
@@ -71,13 +74,26 @@ def full_text_page(nodes: DataFrame, query: str, limit: int = 10, offset: int =
     return found.orderBy(F.desc("score"), "id").offset(offset).limit(limit), total
 
 
+def prefix_join(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str) -> DataFrame:
+    """Rows with each of the *prefixes* that their *text* begins with, by equality: a text is cut to every length that a prefix has.
+
+    Only the distinct lengths come to the driver; a row is repeated once a length, and no pair is tried that is none.
+    """
+    lengths = sorted(r.n for r in prefixes.select(F.length(prefix).alias("n")).distinct().where("n IS NOT NULL").collect())
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(text))
+    cut = rows.withColumn("__begin", F.explode(F.transform(fitting, lambda n: F.substring(F.col(text), F.lit(1), n))))
+    return cut.join(prefixes, F.col("__begin") == F.col(prefix)).drop("__begin")
+
+
 def expand_cascade(nodes: DataFrame, edges: DataFrame, names: DataFrame, limit: int = 30) -> DataFrame:
     """Relations of each name: of the node of that name, else of nodes whose name it begins, else of its table (what comes before a colon)."""
     keyed = names.select("name").distinct().withColumn("__t", F.regexp_extract("name", r"^([^:]+):", 1))
     exact = keyed.join(nodes.select("name"), "name", "left_semi").select("name", F.col("name").alias("node"))
     rest = keyed.join(exact.select("name"), "name", "left_anti")
-    begun = rest.join(nodes.select(F.col("name").alias("node")), F.startswith(F.col("node"), F.col("name"))).select("name", "node")
-    last = rest.join(begun.select("name"), "name", "left_anti").where("__t <> ''").join(nodes.select(F.col("name").alias("node")), F.startswith(F.col("node"), F.concat("__t", F.lit(":")))).select("name", "node")
+    all_nodes = nodes.select(F.col("name").alias("node"))
+    begun = prefix_join(all_nodes, "node", rest.select("name"), "name").select("name", "node")
+    tables = rest.join(begun.select("name"), "name", "left_anti").where("__t <> ''").select("name", F.concat("__t", F.lit(":")).alias("begin"))
+    last = prefix_join(all_nodes, "node", tables, "begin").select("name", "node")
     chosen = exact.unionByName(begun).unionByName(last)
     ways = both_ways(edges.select("subject", "object", "predicate", "relationship_id"))
     hit = ways.join(chosen, F.col("subject") == F.col("node")).select("name", F.col("subject").alias("source"), F.col("object").alias("target"), "predicate", "relationship_id")
@@ -120,7 +136,7 @@ def relation_evidence(relations: DataFrame) -> DataFrame:
 def from_graph(nodes: DataFrame, edges: DataFrame, uris: DataFrame | None, question: str, entities: list[str], per_uri: int = 100, names: int = 50, relations: int = 200, score: float = 0.9) -> DataFrame:
     """Evidence of the graph: entities under each URI and their relations; without URIs, entities by full text."""
     if uris is not None and not uris.isEmpty():
-        hit = nodes.join(uris.select("uri").distinct(), F.startswith(F.col("datasource"), F.col("uri")))
+        hit = prefix_join(nodes, "datasource", uris.select("uri").distinct(), "uri")
         found = top_per(hit, ["uri"], per_uri, F.asc("id")).dropDuplicates(["id"])
         value = F.lit(score)
     else:
@@ -144,8 +160,9 @@ def fuse(evidence: DataFrame, entities: list[str]) -> DataFrame:
     for e in entities:
         named = named | F.col("text").contains(e)
     total = fn.capped(F.col("score") + PRIORITY_STEP * rank + F.when(named, ENTITY_BONUS).otherwise(0.0))
-    number = F.row_number().over(Window.partitionBy("source_type").orderBy(F.desc("score"), "source_id")) - 1
-    out = one.withColumn("score", total).withColumn("n", number)
+    placed = numbered(one.withColumn("score", total), "source_type", F.desc("score"), "source_id", to="place")
+    first = placed.groupBy("source_type").agg(F.min("place").alias("first")).withColumnRenamed("source_type", "kind")
+    out = placed.join(F.broadcast(first), F.col("source_type").eqNullSafe(F.col("kind"))).withColumn("n", F.col("place") - F.col("first"))  # a row a kind of source
     return out.select(F.concat_ws("_", "source_type", F.col("n").cast("string")).alias("evidence_id"), "source_type", "source_id", "content", "score", summary().alias("summary"), citation().alias("citation"))
 
 
@@ -167,11 +184,13 @@ def citations(fused: DataFrame) -> DataFrame:
     return fused.where((F.col("source_type") == "document") | table_level).select("source_type", "citation").distinct()
 
 
-def context(fused: DataFrame) -> DataFrame:
-    """One row: a list of evidence for each source, best first, and an estimate of tokens."""
+def context(fused: DataFrame, most: int = 200) -> DataFrame:
+    """One row: for each source the *most* best pieces of evidence, best first, and the number of all; and an estimate of the tokens of all."""
+    listed = fused.where(F.element_at(F.split("evidence_id", "_"), -1).cast("long") < most)  # ranks are part of the ids
     item = F.struct((-F.col("score")).alias("o"), "evidence_id", "summary", "score")
     lists = [F.sort_array(F.collect_list(F.when(F.col("source_type") == k, item))).alias(k) for k in PRIORITY]
-    return fused.agg(*lists, F.floor(F.coalesce(F.sum(F.length("summary")), F.lit(0)) / 4).alias("tokens"))
+    facts = fused.agg(*[F.count_if(F.col("source_type") == k).alias(f"n_{k}") for k in PRIORITY], F.floor(F.coalesce(F.sum(F.length("summary")), F.lit(0)) / 4).alias("tokens"))
+    return listed.agg(*lists).crossJoin(F.broadcast(facts))  # a row each
 
 
 def counts(evidence: DataFrame) -> DataFrame:
@@ -184,7 +203,10 @@ def prompt_rows(fused: DataFrame, budget: int = 20_000) -> DataFrame:
     rows = fused.withColumns({"line": line, "place": F.when(F.col("source_type").isin("entity", "relation"), 0).when(F.col("source_type") == "database", 1).otherwise(2)})
     always = rows.where("place = 0")
     used = always.agg(F.coalesce(F.sum(F.length("line")), F.lit(0))).first()[0]
-    rest = budget_prefix(rows.where("place > 0").withColumn("g", F.lit(1)), ["g"], [F.asc("place"), F.desc("score"), F.asc("evidence_id")], F.length("line"), max(0, budget - used))
+    # A line has LEAST_LINE characters at least, so no more than this many of the first can fit.
+    order = [F.asc("place"), F.desc("score"), F.asc("evidence_id")]
+    first = rows.where("place > 0").orderBy(*order).limit(max(0, budget - used) // LEAST_LINE + 1)
+    rest = budget_prefix(first.withColumn("g", F.lit(1)), ["g"], [F.asc("place"), F.desc("score"), F.asc("evidence_id")], F.length("line"), max(0, budget - used))
     return always.select("evidence_id", "line").unionByName(rest.select("evidence_id", "line"))
 
 

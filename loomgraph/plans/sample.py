@@ -61,6 +61,15 @@ def strong_trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return nodes, edges.withColumn("r", rank).where("r <= 3").drop("r")
 
 
+def supply(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A graph that grows with the tables: suppliers and parts, an edge in each direction with the lines of the pair as its strength; nodes with the nation or maker."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("name"), F.lit("supplier").alias("type"), F.col("s_nationkey").cast("long").alias("group"))
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("name"), F.lit("part").alias("type"), (F.col("p_partkey") % 25).cast("long").alias("group"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).cast("double").alias("strength"))
+    out = lines.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), "strength")
+    return suppliers.unionByName(parts), out.unionByName(out.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "strength"))
+
+
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, n): how often a user's event of one type is followed by one of another."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
