@@ -100,6 +100,14 @@ def read_jdbc(spark: SparkSession, dialect: str, url: str, database: str, **opti
     return Catalog(_shaped(found["tables"], TABLES), _shaped(found["columns"], COLUMNS), _shaped(found["foreign"], FOREIGN), spark.createDataFrame([], INFERRED))
 
 
+def read_sqlite(spark: SparkSession, path: str) -> Catalog:
+    """The catalog of a SQLite file by its own metadata queries."""
+    from .sources import sqlite
+
+    found = {k: sqlite.run(spark, path, q) for k, q in metadata_queries("sqlite", "").items()}
+    return Catalog(_shaped(found["tables"], TABLES), _shaped(found["columns"], COLUMNS), _shaped(found["foreign"], FOREIGN), spark.createDataFrame([], INFERRED))
+
+
 def from_frames(spark: SparkSession, frames: dict[str, DataFrame], keys: dict[str, list[str]] | None = None, foreign: list[tuple[str, str, str, str]] = ()) -> Catalog:
     """The catalog of DataFrames; *foreign* has (table, column, referenced table, referenced column)."""
     keys = keys or {}

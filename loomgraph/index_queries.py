@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import query as pattern
 from .operators import centrality, community, paths, retrieval
 from .operators.textindex import TextIndex
 from .plans import sample
@@ -93,6 +94,23 @@ def ctx_prompt(spark, sf):
     return rows.select("evidence_id", F.get_json_object("line", "$.summary").alias("summary"))
 
 
+# Patterns of variable length.
+_WALKS = "walk AS (SELECT subject AS n0, object AS n1, 1 AS hops FROM edges UNION ALL SELECT w.n0, e.object, w.hops + 1 FROM walk w JOIN edges e ON e.subject = w.n1)"
+
+
+@query(f"WITH RECURSIVE {CORE}, {_WALKS} SELECT n0, n1, hops FROM walk")
+def match_any_hops(spark, sf):
+    """All paths of the core graph, of any length."""
+    return pattern.match_paths(sample.core(spark, sf)[1]).select("n0", "n1", "hops")
+
+
+@query(f"WITH RECURSIVE {CORE}, {_WALKS} SELECT n0, n1, hops FROM walk WHERE hops BETWEEN 2 AND 3 AND starts_with(n0, 'orders:')")
+def match_two_to_three(spark, sf):
+    """Paths of two or three hops from the orders."""
+    nodes, edges = sample.core(spark, sf)
+    return pattern.match_paths(edges, 2, 3, start=nodes.where("startswith(name, 'orders:')")).select("n0", "n1", "hops")
+
+
 # A graph that grows with the tables.
 SUPPLY = """half AS MATERIALIZED (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, count(*)::DOUBLE AS strength FROM lineitem GROUP BY 1, 2),
 edges AS MATERIALIZED (FROM half UNION ALL SELECT dst, src, strength FROM half),

@@ -1,8 +1,8 @@
 """The graph store: versioned Parquet tables of nodes and edges with merge, upsert and delete.
 
-A write makes a new version directory and then, by one rename, a pointer file of the next number; the pointer of the largest number
-counts. So readers see whole versions, and a write that fails anywhere leaves the one before. All mutations are joins by key; none looks rows up one at a time.
-A pointer names a whole table and the changes since; a change holds only the rows that it puts and the keys that go, so a small batch is a small write.
+A write makes new version directories and then one pointer file of the next number, which names what every table consists of; the pointer of the largest
+number counts. So readers see whole versions of all tables together, and a write that fails anywhere leaves the one before. All mutations are joins by key.
+A table is a whole one and the changes since; a change holds only the rows that it puts and the keys that go, so a small batch is a small write.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import re
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,9 +126,10 @@ def update_entity(nodes: DataFrame, entity: str, changes: dict[str, str | None])
 
 
 class GraphStore:
-    """Nodes and edges under one folder."""
+    """Nodes and edges under one folder; and, for a stream, the newest event of each row (``seen``)."""
 
-    KEYS = {"nodes": "id", "edges": "relationship_id"}
+    KEYS = {"nodes": "id", "edges": "relationship_id", "seen": "name"}
+    SCHEMAS = {"nodes": model.NODE, "edges": model.EDGE, "seen": "name string, ms long, n long"}
     #: Changes kept beside a table before it is written whole again.
     CHANGES = 16
 
@@ -139,17 +141,24 @@ class GraphStore:
     def _at(self, *parts: str):
         return self.jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
 
-    def _pointers(self, table: str) -> list[tuple[int, str]]:
-        """Numbers and file names of a table's pointers, newest first."""
+    def _pointers(self) -> list[tuple[int, str]]:
+        """Numbers and file names of the pointers, newest first."""
         if not self.fs.exists(self._at()):
             return []
         names = [s.getPath().getName() for s in self.fs.listStatus(self._at())]
-        return sorted(((int(m[1]), n) for n in names if (m := re.fullmatch(rf"{table}\.(\d+)\.current", n))), reverse=True)
+        return sorted(((int(m[1]), n) for n in names if (m := re.fullmatch(r"graph\.(\d+)\.json", n))), reverse=True)
+
+    def _state(self) -> tuple[int, dict[str, list[str]]]:
+        """Number of the newest version, and the folders of each table: the whole one and those of the changes since, in order."""
+        found = self._pointers()
+        for _, name in found:
+            row = self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()
+            if row is not None and row.value.endswith("}"):  # a writer that died while it wrote its pointer has made no version
+                return found[0][0], json.loads(row.value)
+        return (found[0][0] if found else 0), {}
 
     def _parts(self, table: str) -> list[str]:
-        """The folder of the whole table and those of the changes since, in order; none before the first write."""
-        found = self._pointers(table)
-        return self.spark.read.text(f"{self.path}/{found[0][1]}", wholetext=True).first().value.split() if found else []
+        return self._state()[1].get(table, [])
 
     def version(self, table: str) -> str | None:
         return (self._parts(table) or [None])[-1]
@@ -157,7 +166,7 @@ class GraphStore:
     def read(self, table: str) -> DataFrame:
         parts = self._parts(table)
         if not parts:
-            return self.spark.createDataFrame([], model.NODE if table == "nodes" else model.EDGE)
+            return self.spark.createDataFrame([], self.SCHEMAS[table])
         whole, *changes = [self.spark.read.parquet(f"{self.path}/{table}/{p}") for p in parts]
         if not changes:
             return whole
@@ -166,40 +175,63 @@ class GraphStore:
         now = last_per(together, [self.KEYS[table]], "__n").drop("__n")
         return merge(whole, now, self.KEYS[table]).where("__gone IS NOT TRUE").drop("__gone")
 
-    def write(self, table: str, df: DataFrame) -> str:
-        """A new version. Nodes are laid out by ranges of type and id, edges by subject, so that reads prune files and no type is one file."""
+    def _written(self, table: str, df: DataFrame) -> str:
+        """A folder of a whole table. Nodes are laid out by ranges of type and id, edges by subject, so that reads prune files and no type is one file."""
         name = uuid.uuid4().hex
-        laid = df.repartitionByRange("type", "id").sortWithinPartitions("type", "id") if table == "nodes" else df.sortWithinPartitions("subject_id")
-        laid.write.parquet(f"{self.path}/{table}/{name}")
-        self._point(table, [name])
+        if table == "nodes":
+            df = df.repartitionByRange("type", "id").sortWithinPartitions("type", "id")
+        elif table == "edges":
+            df = df.sortWithinPartitions("subject_id")
+        df.write.parquet(f"{self.path}/{table}/{name}")
         return name
 
+    def write(self, table: str, df: DataFrame) -> str:
+        """A new version of one table."""
+        return self.write_all({table: df})[table]
+
+    def write_all(self, tables: dict[str, DataFrame]) -> dict[str, str]:
+        """New versions of several tables, which count together or not at all."""
+        number, _ = self._state()
+        names = {t: self._written(t, df) for t, df in tables.items()}
+        self._point(number, {t: [n] for t, n in names.items()})
+        return names
+
     def change(self, table: str, puts: DataFrame, gone: DataFrame) -> None:
-        """Put rows, one a key, over those of their keys, and take away the keys of *gone* that are not put.
+        self.change_all({table: (puts, gone)})
+
+    def change_all(self, changes: dict[str, tuple[DataFrame, DataFrame]]) -> None:
+        """Put rows, one a key, over those of their keys, and take away the keys of *gone* that are not put; in all tables together.
 
-        Writes only these rows. After ``CHANGES`` of them the table is written whole, so a read joins a bounded number of them.
+        Writes only these rows. After ``CHANGES`` of them a table is written whole, so a read joins a bounded number of them.
         """
-        key, parts = self.KEYS[table], self._parts(table)
-        if not parts:
-            self.write(table, puts)
-            return
-        doomed = gone.select(key).distinct().join(puts.select(key), key, "left_anti").withColumn("__gone", F.lit(True))
-        name = uuid.uuid4().hex
-        puts.withColumn("__gone", F.lit(False)).unionByName(doomed, allowMissingColumns=True).write.parquet(f"{self.path}/{table}/{name}")
-        self._point(table, [*parts, name])
-        if len(parts) > self.CHANGES:
-            self.write(table, self.read(table))
-
-    def _point(self, table: str, parts: list[str]) -> None:
-        older = self._pointers(table)
-        written = self._at(f"{table}.next-{parts[-1]}")
-        out = self.fs.create(written, True)
-        out.write(bytearray("\n".join(parts).encode()))
+        number, state = self._state()
+        parts = {}
+        for table, (puts, gone) in changes.items():
+            key, have = self.KEYS[table], state.get(table, [])
+            if not have:
+                parts[table] = [self._written(table, puts)]
+                continue
+            doomed = gone.select(key).distinct().join(puts.select(key), key, "left_anti").withColumn("__gone", F.lit(True))
+            name = uuid.uuid4().hex
+            puts.withColumn("__gone", F.lit(False)).unionByName(doomed, allowMissingColumns=True).write.parquet(f"{self.path}/{table}/{name}")
+            parts[table] = [*have, name]
+        self._point(number, parts)
+        full = [t for t, p in parts.items() if len(p) > self.CHANGES + 1]
+        if full:
+            self.write_all({t: self.read(t) for t in full})
+            for t in full:
+                self.keep_newest(t)
+
+    def _point(self, number: int, parts: dict[str, list[str]]) -> None:
+        """Make version *number* + 1, with the named tables' new parts and the others as they are; an error if another writer has made it."""
+        state = self._state()[1] | parts
+        try:
+            out = self.fs.create(self._at(f"graph.{number + 1}.json"), False)
+        except Py4JJavaError as e:
+            raise RuntimeError(f"another writer has made version {number + 1}") from e
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        number = older[0][0] + 1 if older else 1
-        if not self.fs.rename(written, self._at(f"{table}.{number}.current")):
-            raise RuntimeError(f"another writer has made version {number} of {table}")
-        for _, old in older[1:]:
+        for _, old in self._pointers()[2:]:
             self.fs.delete(self._at(old), False)
 
     @property
@@ -215,8 +247,7 @@ class GraphStore:
 
     def delete(self, doomed: DataFrame) -> None:
         nodes, edges = detach_delete(self.nodes, self.edges, doomed)
-        self.write("edges", edges)
-        self.write("nodes", nodes)
+        self.write_all({"edges": edges, "nodes": nodes})
 
     def versions(self, table: str) -> list[str]:
         """Version names, newest first."""
@@ -233,7 +264,7 @@ class GraphStore:
     def export(self, path: str, form: str = "json") -> None:
         if form not in ("json", "parquet"):
             raise ValueError(f"unknown export format: {form}")
-        for table in self.KEYS:
+        for table in ("nodes", "edges"):
             self.read(table).write.format(form).mode("overwrite").save(f"{path}/{table}")
 
 

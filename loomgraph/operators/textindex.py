@@ -39,10 +39,11 @@ class TextIndex:
         at, store = _place(self.spark, self.path)
         names = [s.getPath().getName() for s in store.listStatus(at)] if store.exists(at) else []
         numbers = sorted(int(n.split(".")[1]) for n in names if n.startswith("index.") and n.endswith(".json"))
-        if not numbers:
-            return 0, {"segments": [], "rows": 0, "words": 0, "mean": 1.0}
-        text = self.spark.read.text(f"{self.path}/index.{numbers[-1]}.json", wholetext=True).first().value
-        return numbers[-1], json.loads(text)
+        for n in reversed(numbers):
+            row = self.spark.read.text(f"{self.path}/index.{n}.json", wholetext=True).first()
+            if row is not None and row.value.endswith("}"):  # else its writer died while it wrote
+                return numbers[-1], json.loads(row.value)
+        return (numbers[-1] if numbers else 0), {"segments": [], "rows": 0, "words": 0, "mean": 1.0}
 
     def _point(self, number: int, state: dict) -> None:
         at, store = _place(self.spark, f"{self.path}/index.{number + 1}.json")

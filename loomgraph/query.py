@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.paths import _cut, drop
+
 _STRING_OR_COMMENT = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", re.S)
 
 
@@ -36,6 +39,32 @@ def match(edges: DataFrame, hops: int = 1, predicate: str | None = None) -> Data
     return out.select(*[c for i in range(hops + 1) for c in ([f"n{i}"] if i == 0 else [f"p{i}", f"n{i}"])])
 
 
+def match_paths(edges: DataFrame, least: int = 1, most: int | None = None, predicate: str | None = None, start: DataFrame | None = None) -> DataFrame:
+    """Directed paths of *least* to *most* hops, or of any length: n0, n1, hops, and ``path``, the relationship ids.
+
+    No path uses an edge twice, so patterns without a bound end on cycles too. *start* (name) gives the first nodes. A round joins the paths that still
+    grow with the edges; each round's paths are written once.
+    """
+    if least < 1 or (most is not None and most < least):
+        raise ValueError("a path has one hop at least, and no fewer at most than at least")
+    e = edges.where(F.col("predicate") == predicate) if predicate else edges
+    step = _cut(e.select(F.col("subject").alias("__a"), F.col("object").alias("__b"), F.col("relationship_id").alias("__r")))
+    first = step if start is None else step.join(start.select(F.col("name").alias("__a")).distinct(), "__a", "left_semi")
+    front = _cut(first.select(F.col("__a").alias("n0"), F.col("__b").alias("n1"), F.lit(1).alias("hops"), F.array("__r").alias("path")))
+    found = [front] if least == 1 else []
+    hops = 1
+    while (most is None or hops < most) and not front.isEmpty():
+        hops += 1
+        longer = front.join(step, F.col("n1") == F.col("__a")).where(~F.array_contains("path", F.col("__r")))
+        new = _cut(longer.select("n0", F.col("__b").alias("n1"), F.lit(hops).alias("hops"), F.concat("path", F.array("__r")).alias("path")))
+        if hops - 1 < least:
+            drop(front)
+        front = new
+        if hops >= least:
+            found.append(front)
+    return reduce(DataFrame.unionByName, found or [front.limit(0)])
+
+
 def profile(df: DataFrame) -> dict:
     """Seconds, rows and the plan of a query."""
     began = time.time()

@@ -16,6 +16,7 @@ from .. import model
 from ..operators.dedup import last_per
 from ..operators.paths import _cut
 from ..operators.store import GraphStore, detach_delete, merge
+from ..operators.textindex import TextIndex
 
 SOURCE = "cdc_fk"
 _ROW = "map<string,string>"
@@ -64,7 +65,7 @@ def rejected(messages: DataFrame) -> DataFrame:
 def order_of(seq: Column) -> Column:
     """Stream ids ``ms-n`` compare as numbers, not as text."""
     part = F.split(seq, "-")
-    return F.struct(F.get(part, F.lit(0)).try_cast("long"), F.coalesce(F.get(part, F.lit(1)).try_cast("long"), F.lit(0)))
+    return F.struct(F.get(part, F.lit(0)).try_cast("long").alias("ms"), F.coalesce(F.get(part, F.lit(1)).try_cast("long"), F.lit(0)).alias("n"))
 
 
 def _name(schemas: list[Schema]) -> Column:
@@ -81,6 +82,12 @@ def latest(changes: DataFrame, schemas: list[Schema]) -> DataFrame:
     return last_per(named, ["name"], "__o").drop("__o")
 
 
+def newer(changes: DataFrame, seen: DataFrame) -> DataFrame:
+    """Changes that are not older than what was seen of their rows; the same event again counts, as a batch may be run again."""
+    known = seen.select("name", F.struct("ms", "n").alias("__seen"))
+    return changes.join(known, "name", "left").where(F.col("__seen").isNull() | (order_of(F.col("seq")) >= F.col("__seen")) | order_of(F.col("seq"))["ms"].isNull()).drop("__seen")
+
+
 def nodes_of(changes: DataFrame, schemas: list[Schema], datasource: str) -> DataFrame:
     """Nodes of the rows that were put; columns in catalog order, absent ones empty."""
     out = None
@@ -158,20 +165,29 @@ def placeholders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 class Follower:
     """Keeps a store in step with a stream of messages."""
 
-    def __init__(self, store: GraphStore, schemas: list[Schema], datasource: str, checkpoint: str, dead_letters: str | None = None):
+    def __init__(self, store: GraphStore, schemas: list[Schema], datasource: str, checkpoint: str, dead_letters: str | None = None, index: TextIndex | None = None):
         self.store, self.schemas, self.datasource = store, schemas, datasource
-        self.checkpoint, self.dead_letters = checkpoint, dead_letters
+        self.checkpoint, self.dead_letters, self.index = checkpoint, dead_letters, index
         self.query: StreamingQuery | None = None
 
     def batch(self, messages: DataFrame, number: int) -> None:
-        """Write what the batch changes; a batch that is run again after a failure writes the same rows."""
+        """Write what the batch changes, all tables together; a batch that is run again after a failure writes the same rows.
+
+        The newest event of each row is kept, of deleted ones too: an older event that comes in a later batch, as streams may overtake each other, changes nothing.
+        """
         messages.persist()
-        d = delta(self.store.edges, parse(messages), self.schemas, self.datasource)
-        self.store.change("edges", d.edges, d.gone_edges)
-        self.store.change("nodes", d.nodes, d.gone_nodes)
-        if self.dead_letters:
-            rejected(messages).withColumn("batch", F.lit(number)).write.mode("append").parquet(self.dead_letters)
-        messages.unpersist()
+        try:
+            now = _cut(newer(latest(parse(messages), self.schemas), self.store.read("seen")))
+            d = delta(self.store.edges, now, self.schemas, self.datasource)
+            o = order_of(F.col("seq"))
+            seen = now.select("name", F.coalesce(o["ms"], F.lit(0)).alias("ms"), o["n"].alias("n"))
+            self.store.change_all({"edges": (d.edges, d.gone_edges), "nodes": (d.nodes, d.gone_nodes), "seen": (seen, seen.limit(0))})
+            if self.index is not None:
+                self.index.update(d.nodes, d.gone_nodes)
+            if self.dead_letters:
+                rejected(messages).withColumn("batch", F.lit(number)).write.mode("append").parquet(self.dead_letters)
+        finally:
+            messages.unpersist()
 
     def start(self, messages: DataFrame, once: bool = False) -> StreamingQuery:
         writer = messages.writeStream.foreachBatch(self.batch).option("checkpointLocation", self.checkpoint)
