@@ -163,7 +163,7 @@ def core_spectral(spark, sf):
     """Partitions of all customers, suppliers and nations by where they live: one a nation, and one of the parts and regions, which have no such edges."""
     nodes, edges = sample.core(spark, sf)
     links = edges.select(F.col("subject").alias("src"), F.col("object").alias("dst"), F.lit(1.0).alias("weight")).where("startswith(dst, 'nation:')")
-    return community.spectral(nodes.where("type <> 'event'").select("name"), links, 25)
+    return community.spectral(nodes.where("type <> 'event'").select("name"), links, 26)
 
 
 @query()

@@ -265,11 +265,14 @@ def spectral(nodes: DataFrame, edges: DataFrame, k: int = 5, seed: int = 42, tol
     """Spectral clustering of the weighted adjacency, the same at every size: ``spectral_vectors``, then distributed k-means on the rows, each normed
     to length 1 (Ng, Jordan and Weiss 2002). Where the spectrum has no gap after the k-th value, vectors are taken as they are after *most* restarts.
 
-    Partitions of linked nodes are numbered by size, then least name; nodes without links are one more partition, the last.
+    Partitions of linked nodes are numbered by size, then least name; where there are nodes without links, those are one of the *k* partitions, the last.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    ends = edges.where("src <> dst AND weight > 0").select(F.explode(F.array("src", "dst")).alias("name"))
+    if not nodes.select("name").join(ends, "name", "left_anti").isEmpty():
+        k = max(1, k - 1)
     vectors = spectral_vectors(edges, k, tolerance=tolerance, most=most)
     linked = vectors.count()
     if linked > k:

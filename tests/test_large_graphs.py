@@ -94,7 +94,7 @@ def test_spectral_finds_blocks_and_sets_isolated_nodes_apart(spark):
     rng = random.Random(2)
     pairs = {(i, j) for b in range(3) for i in range(b * 12, b * 12 + 12 - b) for j in range(i + 1, b * 12 + 12 - b) if rng.random() < 0.6} | {(0, 12), (12, 24)}
     names, _, nodes, edges = graph(spark, 40, pairs)
-    part = {r.name: r.partition_id for r in community.spectral(nodes, edges, 3).collect()}
+    part = {r.name: r.partition_id for r in community.spectral(nodes, edges, 4).collect()}
     assert [part[x] for x in names] == [0] * 12 + [1] * 11 + [3] + [2] * 10 + [3] * 6
     assert {r.partition_id for r in community.spectral(nodes, edges.limit(0), 3).collect()} == {0}
 
