@@ -141,27 +141,34 @@ def repair_json(text: str):
 
 
 def _cuts(text: str) -> list[tuple[int, str]]:
-    """Where a text may be cut, after a value or a bracket, and the brackets that are open there, innermost first."""
-    found, open_, inside, escaped = [], "", False, False
+    """Where a text may be cut, after a value or a bracket, and the brackets that are open there, innermost first.
+
+    One pass; a name in an object is no place to cut, so the last place is nearly always one that parses, and few are tried.
+    """
+    found, open_, inside, escaped, name = [], "", False, False, False
     for at, c in enumerate(text):
         if inside:
             inside = escaped or c != '"'
             escaped = not escaped and c == "\\"
-            if not inside:
+            if not inside and not name:
                 found.append((at + 1, open_))
         elif c == '"':
             inside = True
         elif c in "{[":
             open_ = ("}" if c == "{" else "]") + open_
+            name = c == "{"
             found.append((at + 1, open_))
         elif c in "}]":
             if not open_.startswith(c):
                 return found
-            open_ = open_[1:]
+            open_, name = open_[1:], False
             found.append((at + 1, open_))
         elif c == ",":
             found.append((at, open_))
-    return found if inside else [*found, (len(text), open_)]
+            name = open_.startswith("}")
+        elif c == ":":
+            name = False
+    return found if inside or name else [*found, (len(text), open_)]
 
 
 ALIASES = {"entities": ("entities", "entity"), "relationships": ("relationships", "relations", "relation")}

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import query as pattern
+from .cache import ResultCache
 from .operators import centrality, community, paths, retrieval
 from .operators.textindex import TextIndex
-from .plans import sample
-from .queries import CORE, ORACLES, _rounded, query
+from .operators.store import GraphStore
+from .plans import extraction, sample
+from .queries import _USERS, CORE, ORACLES, _messages, query
+from .streaming import cdc
 
 
 # Full text.
@@ -170,3 +173,74 @@ def core_spectral(spark, sf):
 def supply_closeness(spark, sf):
     """Closeness by sketches; the error is bounded in the tests."""
     return centrality.closeness_sketched(*sample.supply(spark, sf), bits=10)
+
+
+# The store, the stream and the cache at work.
+@query(ORACLES["cdc_merge"])
+def cdc_follow(spark, sf):
+    """The follower's store after three batches, of which later ones bring older events as well: as if all had come in order."""
+    folder = paths._folder(spark)
+    follower = cdc.Follower(GraphStore(spark, folder), _USERS, "DBS://bench/app", f"{folder}/checkpoint")
+    messages = _messages(spark, sf).withColumn("batch", F.pmod(F.xxhash64("seq"), F.lit(3)))
+    for i in range(3):
+        follower.batch(messages.where(F.col("batch") == i).drop("batch"), i)
+    return follower.store.nodes.select("id", "description")
+
+
+@query(ORACLES["import_nodes"])
+def export_graph(spark, sf):
+    """The core graph stored, a part of it taken away and put back, exported as JSON and read again."""
+    folder = paths._folder(spark)
+    store = GraphStore(spark, f"{folder}/graph")
+    nodes, edges = sample.core(spark, sf)
+    store.write_all({"nodes": nodes, "edges": edges.drop("subject", "object")})
+    some = nodes.where("type = 'location'")
+    store.delete(some)
+    store.upsert("nodes", some)
+    store.export(f"{folder}/export")
+    return spark.read.schema(nodes.schema).json(f"{folder}/export/nodes").select("id", "name", "type", "datasource")
+
+
+@query(f"WITH {CORE} SELECT type, count(*) AS n FROM nodes GROUP BY type")
+def cached_counts(spark, sf):
+    """Counts by type, asked twice; the second answer comes from the kept result and reads none of the tables."""
+    nodes, _ = sample.core(spark, sf)
+    kept = ResultCache(spark, paths._folder(spark))
+    ask = nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    kept.get(ask, "1")
+    return kept.get(ask, "1")
+
+
+def _inner(name: str) -> str:
+    return f"(SELECT * FROM ({ORACLES[name]}))"
+
+
+@query(f"SELECT name, a.score AS degree, b.score AS closeness, c.score AS betweenness FROM {_inner('degree_centrality')} a JOIN {_inner('closeness')} b USING (name) JOIN {_inner('betweenness')} c USING (name)")
+def g_centrality_table(spark, sf):
+    nodes, edges = sample.strong_trade(spark, sf)
+    got = centrality.table(nodes.cache(), edges.cache(), ["degree", "closeness", "betweenness"])
+    return got.select("name", *[F.round(c, 8).alias(c) for c in ("degree", "closeness", "betweenness")])
+
+
+# Extraction from recorded answers.
+@query("""SELECT o_orderkey AS doc_id, 'entity' AS kind, 'o' || o_orderkey AS n, NULL AS s FROM orders WHERE o_orderkey % 5 <> 4 UNION ALL
+SELECT o_orderkey, 'relation', NULL, 'o' || o_orderkey FROM orders WHERE o_orderkey % 5 <> 4 UNION ALL SELECT o_orderkey, 'error', 'an answer that is no JSON object', NULL FROM orders WHERE o_orderkey % 5 = 4""")
+def fn_json_aliases(spark, sf):
+    """Answers under all names that the lists may have, in fences, broken off or no JSON at all."""
+    name = F.concat(F.lit("o"), "o_orderkey")
+    entity, relation = F.concat(F.lit('[{"n": "'), name, F.lit('", "t": "order", "c": 1}]')), F.concat(F.lit('[{"s": "'), name, F.lit('", "p": "of", "o": "x"}]'))
+    forms = [('{"entities": ', ', "relationships": ', "}"), ('```json\n{"entity": ', ', "relations": ', "}\n```"), ('{"relation": ', ', "entity": ', "}"), ('{"entity": ', ', "relation": ', "")]
+    text = F.lit("I cannot say")
+    for i, (a, b, c) in enumerate(forms):
+        first, second = (relation, entity) if "relation" in a else (entity, relation)
+        text = F.when(F.col("o_orderkey") % 5 == i, F.concat(F.lit(a), first, F.lit(b), second, F.lit(c))).otherwise(text)
+    answers = sample.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("part"), text.alias("text"))
+    return extraction.extract_segments(answers, lambda answer: answer).select("doc_id", "kind", "n", "s")
+
+
+@query(r"SELECT DISTINCT split_part(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), ' ', 1) AS n FROM conversations WHERE trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') <> ''")
+def ex_entities(spark, sf):
+    """The first word of each turn, as a model would answer it; distinct over all turns."""
+    turns = sample.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("part"), "text")
+    answer = lambda text: {"entities": [{"n": w, "t": "word", "c": 1} for w in text.split()[:1]], "relationships": []}
+    return extraction.distinct_results(extraction.extract_segments(turns, answer))[0].select("n")

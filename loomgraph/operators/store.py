@@ -243,11 +243,14 @@ class GraphStore:
         return self.read("edges")
 
     def upsert(self, table: str, new: DataFrame) -> None:
-        self.write(table, merge(self.read(table), new.dropDuplicates([self.KEYS[table]]), self.KEYS[table]))
+        """Put rows over those of their keys, as a change beside the table."""
+        self.change(table, new.dropDuplicates([self.KEYS[table]]), new.limit(0))
 
     def delete(self, doomed: DataFrame) -> None:
-        nodes, edges = detach_delete(self.nodes, self.edges, doomed)
-        self.write_all({"edges": edges, "nodes": nodes})
+        """Take nodes and the edges at them away, as one change of both tables."""
+        nodes, edges = self.nodes, self.edges
+        ends = edges.select("relationship_id", F.explode(F.array("subject_id", "object_id")).alias("id"))
+        self.change_all({"edges": (edges.limit(0), ends.join(doomed.select("id"), "id", "left_semi")), "nodes": (nodes.limit(0), doomed.select("id"))})
 
     def versions(self, table: str) -> list[str]:
         """Version names, newest first."""

@@ -1,7 +1,7 @@
 """Entities and relations out of text, and the pluggable language model behind it.
 
 A model is a callable from a text to ``{"entities": [...], "relationships": [...]}``. The offline default is rule-based, so
-every pipeline runs without a network. A call that fails gives nothing rather than losing the job.
+every pipeline runs without a network. A call that fails gives no entities rather than losing the job, and a row of kind ``error`` that says why.
 """
 
 from __future__ import annotations
@@ -35,17 +35,20 @@ def offline_model(text: str) -> dict:
 
 
 def call(model: Model, text: str, tries: int = 3) -> dict:
-    """The model's answer in canonical form; text answers are repaired and parsed; nothing after *tries* failures."""
+    """The model's answer in canonical form; text answers are repaired and parsed; after *tries* failures nothing but the last ``error``."""
+    error = "no answer"
     for _ in range(tries):
         try:
             found = model(text)
-        except Exception:  # noqa: BLE001  a model may fail in any way
+        except Exception as e:  # noqa: BLE001  a model may fail in any way
+            error = f"{type(e).__name__}: {e}"
             continue
+        error = "an answer that is no JSON object"
         if isinstance(found, str):
             found = folds.repair_json(found)
         if isinstance(found, dict):
             return folds.canonical(found)
-    return {"entities": [], "relationships": []}
+    return {"entities": [], "relationships": [], "error": error}
 
 
 def extract(model: Model, text: str, direct: int = DIRECT) -> dict:
@@ -55,13 +58,13 @@ def extract(model: Model, text: str, direct: int = DIRECT) -> dict:
     else:
         found = call(model, text)
         if found["entities"] or found["relationships"] or len(text) <= RETRY_OVER:
-            return found
+            return found | {"errors": [found["error"]] if "error" in found else []}
         cut = folds.split_point(text)
         parts = [extract(model, half, direct) for half in (text[:cut], text[cut:])]
     seen: dict[tuple, dict] = {}
     for e in (e for p in parts for e in p["entities"]):
         seen.setdefault((e.get("n"), e.get("t")), e)
-    return {"entities": list(seen.values()), "relationships": [r for p in parts for r in p["relationships"]]}
+    return {"entities": list(seen.values()), "relationships": [r for p in parts for r in p["relationships"]], "errors": [e for p in parts for e in p["errors"]]}
 
 
 def extract_segments(segments: DataFrame, model: Model = offline_model) -> DataFrame:
@@ -71,7 +74,7 @@ def extract_segments(segments: DataFrame, model: Model = offline_model) -> DataF
             rows = []
             for doc_id, part, text in zip(f.doc_id, f.part, f.text):
                 found = extract(model, text or "")
-                items = [("entity", e) for e in found["entities"]] + [("relation", r) for r in found["relationships"]]
+                items = [("entity", e) for e in found["entities"]] + [("relation", r) for r in found["relationships"]] + [("error", {"n": e}) for e in found["errors"]]
                 rows += [(doc_id, int(part) * 1_000_000 + i, k, x.get("n"), x.get("t"), x.get("c"), x.get("s"), x.get("p"), x.get("o")) for i, (k, x) in enumerate(items)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
 

@@ -157,7 +157,7 @@ def test_segments_and_extraction(spark):
     def fails(text):
         raise RuntimeError
 
-    assert extraction.call(fails, "x") == {"entities": [], "relationships": []}
+    assert extraction.call(fails, "x") == {"entities": [], "relationships": [], "error": "RuntimeError: "}
     calls = []
 
     def only_short(text):

@@ -138,9 +138,10 @@ def test_tables_are_committed_together(spark, tmp_path, monkeypatch):
         put = graph._written
         m.setattr(graph, "_written", lambda t, df: written.append(t) or (put(t, df) if len(written) < 2 else (_ for _ in ()).throw(RuntimeError("killed"))))
         with pytest.raises(RuntimeError):
-            graph.delete(nodes("x"))
+            graph.write_all({"edges": graph.edges.limit(0), "nodes": nodes("y")})
     assert written == ["edges", "nodes"] and graph.nodes.count() == 2 and graph.edges.count() == 1
     graph.delete(nodes("x"))
+    assert len(graph._parts("nodes")) == 2  # a small change beside the whole table
     assert [r.id for r in graph.nodes.collect()] == ["y"] and graph.edges.count() == 0
     with pytest.raises(RuntimeError, match="another writer"):
         graph._point(graph._state()[0] - 1, {})
