@@ -164,9 +164,33 @@ size AS (SELECT r, CAST(row_number() OVER (ORDER BY count(*) DESC, min(name)) -
 SELECT name, partition_id FROM home JOIN size USING (r) UNION ALL SELECT name, (SELECT count(*) FROM size) FROM (SELECT 'part:' || p_partkey AS name FROM part UNION ALL SELECT 'region:' || r_regionkey FROM region)""")
 def core_spectral(spark, sf):
     """Partitions of all customers, suppliers and nations by where they live: one a nation, and one of the parts and regions, which have no such edges."""
+    return community.spectral(*_homes(spark, sf), 26)
+
+
+def _homes(spark, sf):
     nodes, edges = sample.core(spark, sf)
     links = edges.select(F.col("subject").alias("src"), F.col("object").alias("dst"), F.lit(1.0).alias("weight")).where("startswith(dst, 'nation:')")
-    return community.spectral(nodes.where("type <> 'event'").select("name"), links, 26)
+    return nodes.where("type <> 'event'").select("name"), links
+
+
+_HOMES = """home AS (SELECT 'nation:' || n_nationkey AS name, n_nationkey AS r FROM nation UNION ALL SELECT 'customer:' || c_custkey, c_nationkey FROM customer
+UNION ALL SELECT 'supplier:' || s_suppkey, s_nationkey FROM supplier), alone AS (SELECT 'part:' || p_partkey AS name FROM part UNION ALL SELECT 'region:' || r_regionkey FROM region)"""
+
+
+@query(f"""WITH {_HOMES}, all_nodes AS (SELECT name, 'n' || r AS c FROM home UNION ALL SELECT name, name FROM alone),
+size AS (SELECT c, CAST(row_number() OVER (ORDER BY count(*) DESC, min(name)) - 1 AS BIGINT) AS partition_id FROM all_nodes GROUP BY c) SELECT name, partition_id FROM all_nodes JOIN size USING (c)""")
+def core_louvain(spark, sf):
+    """Louvain as joins over all customers, suppliers and nations: a star a nation, whose union no move betters; nodes without edges are partitions of their own."""
+    return community.label_rounds(*_homes(spark, sf))
+
+
+@query(f"""WITH {_HOMES}, d AS (SELECT name, CASE WHEN starts_with(name, 'nation:') THEN 'hub' ELSE 'other' END AS c FROM (SELECT name FROM home UNION ALL FROM alone))
+SELECT name, min(name) OVER (PARTITION BY c) AS least FROM d""")
+def core_kmeans(spark, sf):
+    """Two partitions by degree: nations, and what has one edge or none; each named by its least node."""
+    parts = community.kmeans(*_homes(spark, sf), k=2)
+    least = parts.groupBy("partition_id").agg(F.min("name").alias("least"))
+    return parts.join(least, "partition_id").select("name", "least")
 
 
 @query()
