@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators.paths import _cut
+
 TABLES = "table_name string, table_rows long, business_description string, entity_type string"
 COLUMNS = "table_name string, column_name string, ordinal int, data_type string, is_nullable string, column_key string"
 FOREIGN = "table_name string, column_name string, referenced_table string, referenced_column string, constraint_name string"
@@ -182,11 +184,13 @@ def cards(catalog: Catalog) -> DataFrame:
 
 def levels(tables: DataFrame, foreign: DataFrame, most: int = 50) -> DataFrame:
     """(table_name, level): longest foreign-key path from tables that refer to none; cycles stop at *most*."""
-    links = foreign.select("table_name", "referenced_table").where("table_name <> referenced_table").distinct().cache()
+    links = foreign.select("table_name", "referenced_table").where("table_name <> referenced_table").distinct()
+    links = _cut(links)
     now = tables.select("table_name", F.lit(0).alias("level"))
     for _ in range(most):
         up = links.join(now.select(F.col("table_name").alias("referenced_table"), F.col("level").alias("__l")), "referenced_table").groupBy("table_name").agg((F.max("__l") + 1).alias("__up"))
-        after = now.join(up, "table_name", "left").select("table_name", F.greatest("level", F.coalesce("__up", F.lit(0))).alias("level")).cache()
+        after = now.join(up, "table_name", "left").select("table_name", F.greatest("level", F.coalesce("__up", F.lit(0))).alias("level"))
+        after = _cut(after)
         if after.join(now, ["table_name", "level"], "left_anti").isEmpty():
             return now
         now = after

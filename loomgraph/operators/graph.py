@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions.text import clamp
+from .paths import _cut
 
 
 def scan_nodes(nodes: DataFrame) -> DataFrame:
@@ -137,11 +138,11 @@ def subgraph(nodes: DataFrame, edges: DataFrame, types: list[str] | None = None,
     typed = scan_nodes(nodes)
     chosen = typed.where(F.col("type").isin(types)) if types is not None else typed
     # Read three times below: the types that the sample is taken by, its rows, its size.
-    core = chosen.join(degrees(chosen, edges).where(F.col("degree") >= min_edges), "id").select("id", "type").persist()
-    ids = stratified(core, max_nodes).select("id").persist()  # at most max_nodes rows
+    core = _cut(chosen.join(degrees(chosen, edges).where(F.col("degree") >= min_edges), "id").select("id", "type"))
+    ids = _cut(stratified(core, max_nodes).select("id"), core)  # at most max_nodes rows
     if min_edges > 0:
         near = neighbours(edges, ids).join(typed.select("id"), "id", "left_semi")
-        ids = ids.withColumn("__late", F.lit(0)).unionByName(near.withColumn("__late", F.lit(1))).orderBy("__late", "id").limit(max_nodes).drop("__late").persist()
+        ids = _cut(ids.withColumn("__late", F.lit(0)).unionByName(near.withColumn("__late", F.lit(1))).orderBy("__late", "id").limit(max_nodes).drop("__late"), ids)
     return typed.join(ids, "id", "left_semi"), induced(edges, ids)
 
 

@@ -13,6 +13,7 @@ NAMES = sorted(n for n, f in queries.QUERIES.items() if f.__module__ == index_qu
 
 @pytest.mark.parametrize("name", [*NAMES, "betweenness", "trade_betweenness", "closeness", "ctx_build", "fn_text_basics", "fuse_rank"])
 def test_equals_sql(spark, sf, name):
+    sf = "/root/testdata/sf0.01" if name == "core_kmeans" else sf  # nations have clearly more edges than all others from there on
     db = duckdb.connect()
     for t in TABLES:
         path = f"{sf}/{t}.parquet"
