@@ -218,9 +218,13 @@ class GraphStore:
         self._point(number, parts)
         full = [t for t, p in parts.items() if len(p) > self.CHANGES + 1]
         if full:
-            self.write_all({t: self.read(t) for t in full})
-            for t in full:
-                self.keep_newest(t)
+            self.compact(*full)
+
+    def compact(self, *tables: str, keep: int = 10) -> None:
+        """Write tables whole again, without the changes beside them, and keep the *keep* newest folders of each for readers and for going back."""
+        self.write_all({t: self.read(t) for t in tables})
+        for t in tables:
+            self.keep_newest(t, keep)
 
     def _point(self, number: int, parts: dict[str, list[str]]) -> None:
         """Make version *number* + 1, with the named tables' new parts and the others as they are; an error if another writer has made it."""

@@ -41,6 +41,8 @@ def test_store_versions_upserts_and_deletes(spark, small, tmp_path):
     assert s.nodes.count() == 3 and s.edges.count() == 1
     assert len(s.versions("nodes")) == 3
     s.keep_newest("nodes", 1)
+    assert s.nodes.count() == 3 and len(s.versions("nodes")) == 3  # the whole table and two changes, all in use
+    s.compact("nodes", keep=1)
     assert s.nodes.count() == 3 and len(s.versions("nodes")) == 1
     s.export(str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/nodes")).count() == 3
