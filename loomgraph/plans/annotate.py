@@ -6,8 +6,9 @@ the catalog passes unchanged.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,54 @@ def expand(answer: dict | str) -> dict:
     return {"db": _named(answer.get("db") or {}, DB_KEYS), "tables": tables, "columns": [c for c in columns if c[1]], "relations": [r for r in rels if r["source_table"] and r["target_table"]]}
 
 
+PARSED = "key string, seq int, kind string, table_name string, column_name string, description string, entity_type string, target_table string, target_column string, relationship_type string"
+
+
+def _items(answer: str | None) -> list[tuple]:
+    """What an answer says, as rows without key and number: the database, tables, columns, relations; an error where it is no object of the form."""
+    found = folds.repair_json(answer or "")
+    if not isinstance(found, dict):
+        return [("error", None, None, "an answer that is no JSON object", None, None, None, None)]
+    try:
+        long = expand(found)
+    except (AttributeError, TypeError):
+        return [("error", None, None, "an answer of another form", None, None, None, None)]
+    rows = [("db", None, None, long["db"]["db_description"], long["db"]["business_domain"], None, None, None)] if any(long["db"].values()) else []
+    rows += [("table", t["table_name"], None, t["description"], t["entity_type"], None, None, None) for t in long["tables"]]
+    rows += [("column", t, c, d, None, None, None, None) for t, c, d in long["columns"]]
+    rows += [("relation", r["source_table"], r["source_column"], r["description"], None, r["target_table"], r["target_column"], r["relationship_type"]) for r in long["relations"]]
+    return [tuple(None if x is None else x if isinstance(x, str) else str(x) for x in row) for row in rows]
+
+
+def parse_answers(answers: DataFrame) -> DataFrame:
+    """Recorded answers (key, answer), one a database, as one row an item of each: kind is db, table, column, relation or error."""
+    names = [f.split()[0] for f in PARSED.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(key, n, *item) for key, answer in zip(f.key, f.answer) for n, item in enumerate(_items(answer))], columns=names)
+
+    return answers.select(F.col("key").cast("string").alias("key"), F.col("answer").cast("string").alias("answer")).mapInPandas(run, PARSED)
+
+
+def merge_answers(tables: DataFrame, columns: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables (key, table_name, ...) and columns (key, table_name, column_name, ...) of many databases with what the answers say of them.
+
+    Names are compared exactly. Of a name that an answer gives twice the last counts; what an answer does not name keeps its description.
+    """
+    def said(kind: str, by: list[str]) -> DataFrame:
+        last = lambda c: F.max_by(c, "seq").alias(f"__{c}")
+        return parsed.where(F.col("kind") == kind).groupBy(*by).agg(last("description"), last("entity_type"))
+
+    def over(rows: DataFrame, new: str, old: str) -> DataFrame:
+        kept = F.coalesce(new, old) if old in rows.columns else F.col(new)
+        return rows.withColumn(old, kept).drop(new)
+
+    t = over(tables.join(said("table", ["key", "table_name"]), ["key", "table_name"], "left"), "__description", "business_description")
+    c = columns.join(said("column", ["key", "table_name", "column_name"]), ["key", "table_name", "column_name"], "left").drop("__entity_type")
+    return over(t, "__entity_type", "entity_type"), over(c, "__description", "business_description")
+
+
 def run(catalog: Catalog, model: Callable[[str], dict | str] | None) -> tuple[Catalog, dict]:
     """The annotated catalog and the fields of the database."""
     if model is None:

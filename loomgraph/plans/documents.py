@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import folds
 from ..functions import text as fn
+from ..operators.paths import _cut, drop
 
 
 def numbered_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -213,6 +214,74 @@ def too_large(nodes: DataFrame, pages: int = 10, tokens: int = 20_000) -> DataFr
     return nodes.where((F.col("end_index") - F.col("start_index") > pages) & (fn.tokens("text") >= tokens))
 
 
+def span_tokens(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Nodes with ``tokens``, those of their pages: the difference of two sums up to a page, so that no page is joined to more than the nodes that it bounds."""
+    size = fn.tokens("text").cast("long")
+    sums = pages.select("doc_id", "page", size.alias("__own"), F.sum(size).over(Window.partitionBy("doc_id").orderBy("page")).alias("__sum"))
+    before = sums.select("doc_id", F.col("page").alias("start_index"), (F.col("__sum") - F.col("__own")).alias("__before"))
+    upto = sums.select("doc_id", F.col("page").alias("end_index"), F.col("__sum").alias("__upto"))
+    out = nodes.join(before, ["doc_id", "start_index"], "left").join(upto, ["doc_id", "end_index"], "left")
+    return out.withColumn("tokens", F.col("__upto") - F.col("__before")).drop("__upto", "__before")
+
+
+def _own_entries(entries: DataFrame, large: DataFrame, seen: DataFrame, all_levels: bool) -> DataFrame:
+    """Of what was found on the pages of large nodes, what lies between a node's own entry and the next one that is a node already."""
+    known = seen.select(F.col("doc_id").alias("__doc"), F.col("title").alias("__name"), F.col("start_index").alias("__at")).distinct().withColumn("__known", F.lit(True))
+    same = (F.col("doc_id.doc_id") == F.col("__doc")) & (F.col("title") == F.col("__name")) & (F.col("physical_index") == F.col("__at"))
+    own = large.select("doc_id", F.trim("title").alias("__title"), F.col("start_index").alias("__start"))
+    rows = entries.where("physical_index IS NOT NULL").join(known, same, "left").drop("__doc", "__name", "__at").join(own, "doc_id")
+    group = Window.partitionBy("doc_id")
+    here = F.col("physical_index") == F.col("__start")
+    after = F.coalesce(F.max(F.when(here & (F.col("title") == F.col("__title")), F.col("ord"))).over(group), F.max(F.when(here & F.col("__known"), F.col("ord"))).over(group), F.lit(0))
+    rows = rows.withColumn("__after", after)
+    rows = rows.withColumn("__until", F.min(F.when(F.col("__known") & (F.col("ord") > F.col("__after")), F.col("ord"))).over(group))
+    rows = rows.where("ord > __after AND (__until IS NULL OR ord < __until)")
+    if not all_levels:
+        depth = F.size(F.split("structure", r"\."))
+        rows = rows.withColumn("__depth", depth).withColumn("__least", F.min("__depth").over(group)).where("__depth = __least").drop("__depth", "__least")
+    rows = rows.withColumn("ord", F.row_number().over(group.orderBy("ord")))
+    return rows.drop("__known", "__title", "__start", "__after", "__until")
+
+
+def split_large(tree: DataFrame, pages: DataFrame, most_pages: int = 10, least_tokens: int = 20_000, outline: Callable[[DataFrame], DataFrame] | None = None, all_levels: bool = True) -> DataFrame:
+    """Sections (doc_id, node, parent, title, start_index, end_index) with large ones split, and their parts, until none is large or has parts.
+
+    A section is large if it ends more than *most_pages* pages after its start and its pages have *least_tokens* tokens or more. Its parts are
+    what *outline* finds on its pages (doc_id, page, text), where doc_id names the section: (doc_id, ord, structure, title, physical_index); without
+    one, numbered lines. Parts hang under each other by their codes, else under the section, and the section ends where its first part
+    starts. With *all_levels* off only the least deep parts are taken; deeper ones come if those are large. ``node`` of a part is the section's and a number, so that
+    the order of ``node`` is that of the document.
+
+    A round a level, all documents at once. Defined results: sections without known pages, or of documents without pages or id, stay as they are; a part on a page that
+    two sections share belongs to the one whose entry comes before it; lines that repeat a title on one page are parts each.
+    """
+    columns = ["doc_id", "node", "parent", "title", "start_index", "end_index"]
+    seen = front = _cut(tree.select(*columns))
+    while True:
+        large = span_tokens(front, pages).where((F.col("end_index") - F.col("start_index") > most_pages) & (F.col("tokens") >= least_tokens))
+        large = large.withColumn("doc_id", F.struct("doc_id", "node"))
+        numbers = large.select(F.col("doc_id").alias("__key"), F.col("doc_id.doc_id").alias("doc_id"), F.explode(F.sequence("start_index", "end_index")).alias("page"))
+        inside = numbers.join(pages.select("doc_id", "page", "text"), ["doc_id", "page"]).select(F.col("__key").alias("doc_id"), "page", "text")
+        found = _own_entries((outline or outline_of_pages)(inside), large, seen, all_levels)
+        found = sections(title_opens_page(found, inside), large.select("doc_id", F.col("end_index").alias("page")))
+        codes = found.groupBy("doc_id", F.col("structure").alias("__code")).agg(F.collect_list("ord").alias("__at"))
+        found = found.withColumn("__code", fn.parent_code("structure")).join(codes, ["doc_id", "__code"], "left")
+        above = F.array_max(F.filter("__at", lambda x: x < F.col("ord")))
+        part = lambda n: F.concat(F.col("doc_id.node"), F.lit("."), fn.node_number(n))
+        parts = found.select(F.col("doc_id.doc_id").alias("doc_id"), part(F.col("ord")).alias("node"), F.coalesce(part(above), F.col("doc_id.node")).alias("parent"), "title", "start_index", "end_index", F.col("doc_id.node").alias("__of"))
+        parts = _cut(parts)
+        last = front if "__of" in front.columns else None
+        if parts.isEmpty():
+            drop(parts, *([last] if last is not None else []))
+            return seen
+        first = parts.groupBy("doc_id", F.col("__of").alias("node")).agg(F.min("start_index").alias("__end"))
+        cut = seen.join(first, ["doc_id", "node"], "left").withColumn("end_index", F.coalesce("__end", "end_index")).drop("__end")
+        seen = _cut(cut.select(*columns).unionByName(parts.select(*columns)), seen)
+        if last is not None:
+            drop(last)
+        front = parts
+
+
 def page_groups(pages: DataFrame, most: int = 20_000, overlap: int = 1) -> DataFrame:
     """(doc_id, group, first, last): pages in groups of about equal tokens."""
     def run(f: pd.DataFrame) -> pd.DataFrame:
