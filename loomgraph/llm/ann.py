@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by largest inner product: a forest of random-projection trees.
 
-The trees are fitted on a bounded sample; every row is then placed in its leaf of each tree. A node splits its points
+The trees are fitted on a bounded sample, a share of the distinct vectors, so that leaves keep their size while the table grows up to
+``SHARE * MOST / width`` vectors (a million of 64 components); every row is then placed in its leaf of each tree. A node splits its points
 at the median of their projections on the difference of two points drawn at random. Inner products become angles by one
 more coordinate that lifts every vector to the largest norm. A query walks all trees through one priority queue, ordered by the
 squared margins that a path has crossed on the wrong side, until the leaves it has taken hold a budget of vectors; their members are ranked
@@ -37,8 +38,10 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, stage
 
 TOP, EVERY = 20, 20
-#: Distinct vectors to fit the trees on, trees, fewest sample points of a leaf.
-SAMPLE, TREES, NODE = 16_384, 4, 32
+#: Trees, fewest sample points of a leaf.
+TREES, NODE = 4, 32
+#: About how many distinct vectors the trees are fitted on: one in SHARE, up to MOST components together, but no fewer than SAMPLE (all, if fewer).
+SAMPLE, MOST, SHARE = 16_384, 1 << 24, 4
 #: The recall that sets how many vectors a query takes; queries to set it by.
 TARGET, TRIED = 0.96, 64
 #: Most vectors of a cell; most queries that search a copy of a cell.
@@ -86,6 +89,11 @@ def grow(points: np.ndarray, rng: np.random.Generator, node: int = NODE) -> Tree
     return Tree(np.array(normals, np.float64).reshape(-1, width), np.array(cuts), kid[:, 0], kid[:, 1], leaves)
 
 
+def sample_size(distinct: int, width: int) -> int:
+    """About how many of so many distinct vectors of a width the trees are fitted on."""
+    return max(SAMPLE, min(distinct // SHARE, MOST // width))
+
+
 def leaf_of(tree: Tree, points: np.ndarray) -> np.ndarray:
     if not len(tree.cut):
         return np.zeros(len(points), np.int64)
@@ -245,7 +253,7 @@ def search_cell(queries: np.ndarray, taken: list[np.ndarray], vectors: np.ndarra
     return at[best], hit[best], score[best]
 
 
-def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, budget: int | None = None, sample: int = SAMPLE, trees: int = TREES, seed: int = 5) -> DataFrame:
+def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, budget: int | None = None, sample: int | None = None, trees: int = TREES, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the *top* nearest found for each row whose id *every* divides."""
     spark = vectors.sparkSession
     kind = f"array<{_kind(vectors)}>"
@@ -272,8 +280,8 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, budget: int |
     def lifted(x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(norm - (x * x).sum(axis=1), 0))[:, None]])
 
-    fitted = bounded_sample(classes.select("h1", "v"), sample, seed, key="h1").toPandas().sort_values("h1")
-    points = lifted(np.array(fitted.v.tolist(), np.float64).reshape(-1, width))
+    fitted = bounded_sample(classes.select("h1", "v"), sample or sample_size(classes.count(), width), seed, key="h1").toArrow().sort_by("h1")
+    points = lifted(_matrix(fitted["v"].combine_chunks(), width))
     forest = [grow(points, np.random.Generator(np.random.Philox(key=[seed, t]))) for t in range(trees)]
     grown = spark.sparkContext.broadcast(forest)  # at most trees x sample / NODE nodes
 

@@ -63,6 +63,18 @@ def test_the_query_against_brute_force(spark):
         assert all(s == (x[at[q]] * x[at[v]]).cumsum()[-1] for _, v, s in rows)
 
 
+def test_leaves_keep_their_size(monkeypatch):
+    """While the sample is a share of the table, the largest leaf of 200 000 vectors is no larger than that of 20 000."""
+    monkeypatch.setattr(ann, "SAMPLE", 1000)
+    largest = []
+    for n in (20_000, 200_000):
+        x = np.random.default_rng(9).normal(size=(n, 8))
+        tree = ann.grow(x[: ann.sample_size(n, 8)], np.random.default_rng(1))
+        largest.append(np.bincount(ann.leaf_of(tree, x)).max())
+    assert max(largest) <= 4 * ann.NODE * ann.SHARE and largest[1] <= 1.5 * largest[0]
+    assert [ann.sample_size(n, 64) for n in (0, 10_000, 10**6, 10**12)] == [1000, 2500, 250_000, 262_144] and ann.sample_size(10**12, 10**6) == 1000
+
+
 def test_a_cell_is_searched_exactly():
     """Ties of quantised vectors included, against a plain search of the leaves that each query takes."""
     rng = np.random.default_rng(7)
