@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import catalog
 from .functions import text as fn
 from .index_queries import SUPPLY
 from .operators import community, paths
 from .plans import annotate, documents, sample
-from .queries import query
+from .queries import _TURNS, _markdown, query
 
 
 # Books of a region: a chapter a nation, a block every five of its customers, a page a customer.
@@ -61,6 +62,35 @@ def tree_token_limit(spark, sf):
     return documents.over_limit(nodes, 150).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
+@query(f"""WITH {_TURNS}, n AS (SELECT doc_id, k AS p, lpad((k + 1)::VARCHAR, 8, '0') AS node_id, '00000001' AS parent_id, 'Turn ' || turn || ' ' || role AS title FROM t
+UNION ALL SELECT DISTINCT doc_id, 0, '00000001', NULL, 'Conversation ' || doc_id FROM t) SELECT doc_id, doc_id::VARCHAR AS doc_name, p::INTEGER AS p, node_id, parent_id, title FROM n""")
+def doc_summary_json(spark, sf):
+    """Each conversation's outline as one JSON text, read again and flattened: nodes in pre-order, without their texts."""
+    nodes = documents.markdown_nodes(_markdown(spark, sf)).withColumn("text", F.lit(None).cast("string"))
+    shape = "doc_name string, structure array<struct<node_id: string, parent_id: string, title: string>>"
+    back = documents.tree_json(nodes).select("doc_id", F.from_json("document", shape).alias("d"))
+    flat = back.select("doc_id", "d.doc_name", F.posexplode("d.structure").alias("p", "n"))
+    return documents.project(flat.select("doc_id", "doc_name", "p", "n.*"), first=("doc_id", "node_id"))
+
+
+@query(r"""SELECT conv_id, turn, array_to_string(list_slice([x for x in regexp_split_to_array(text, '[\s,，。！？?!、；;：:"''（）()]+') if length(x) > 1], 1, 5), '|') AS names FROM conversations WHERE text IS NOT NULL""")
+def names_extract(spark, sf):
+    """The first five names that a question may hold, of each turn."""
+    turns = sample.table(spark, sf, "conversations").where("text IS NOT NULL")
+    return turns.select("conv_id", "turn", F.array_join(fn.names("text"), "|").alias("names"))
+
+
+@query("""WITH k AS (SELECT 'c' || o_custkey AS table_name, o_custkey AS c, coalesce(list('o' || o_orderkey ORDER BY o_orderkey) FILTER (WHERE o_orderstatus IN ('F', 'P')), [min_by('o' || o_orderkey, o_orderkey)]) AS keys FROM orders GROUP BY o_custkey)
+SELECT table_name, array_to_string(CASE WHEN len(keys) = 1 AND c % 3 = 0 THEN ['id', table_name] ELSE keys END, ',') AS keys FROM k""")
+def pk_refine(spark, sf):
+    """Keys of many tables (a customer each, its orders as columns) by marks in any case, else the first column; single ones as an inspection says, where it says anything."""
+    orders = sample.table(spark, sf, "orders")
+    name, mark = F.concat(F.lit("c"), "o_custkey"), F.when(F.col("o_orderstatus") == "F", "pri").when(F.col("o_orderstatus") == "P", "Primary Key").when(F.col("o_orderkey") % 2 == 0, "")
+    columns = orders.select(name.alias("table_name"), F.concat(F.lit("o"), "o_orderkey").alias("column_name"), F.col("o_orderkey").alias("ordinal"), mark.alias("column_key"))
+    seen = orders.where("o_custkey % 3 <> 1").select(name.alias("table_name"), F.when(F.col("o_custkey") % 3 == 0, F.array(F.lit("id"), name)).otherwise(F.array().cast("array<string>")).alias("keys")).distinct()
+    return catalog.refine_keys(catalog.primary_keys(columns), seen).select("table_name", F.array_join("keys", ",").alias("keys"))
+
+
 # Descriptions from recorded answers: a database a customer, a table an order.
 _FENCE = "```"
 

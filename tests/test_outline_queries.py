@@ -16,7 +16,7 @@ NAMES = sorted(n for n, f in queries.QUERIES.items() if f.__module__ == outline_
 def test_equals_sql(spark, name):
     sf = "/root/testdata/sf0.01"
     db = duckdb.connect()
-    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem", "documents"):
+    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "conversations"):
         path = f"{sf}/{t}.parquet"
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     got = queries.QUERIES[name](spark, sf)
