@@ -46,9 +46,12 @@ def rejected(entities: DataFrame) -> DataFrame:
 
 
 def resolve(relations: DataFrame, nodes: DataFrame, fold_case: bool = True) -> DataFrame:
-    """Relations (s, p, o) with ``subject_id`` and ``object_id``: by exact name, else by lower-cased name; null if unknown."""
-    exact = nodes.select("name", "id").dropDuplicates(["name"])
-    lower = nodes.groupBy(F.lower("name").alias("lname")).agg(F.min("id").alias("lid"))
+    """Relations (s, p, o) with ``subject_id`` and ``object_id``: by exact name, else by lower-cased name; null if unknown.
+
+    All nodes stand on one side, so the joins merge: by the size of the files that they come from, millions of short rows would be broadcast.
+    """
+    exact = nodes.select("name", "id").dropDuplicates(["name"]).hint("merge")
+    lower = nodes.groupBy(F.lower("name").alias("lname")).agg(F.min("id").alias("lid")).hint("merge")
     out = relations
     for end, to in (("s", "subject_id"), ("o", "object_id")):
         out = out.join(exact.select(F.col("name").alias(end), F.col("id").alias(f"__{end}")), end, "left")
