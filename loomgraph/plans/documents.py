@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import folds
@@ -54,16 +54,26 @@ def with_parents(nodes: DataFrame) -> DataFrame:
     return out.withColumns({"node_id": fn.node_number("ord"), "parent_id": fn.node_number("parent")}).drop("parent")
 
 
+def _following() -> WindowSpec:
+    """The rows after one of a document, nearest last: a frame that grows, where one to the end of the document would be read anew for every row."""
+    return Window.partitionBy("doc_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _subtrees(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``tokens``, their own and their descendants', and ``__next``, the first later node of no greater level (null: none)."""
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    own = nodes.withColumn("__t", fn.tokens("text").cast("long"))
+    own = own.withColumns({"__before": F.sum("__t").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__t"), "__all": F.sum("__t").over(Window.partitionBy("doc_id"))})
+    # What is counted before the next node of level k or less, and that node, for each of the six levels.
+    ends = F.array(*[F.last(F.when(F.col("level") <= k, F.struct(F.col("__before").alias("t"), F.col("ord").alias("n"))), ignorenulls=True).over(_following()) for k in range(1, 7)])
+    own = own.withColumn("__end", F.try_element_at(ends, F.col("level").cast("int")))
+    tokens = F.coalesce(F.col("__end.t"), F.col("__all")) - F.col("__before")
+    return own.select(*nodes.columns, tokens.alias("tokens"), F.col("__end.n").alias("__next"))
+
+
 def subtree_tokens(nodes: DataFrame) -> DataFrame:
     """(doc_id, ord, tokens): a node's own and its descendants', which run to the next node of no greater level."""
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    own = nodes.select("doc_id", "ord", "level", fn.tokens("text").cast("long").alias("t"))
-    own = own.withColumns({"__before": F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("t"), "__all": F.sum("t").over(Window.partitionBy("doc_id"))})
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    # What is counted before the next node of level k or less, for each of the six levels.
-    ends = F.array(*[F.first(F.when(F.col("level") <= k, F.col("__before")), ignorenulls=True).over(after) for k in range(1, 7)])
-    end = F.coalesce(F.try_element_at(ends, F.col("level").cast("int")), F.col("__all"))
-    return own.withColumn("__end", end).select("doc_id", "ord", (F.col("__end") - F.col("__before")).alias("tokens"))
+    return _subtrees(nodes).select("doc_id", "ord", "tokens")
 
 
 def thin(nodes: DataFrame, least: int) -> DataFrame:

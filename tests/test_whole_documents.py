@@ -11,4 +11,21 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_nodes_are_not_broadcast_by_file_size(spark, tmp_path):
+    spark.createDataFrame([(f"n{i}", f"id{i}") for i in range(50)], "name string, id string").write.parquet(str(tmp_path / "nodes"))
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))
+    rels = spark.createDataFrame([("n1", "p", "N2"), ("n1", "p", "lost")], "s string, p string, o string")
+    found = store.resolve(rels, nodes)
+    assert "Broadcast" not in plan(found)
+    assert sorted((r.subject_id, r.object_id) for r in found.collect() if r.object_id) == [("id1", "id2")]
 
+
+def outline(n: int, seed: int) -> list:
+    rnd, level, rows = random.Random(seed), 1, []
+    for i in range(1, n + 1):
+        level = rnd.randint(1, min(6, level + 1))
+        rows.append((1, i, level, i, "t" * (4 * rnd.randint(0, 5)), f"h{i}", "", ""))
+    return rows
+
+
+OUTLINE = "doc_id long, ord int, level int, line_num int, text string, title string, node_id string, parent_id string"
