@@ -78,19 +78,16 @@ def subtree_tokens(nodes: DataFrame) -> DataFrame:
 
 def thin(nodes: DataFrame, least: int) -> DataFrame:
     """Nodes whose subtree has fewer than *least* tokens take in all their descendants."""
-    sized = nodes.join(subtree_tokens(nodes), ["doc_id", "ord"])
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        rows, inside = [], None
-        for r in f.sort_values("ord").to_dict("records"):
-            if inside is not None and r["level"] > inside["level"]:
-                inside["text"] = f"{inside['text']}\n\n{r['text']}"
-                continue
-            inside = r if r["tokens"] < least else None
-            rows.append(r)
-        return pd.DataFrame(rows, columns=f.columns)
-
-    return with_parents(sized.groupBy("doc_id").applyInPandas(run, sized.schema).drop("node_id", "parent_id", "tokens"))
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    # Subtrees lie within each other or apart, so a node is inside a thin one if any thin one before it ends after it.
+    end = F.when(F.col("tokens") < least, F.coalesce("__next", F.lit((1 << 63) - 1)))
+    inside = F.coalesce(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)) > F.col("ord"), F.lit(False))
+    head = F.last(F.when(~F.col("__inside"), F.col("ord")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = _subtrees(nodes).withColumn("__inside", inside).withColumn("__head", head)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x.text), "\n\n").alias("text")
+    own = F.min_by(F.struct(*[c for c in nodes.columns if c not in ("doc_id", "text")]), "ord").alias("__own")
+    joined = placed.groupBy("doc_id", "__head").agg(text, own)
+    return with_parents(joined.select(*[c if c in ("doc_id", "text") else F.col(f"__own.{c}") for c in nodes.columns]).drop("node_id", "parent_id"))
 
 
 def text_nodes(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -29,3 +29,14 @@ def outline(n: int, seed: int) -> list:
 
 
 OUTLINE = "doc_id long, ord int, level int, line_num int, text string, title string, node_id string, parent_id string"
+
+
+def test_subtree_tokens_have_no_frame_to_the_end(spark):
+    nodes = spark.createDataFrame(rows := outline(60, 1), OUTLINE)
+    got = documents.subtree_tokens(nodes)
+    assert "unboundedfollowing$())" not in plan(got).replace("specifiedwindowframe(RowFrame, unboundedpreceding$(), unboundedfollowing$())", "")
+    want = {}
+    for at, r in enumerate(rows):
+        end = next((k for k in range(at + 1, len(rows)) if rows[k][2] <= r[2]), len(rows))
+        want[r[1]] = sum(len(x[4]) // 4 for x in rows[at:end])
+    assert {r.ord: r.tokens for r in got.collect()} == want
