@@ -171,15 +171,52 @@ def known_neighbours(outline: DataFrame) -> DataFrame:
     """For entries without a page: the nearest known pages before and after."""
     w = Window.partitionBy("doc_id").orderBy("ord")
     prev = F.last("physical_index", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    nxt = F.first("physical_index", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    nxt = F.last("physical_index", ignorenulls=True).over(_following())
     return outline.withColumns({"page_before": prev, "page_after": nxt})
 
 
+#: Entries with no more pages than this to look through are joined to each of them; the others go by parts of ``GRAM`` characters.
+NARROW, GRAM = 64, 8
+
+
+def _grams(text: str, size: Column | int) -> Column:
+    """All parts of *size* characters of a text, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), F.lit(size).cast("string"), F.lit("}))")), F.lit(1)))
+
+
+def _first_pages(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, ord, found): the first page from ``low`` to ``high`` that holds the title of an entry (doc_id, ord, title, low, high); entries without one are left out.
+
+    No document's entries are paired with all its pages. Where few pages come in question, each is read. Else, of a title's parts of ``GRAM`` characters the one on
+    the fewest pages names those to read (a shorter title is such a part itself), and the first of the pages that hold the title follows in one pass over both in page order.
+    """
+    last = pages.groupBy("doc_id").agg(F.max("page").alias("__last"))
+    wanted = wanted.join(last, "doc_id").withColumn("high", F.least("high", "__last")).where("low <= high AND title IS NOT NULL").drop("__last")
+    near = wanted.where(F.col("high") - F.col("low") < NARROW).select("doc_id", "ord", "title", F.explode(F.sequence("low", "high")).alias("page"))
+    read = near.join(pages.select("doc_id", "page", "text"), ["doc_id", "page"]).where(F.col("text").contains(F.col("title"))).select("doc_id", "ord", "page")
+
+    far = wanted.where(F.col("high") - F.col("low") >= NARROW)
+    size = F.least(F.length("title"), F.lit(GRAM))
+    asked = far.groupBy("doc_id").agg(F.min("low").alias("__from"), F.max("high").alias("__to"), F.collect_set(size).alias("__sizes"))
+    here = pages.select("doc_id", "page", "text").where("text IS NOT NULL").join(asked, "doc_id").where("page BETWEEN __from AND __to")
+    parts = here.select("doc_id", "page", F.explode("__sizes").alias("size"), "text").select("doc_id", "page", F.explode(_grams("text", F.col("size"))).alias("gram"))
+    titles = far.select("doc_id", "title").distinct()
+    own = titles.select("doc_id", "title", F.explode(_grams("title", size)).alias("gram"))
+    rare = own.join(parts.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n")), ["doc_id", "gram"], "left").groupBy("doc_id", "title").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    held = rare.join(parts, ["doc_id", "gram"]).select("doc_id", "page", "title").join(pages.select("doc_id", "page", "text"), ["doc_id", "page"]).where(F.col("text").contains(F.col("title")))
+    none = lambda kind: F.lit(None).cast(kind)
+    line = held.select("doc_id", "title", F.col("page").alias("__at"), F.col("page").alias("__hit"), none(dict(far.dtypes)["ord"]).alias("ord"), none("long").alias("high"))
+    line = line.unionByName(far.select("doc_id", "title", F.col("low").alias("__at"), none("int").alias("__hit"), "ord", F.col("high").cast("long").alias("high")))
+    after = Window.partitionBy("doc_id", "title").orderBy(F.desc("__at"), F.desc_nulls_last("__hit")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = line.withColumn("page", F.last("__hit", ignorenulls=True).over(after)).where("high IS NOT NULL AND page <= high").select("doc_id", "ord", "page")
+    return read.unionByName(passed).groupBy("doc_id", "ord").agg(F.min("page").alias("found"))
+
+
 def fill_missing(outline: DataFrame, pages: DataFrame) -> DataFrame:
     """Entries without a page get the first page between their neighbours that holds their title."""
     gaps = known_neighbours(outline).where("physical_index IS NULL")
-    hit = gaps.alias("g").join(pages.alias("p"), (F.col("g.doc_id") == F.col("p.doc_id")) & (F.col("p.page") >= F.coalesce("page_before", F.lit(1))) & (F.col("p.page") <= F.coalesce("page_after", F.lit(1 << 30))) & F.col("p.text").contains(F.col("g.title")))
-    found = hit.groupBy(F.col("g.doc_id").alias("doc_id"), F.col("g.ord").alias("ord")).agg(F.min("p.page").alias("__page"))
+    wanted = gaps.select("doc_id", "ord", "title", F.coalesce("page_before", F.lit(1)).alias("low"), F.coalesce("page_after", F.lit(1 << 30)).alias("high"))
+    found = _first_pages(wanted, pages).withColumnRenamed("found", "__page")
     return outline.join(found, ["doc_id", "ord"], "left").withColumn("physical_index", F.coalesce("physical_index", "__page")).drop("__page")
 
 

@@ -40,3 +40,14 @@ def test_subtree_tokens_have_no_frame_to_the_end(spark):
         end = next((k for k in range(at + 1, len(rows)) if rows[k][2] <= r[2]), len(rows))
         want[r[1]] = sum(len(x[4]) // 4 for x in rows[at:end])
     assert {r.ord: r.tokens for r in got.collect()} == want
+
+
+def test_locate_by_parts_of_titles(spark):
+    pages, entries = paged(3)
+    p, e = spark.createDataFrame(pages, "doc_id long, page int, text string"), spark.createDataFrame(entries, "doc_id long, ord int, title string")
+    toc = spark.createDataFrame([(1, 1), (1, 2)], "doc_id long, page int")
+    found = documents.locate(e, p, toc)
+    got = {(r.doc_id, r.ord): r.physical_index for r in found.collect()}
+    assert got == {(d, i): first_page(pages, d, t, 3 if d == 1 else 1, 120) for d, i, t in entries}
+    keys = re.findall(r"Join \[([^\]]*)\][^\n]*Contains", plan(found))
+    assert keys and all("page" in k for k in keys)
