@@ -383,9 +383,8 @@ def outline_of_pages(pages: DataFrame) -> DataFrame:
 def locate(entries: DataFrame, pages: DataFrame, after: DataFrame) -> DataFrame:
     """Entries with the first page past the contents pages that holds their title; null if none does."""
     last = after.groupBy("doc_id").agg(F.max("page").alias("__toc"))
-    hit = entries.alias("e").join(last.alias("l"), "doc_id", "left").join(pages.alias("p"), (F.col("e.doc_id") == F.col("p.doc_id")) & (F.col("p.page") > F.coalesce("l.__toc", F.lit(0))) & F.col("p.text").contains(F.col("e.title")))
-    found = hit.groupBy(F.col("e.doc_id").alias("doc_id"), F.col("e.ord").alias("ord")).agg(F.min("p.page").alias("physical_index"))
-    return entries.join(found, ["doc_id", "ord"], "left")
+    wanted = entries.join(last, "doc_id", "left").select("doc_id", "ord", "title", (F.coalesce("__toc", F.lit(0)) + 1).alias("low"), F.lit(1 << 30).alias("high"))
+    return entries.join(_first_pages(wanted, pages).withColumnRenamed("found", "physical_index"), ["doc_id", "ord"], "left")
 
 
 def checked(outline: DataFrame, pages: DataFrame) -> DataFrame:

@@ -51,3 +51,36 @@ def test_locate_by_parts_of_titles(spark):
     assert got == {(d, i): first_page(pages, d, t, 3 if d == 1 else 1, 120) for d, i, t in entries}
     keys = re.findall(r"Join \[([^\]]*)\][^\n]*Contains", plan(found))
     assert keys and all("page" in k for k in keys)
+
+
+def test_thin_sections_join_without_python(spark):
+    nodes = spark.createDataFrame(rows := outline(80, 2), OUTLINE)
+    got = documents.thin(nodes, 8)
+    assert "Pandas" not in plan(got)
+    tokens = {r.ord: r.tokens for r in documents.subtree_tokens(nodes).collect()}
+    want, inside = [], None
+    for _, at, level, _, text, title, _, _ in rows:
+        if inside and level > inside[1]:
+            inside[2] += "\n\n" + text
+            continue
+        want.append(row := [title, level, text])
+        inside = row if tokens[at] < 8 else None
+    assert [[r.title, r.level, r.text] for r in got.orderBy("ord").collect()] == want
+
+
+def paged(seed: int) -> tuple[list, list]:
+    """Pages of random words, some without text, and entries with titles from one letter to several words."""
+    rnd = random.Random(seed)
+    words = [f"{w}{i}" for w in ("alpha", "béta", "x", "🙂") for i in range(40)]
+    pages = [(d, p, None if rnd.random() < 0.05 else " ".join(rnd.choices(words, k=6))) for d in (1, 2) for p in range(1, 121)]
+    entries = []
+    for d in (1, 2):
+        for i in range(1, 61):
+            text = rnd.choice([p[2] for p in pages if p[0] == d and p[2]])
+            at = rnd.randrange(len(text) - 1)
+            entries.append((d, i, rnd.choice([text[at : at + rnd.randint(1, 20)], "", "no such title", None])))
+    return pages, entries
+
+
+def first_page(pages, d, title, low, high):
+    return min((p for doc, p, t in pages if doc == d and t is not None and title is not None and low <= p <= high and title in t), default=None)
