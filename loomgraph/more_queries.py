@@ -149,10 +149,11 @@ def dedup_citations(spark, sf):
     return retrieval.citations(_fused(spark, sf))
 
 
-@query(f"WITH f AS ({_FUSED}) SELECT count(*) AS n, least(count(*), 200) AS listed, CAST(floor(sum(length('about ' || doc_id)) / 4) AS BIGINT) AS tokens, (SELECT 'about ' || doc_id FROM f ORDER BY score DESC, 'd' || doc_id LIMIT 1) AS best FROM f")
+@query(f"WITH f AS ({_FUSED}) SELECT count(*) AS n, CAST(floor(sum(length('about ' || doc_id)) / 4) AS BIGINT) AS tokens, (SELECT 'about ' || doc_id FROM f ORDER BY score DESC, 'd' || doc_id LIMIT 1) AS best FROM f")
 def ctx_build(spark, sf):
-    got = retrieval.context(_fused(spark, sf))
-    return got.select(F.col("n_document").alias("n"), F.size("document").cast("long").alias("listed"), "tokens", F.col("document")[0].summary.alias("best"))
+    """All pieces are listed, in parts; counted from the lists."""
+    parts = retrieval.context_parts(_fused(spark, sf))
+    return parts.agg(F.sum(F.size("pieces")).alias("n"), F.floor(F.sum("chars") / 4).alias("tokens"), F.min_by(F.col("pieces")[0].summary, "part").alias("best"))
 
 
 # Paged documents: a nation is a document, its customers are entries of its contents page, each on a page of its own after that.

@@ -184,13 +184,18 @@ def citations(fused: DataFrame) -> DataFrame:
     return fused.where((F.col("source_type") == "document") | table_level).select("source_type", "citation").distinct()
 
 
-def context(fused: DataFrame, most: int = 200) -> DataFrame:
-    """One row: for each source the *most* best pieces of evidence, best first, and the number of all; and an estimate of the tokens of all."""
-    listed = fused.where(F.element_at(F.split("evidence_id", "_"), -1).cast("long") < most)  # ranks are part of the ids
+def context(fused: DataFrame) -> DataFrame:
+    """One row: for each source all pieces of evidence, best first, and their number; and an estimate of the tokens. ``context_parts`` holds the same in rows."""
     item = F.struct((-F.col("score")).alias("o"), "evidence_id", "summary", "score")
     lists = [F.sort_array(F.collect_list(F.when(F.col("source_type") == k, item))).alias(k) for k in PRIORITY]
-    facts = fused.agg(*[F.count_if(F.col("source_type") == k).alias(f"n_{k}") for k in PRIORITY], F.floor(F.coalesce(F.sum(F.length("summary")), F.lit(0)) / 4).alias("tokens"))
-    return listed.agg(*lists).crossJoin(F.broadcast(facts))  # a row each
+    return fused.agg(*lists, *[F.count_if(F.col("source_type") == k).alias(f"n_{k}") for k in PRIORITY], F.floor(F.coalesce(F.sum(F.length("summary")), F.lit(0)) / 4).alias("tokens"))
+
+
+def context_parts(fused: DataFrame, size: int = 1000) -> DataFrame:
+    """(source_type, part, pieces, chars): the lists of a context in parts of *size* pieces, best first, so that no task holds a whole list; none is left out."""
+    place = F.element_at(F.split("evidence_id", "_"), -1).cast("long")  # ranks are part of the ids
+    item = F.struct(place.alias("place"), "evidence_id", "summary", "score")
+    return fused.groupBy("source_type", F.floor(place / size).alias("part")).agg(F.sort_array(F.collect_list(item)).alias("pieces"), F.sum(F.length("summary")).alias("chars"))
 
 
 def counts(evidence: DataFrame) -> DataFrame:
