@@ -248,8 +248,10 @@ def accuracy(checked: DataFrame) -> DataFrame:
 def node_text(nodes: DataFrame, pages: DataFrame, labels: bool = False) -> DataFrame:
     """Nodes with the joined texts of their pages."""
     body = F.concat(fn.page_tag("p.page"), F.lit("\n"), F.col("p.text"), F.lit("\n"), fn.page_tag("p.page")) if labels else F.col("p.text")
-    hit = nodes.alias("n").join(pages.alias("p"), (F.col("n.doc_id") == F.col("p.doc_id")) & F.col("p.page").between(F.col("start_index"), F.col("end_index")))
-    joined = hit.groupBy(F.col("n.doc_id").alias("doc_id"), "ord").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("p.page").alias("page"), body.alias("t")))), lambda x: x.t), "").alias("text"))
+    spans = nodes.join(pages.groupBy("doc_id").agg(F.max("page").alias("__last")), "doc_id").withColumn("__end", F.least("end_index", "__last")).where("start_index <= __end")
+    spans = spans.select("doc_id", "ord", F.explode(F.sequence("start_index", "__end")).alias("page"))
+    hit = spans.alias("n").join(pages.alias("p"), ["doc_id", "page"])
+    joined = hit.groupBy("doc_id", "ord").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("p.page").alias("page"), body.alias("t")))), lambda x: x.t), "").alias("text"))
     return nodes.drop("text").join(joined, ["doc_id", "ord"], "left")
 
 
@@ -401,13 +403,15 @@ def repaired(outline: DataFrame, pages: DataFrame) -> DataFrame:
 
 def paged_tree(pages: DataFrame, is_toc: Column) -> DataFrame:
     """From pages (doc_id, page, text) to nested sections: by contents pages where a document has them, else by numbered lines."""
-    toc = toc_pages(pages, is_toc)
-    entries = toc_entries(toc_text(pages, toc))
-    found = locate(entries, pages, toc)
+    # Tables that several joins read are written, else each of them would make all before it anew.
+    toc = _cut(toc_pages(pages, is_toc))
+    pages = _cut(pages)
+    entries = _cut(toc_entries(toc_text(pages, toc)))
+    found = _cut(locate(entries, pages, toc))
     placed = apply_offset(entries, page_offset(entries, found))
     direct = outline_of_pages(pages.join(entries.select("doc_id").distinct(), "doc_id", "left_anti"))
     rows = placed.select("doc_id", "ord", "structure", "title", "physical_index").unionByName(direct.select("doc_id", "ord", "structure", "title", "physical_index"))
-    rows = fill_missing(in_range(rows, pages), pages).where("physical_index IS NOT NULL")
+    rows = _cut(fill_missing(_cut(in_range(rows, pages)), pages).where("physical_index IS NOT NULL"))
     return node_text(nest(sections(with_preface(title_opens_page(rows, pages)), pages)), pages)
 
 

@@ -84,3 +84,22 @@ def paged(seed: int) -> tuple[list, list]:
 
 def first_page(pages, d, title, low, high):
     return min((p for doc, p, t in pages if doc == d and t is not None and title is not None and low <= p <= high and title in t), default=None)
+
+
+def test_fill_missing_between_near_and_far_neighbours(spark):
+    pages, entries = paged(4)
+    rnd = random.Random(5)
+    rows = [(d, i, t, 2 * i if rnd.random() < (0.4 if d == 1 else 0.03) else None) for d, i, t in entries]
+    got = documents.fill_missing(spark.createDataFrame(rows, "doc_id long, ord int, title string, physical_index int"), spark.createDataFrame(pages, "doc_id long, page int, text string"))
+    want = {}
+    for d, i, t, at in rows:
+        low = next((r[3] for r in reversed(rows) if r[0] == d and r[1] < i and r[3]), 1)
+        high = next((r[3] for r in rows if r[0] == d and r[1] > i and r[3]), 1 << 30)
+        want[d, i] = at or first_page(pages, d, t, low, high)
+    assert {(r.doc_id, r.ord): r.physical_index for r in got.collect()} == want
+
+
+def test_node_text_joins_pages_by_number(spark):
+    pages = spark.createDataFrame([(1, i, f"p{i}.") for i in range(1, 8)], "doc_id long, page int, text string")
+    nodes = spark.createDataFrame([(1, 1, 2, 4), (1, 2, 4, 1_000_000_000), (1, 3, 9, 9), (1, 4, None, 3)], "doc_id long, ord int, start_index int, end_index int")
+    assert [r.text for r in documents.node_text(nodes, pages).orderBy("ord").collect()] == ["p2.p3.p4.", "p4.p5.p6.p7.", None, None]
