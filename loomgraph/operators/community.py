@@ -104,7 +104,7 @@ def _round_of_moves(label: DataFrame, links: DataFrame, strength: DataFrame, tot
     scored = near.join(strength, "name").join(volume, "c").join(label.withColumnRenamed("c", "own"), "name")
     inside = F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
     gain = F.col("w") - resolution * (F.col("v") - inside) * F.col("k") / total
-    best = scored.groupBy("name").agg(F.max_by("c", F.struct(gain, (F.col("c") == F.col("own")).cast("int"), "c")).alias("to"))
+    best = scored.groupBy("name", "own", "k").agg(F.max_by("c", F.struct(gain, (F.col("c") == F.col("own")).cast("int"), "c")).alias("to"))  # every node has its own label at least
     turn = F.pmod(F.xxhash64(F.lit(number), "name"), F.lit(2)) == 0
     return _cut(label.join(best, "name", "left").select("name", F.when(turn & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("c")).alias("c")))
 
@@ -303,14 +303,15 @@ def partition_of(parts: DataFrame, name: str) -> DataFrame:
 
 
 def _placed(edges: DataFrame, parts: DataFrame) -> DataFrame:
-    a = parts.select(F.col("name").alias("src"), F.col("partition_id").alias("pa"))
-    b = parts.select(F.col("name").alias("dst"), F.col("partition_id").alias("pb"))
+    # A row a node stands on one side: by the size of its files it would be broadcast, which takes every task gigabytes as tables grow.
+    a = parts.select(F.col("name").alias("src"), F.col("partition_id").alias("pa")).hint("merge")
+    b = parts.select(F.col("name").alias("dst"), F.col("partition_id").alias("pb")).hint("merge")
     return edges.join(a, "src").join(b, "dst")
 
 
 def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """One row: Newman's weighted modularity, sum of in/2m - (tot/2m)^2."""
-    placed = _placed(edges, parts)
+    placed = _between(edges, parts)
     inside = placed.where("pa = pb").groupBy(F.col("pa").alias("p")).agg(F.sum(2 * F.col("weight")).alias("in"))
     tot = placed.select(F.explode(F.array("pa", "pb")).alias("p"), "weight").groupBy("p").agg(F.sum("weight").alias("tot"))
     m2 = edges.agg((2 * F.sum("weight")).alias("m2"))
@@ -326,12 +327,12 @@ def partition_stats(edges: DataFrame, parts: DataFrame) -> DataFrame:
 
 def community_stats(nodes: DataFrame, edges: DataFrame, parts: DataFrame, top: int = 3) -> DataFrame:
     """Per community, largest first: size, inner edges, density, type counts, best nodes by degree. *nodes* has name and type."""
-    placed = _placed(edges, parts)
+    placed = _between(edges, parts)
     size = parts.groupBy("partition_id").agg(F.count(F.lit(1)).alias("size"))
-    inner = placed.where("pa = pb").groupBy(F.col("pa").alias("partition_id")).agg(F.count(F.lit(1)).alias("inner_edges"))
+    inner = placed.where("pa = pb").groupBy(F.col("pa").alias("partition_id")).agg(F.sum("n").alias("inner_edges"))
     kinds = parts.join(nodes.select("name", "type"), "name").groupBy("partition_id", "type").agg(F.count(F.lit(1)).alias("n"))
     kinds = kinds.groupBy("partition_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("types"))
-    degree = edges.select(F.explode(F.array("src", "dst")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("d"))
+    degree = _cut(edges.select(F.explode(F.array("src", "dst")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("d")), rows=2 * edges.count())
     best = top_per(parts.join(degree, "name", "left").na.fill(0, ["d"]), ["partition_id"], top, F.desc("d"), F.asc("name"))
     best = best.groupBy("partition_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("d")).alias("o"), "name"))), lambda x: x["name"]).alias("key_nodes"))
     n, m = F.col("size"), F.coalesce("inner_edges", F.lit(0))
@@ -352,7 +353,7 @@ def meta_graph(edges: DataFrame, parts: DataFrame, drop_zero: bool = False) -> t
     *drop_zero* keeps an old fault that loses the edges of partition 0.
     """
     nodes = parts.groupBy("partition_id").agg(F.count(F.lit(1)).alias("size"))
-    placed = _placed(edges, parts).where("pa <> pb")
+    placed = _between(edges, parts).where("pa <> pb")
     if drop_zero:
         placed = placed.where("pa <> 0 AND pb <> 0")
     return nodes, placed.groupBy(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).agg(F.sum("weight").alias("weight"))

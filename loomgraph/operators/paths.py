@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import count
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that a shuffle deals to a partition, and bytes that a task reads, in tables that ``_cut`` writes.
+ROWS, BYTES = 500_000, 8 << 20
+#: Rows of an Arrow batch there.
+BATCH_ROWS = 1000
+
+
 def build(edges: DataFrame, directed: bool = True) -> DataFrame:
     """One edge for each ordered pair: the last by ``relationship_id`` wins; undirected pairs are put in order first."""
     e = edges if "relationship_id" in edges.columns else edges.withColumn("relationship_id", F.lit(""))
@@ -32,14 +42,44 @@ def _place(spark: SparkSession, path: str) -> tuple:
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _cut(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
-    """End the lineage of a loop by a written table; the files of *old*, which nothing reads any more once this is written, go.
+def _bytes(size: str) -> int:
+    m = re.match(r"(\d+)\s*([kmgt]?)", size.lower())
+    return int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]]
+
+
+@contextmanager
+def narrow(spark: SparkSession, rows: int = 0) -> Iterator[None]:
+    """What runs inside has tasks of bounded input: partitions are put together up to ``BYTES`` only, and *rows* make as many more of them.
+
+    With Spark's 64 MB a partition of short rows that compress well takes gigabytes to sort. Settings that are narrower already stay.
+    """
+    wanted = {}
+    for key in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"):
+        if _bytes(spark.conf.get(key)) > BYTES:
+            wanted[key] = f"{BYTES}b"
+    if int(spark.conf.get("spark.sql.shuffle.partitions")) < (parts := ceil(rows / ROWS)):
+        wanted["spark.sql.shuffle.partitions"] = str(parts)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        wanted |= {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(4 * BYTES)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def _cut(df: DataFrame, old: DataFrame | None = None, rows: int = 0) -> DataFrame:
+    """End the lineage of a loop by a written table; the files of *old*, which nothing reads any more once this is written, go. *rows* go into its largest shuffle.
 
     A table also ends the constraints that the optimizer keeps of a checkpoint, which grow with every round.
     """
     spark = df.sparkSession
     path = _folder(spark)
-    df.write.mode("append").parquet(path)
+    with narrow(spark, rows):
+        df.write.mode("append").parquet(path)
     if old is not None:
         drop(old)
     return spark.read.schema(df.schema).parquet(path)

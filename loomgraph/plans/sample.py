@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.dedup import last_per
+from ..operators.paths import _cut
 from .importing import Table, import_graph
 
 DATASOURCE = "DBS://bench/tpch"
@@ -65,9 +66,11 @@ def supply(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A graph that grows with the tables: suppliers and parts, an edge in each direction with the lines of the pair as its strength; nodes with the nation or maker."""
     suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("name"), F.lit("supplier").alias("type"), F.col("s_nationkey").cast("long").alias("group"))
     parts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("name"), F.lit("part").alias("type"), (F.col("p_partkey") % 25).cast("long").alias("group"))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).cast("double").alias("strength"))
-    out = lines.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), "strength")
-    return suppliers.unionByName(parts), out.unionByName(out.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "strength"))
+    lines = table(spark, sf_dir, "lineitem")
+    pairs = _cut(lines.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).cast("double").alias("strength")), rows=lines.count())
+    s, p = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")
+    ends = F.explode(F.array(F.struct(s.alias("src"), p.alias("dst")), F.struct(p.alias("src"), s.alias("dst")))).alias("e")
+    return suppliers.unionByName(parts), pairs.select(ends, "strength").select("e.src", "e.dst", "strength")
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
