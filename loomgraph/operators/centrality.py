@@ -20,7 +20,7 @@ STATES = 200_000_000
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(in + out) / (n - 1)."""
     n = nodes.count()
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("d"))
+    ends = _cut(edges.select(F.explode(F.array("src", "dst")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("d")), rows=2 * edges.count())
     return nodes.select("name").join(ends, "name", "left").select("name", (F.coalesce("d", F.lit(0)) / max(n - 1, 1)).alias("score"))
 
 
