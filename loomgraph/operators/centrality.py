@@ -15,6 +15,8 @@ from .paths import _cut, drop
 MEASURES = ("degree", "betweenness", "closeness", "pagerank", "eigenvector")
 #: Rows (source, node) that the searches of one batch of sources hold together.
 STATES = 200_000_000
+#: Ends of edges in one list.
+LIST = 1000
 
 
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -26,20 +28,24 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, iterations: int | None = None) -> DataFrame:
     """Power iteration with uniform teleport and dangling mass; stops when the L1 change is below n x tolerance, or after *iterations*."""
-    n = nodes.count()
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    step = _cut(edges.select("src", "dst").join(out, "src"))
-    rank = _cut(nodes.select("name", F.lit(1.0 / n).alias("score")))
+    n, rows = nodes.count(), edges.count()
+    out = edges.groupBy(F.col("src").alias("name")).agg(F.count(F.lit(1)).alias("out"))
+    # A node's row holds its number of out-edges, so that no round counts edges again.
+    rank = _cut(nodes.select("name", F.lit(1.0 / n).alias("score")).join(out, "name", "left").select("name", "score", "out"), rows=rows)
+    # Out-edges in lists of about LIST ends: rounds deal a row a list, not a row an edge.
+    lists = ceil((rank.agg(F.max("out")).first()[0] or 1) / LIST)
+    step = _cut(edges.groupBy("src", F.pmod(F.xxhash64("dst"), F.lit(lists)).alias("__list")).agg(F.collect_list("dst").alias("to")).select("src", "to"), rows=rows)
     for _ in range(iterations if iterations is not None else rounds):
-        dangling = rank.join(out, rank.name == out.src, "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-        flow = rank.join(step, rank.name == step.src).groupBy(F.col("dst").alias("name")).agg(F.sum(F.col("score") / F.col("out")).alias("in"))
-        new = _cut(rank.join(flow, "name", "left").select("name", F.col("score").alias("old"), ((1 - alpha) / n + alpha * (F.coalesce("in", F.lit(0.0)) + dangling / n)).alias("score")))
-        moved = new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+        dangling = rank.where("out IS NULL").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+        shares = rank.where("out IS NOT NULL").select(F.col("name").alias("src"), (F.col("score") / F.col("out")).alias("share"))
+        flow = shares.join(step.hint("merge"), "src").select(F.explode("to").alias("name"), "share").groupBy("name").agg(F.sum("share").alias("in"))
+        new = _cut(rank.join(flow, "name", "left").select("name", F.col("score").alias("old"), ((1 - alpha) / n + alpha * (F.coalesce("in", F.lit(0.0)) + dangling / n)).alias("score"), "out"), rows=rows)
         drop(rank)
         rank = new.drop("old")
-        if iterations is None and moved < n * tolerance:
+        if iterations is None and new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < n * tolerance:
             break
-    return rank
+    drop(step)
+    return rank.select("name", "score")
 
 
 def eigenvector(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-6, rounds: int = 1000, iterations: int | None = None) -> DataFrame:

@@ -19,3 +19,12 @@ def test_narrow_partitions_only_inside(spark):
     with paths.narrow(spark, 20 * paths.ROWS):
         inside = [spark.conf.get(k) for k in keys]
     assert inside == [f"{paths.BYTES}b", f"{paths.BYTES}b", "20"] and [spark.conf.get(k) for k in keys] == before
+
+
+def test_pagerank_by_lists_of_any_length(spark, monkeypatch):
+    nodes = spark.createDataFrame([(x,) for x in "abcdef"], "name string")
+    edges = spark.createDataFrame([("a", x) for x in "bcdef"] + [("b", "a"), ("c", "a"), ("c", "a")], "src string, dst string")
+    want = {r.name: r.score for r in centrality.pagerank(nodes, edges, iterations=4).collect()}
+    monkeypatch.setattr(centrality, "LIST", 2)
+    found = {r.name: r.score for r in centrality.pagerank(nodes, edges, iterations=4).collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want) and abs(sum(want.values()) - 1) < 1e-12
