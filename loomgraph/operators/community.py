@@ -19,8 +19,10 @@ SMALL, SMALL_EDGES = 20_000, 400_000
 
 def undirected(edges: DataFrame, weight: str = "strength") -> DataFrame:
     """One row a pair, ends in order; of parallel and opposite edges the last in (src, dst) wins."""
-    pair = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "src", "dst", F.col(weight).alias("w"))
-    return pair.groupBy("a", "b").agg(F.max_by("w", F.struct("src", "dst", "w")).alias("weight")).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
+    back = F.coalesce(F.col("src") > F.col("dst"), F.lit(False))
+    pair = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), back.cast("int").alias("back"), F.when(back, F.col(weight)).alias("last"), F.when(~back, F.col(weight)).alias("first"))
+    best = pair.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("back", "last", "first")])  # numbers alone, so Spark hashes and sorts nothing
+    return _cut(best.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.when(F.col("back") == 1, F.col("last")).otherwise(F.col("first")).alias("weight")), rows=edges.count())
 
 
 def louvain_labels(names: list[str], edges: list[tuple[str, str, float]], resolution: float = 1.0) -> dict[str, int]:
@@ -88,42 +90,51 @@ def louvain(nodes: DataFrame, edges: DataFrame, weighted: bool = True, resolutio
     return rows.groupBy("g").applyInPandas(run, "name string, partition_id long")
 
 
-def _quality(label: DataFrame, both: DataFrame, strength: DataFrame, total: float, resolution: float) -> float:
-    """Newman's modularity of labels (name, c) on links that are there from both ends."""
-    ends = both.join(label.select(F.col("name").alias("src"), F.col("c").alias("__a")), "src").join(label.select(F.col("name").alias("dst"), F.col("c").alias("__b")), "dst")
+def _quality(state: DataFrame, both: DataFrame, total: float, resolution: float) -> float:
+    """Newman's modularity of labels (name, c, k) on links that are there from both ends."""
+    ends = both.join(state.select(F.col("name").alias("src"), F.col("c").alias("__a")), "src").join(state.select(F.col("name").alias("dst"), F.col("c").alias("__b")), "dst")
     inside = ends.where("__a = __b").agg(F.sum("weight")).first()[0] or 0.0
-    squares = label.join(strength, "name").groupBy("c").agg(F.sum("k").alias("v")).agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
+    squares = state.groupBy("c").agg(F.sum("k").alias("v")).agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
     return inside / total - resolution * squares / total**2
 
 
-def _round_of_moves(label: DataFrame, links: DataFrame, strength: DataFrame, total: float, resolution: float, number: int) -> DataFrame:
-    """The half of the nodes that a hash names for this round moves to the neighbouring label of most gain."""
-    volume = label.join(strength, "name").groupBy("c").agg(F.sum("k").alias("v"))
-    near = links.join(label.select(F.col("name").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("name"), "c").agg(F.sum("weight").alias("w"))
-    near = near.unionByName(label.select("name", "c", F.lit(0.0).alias("w"))).groupBy("name", "c").agg(F.sum("w").alias("w"))
-    scored = near.join(strength, "name").join(volume, "c").join(label.withColumnRenamed("c", "own"), "name")
+def _round_of_moves(state: DataFrame, links: DataFrame, total: float, resolution: float, number: int) -> DataFrame:
+    """The half of the nodes that a hash names for this round moves to the neighbouring label of most gain. *state* (name, c, k) has the labels and strengths of all linked nodes."""
+    volume = state.groupBy("c").agg(F.sum("k").alias("v"))
+    near = links.join(state.select(F.col("name").alias("dst"), "c"), "dst").select(F.col("src").alias("name"), "c", F.col("weight").alias("w"))
+    near = near.unionByName(state.select("name", "c", F.lit(0.0).alias("w"))).groupBy("name", "c").agg(F.sum("w").alias("w"))
+    scored = near.join(volume, "c").join(state.withColumnRenamed("c", "own"), "name")
     inside = F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
     gain = F.col("w") - resolution * (F.col("v") - inside) * F.col("k") / total
     best = scored.groupBy("name", "own", "k").agg(F.max_by("c", F.struct(gain, (F.col("c") == F.col("own")).cast("int"), "c")).alias("to"))  # every node has its own label at least
     turn = F.pmod(F.xxhash64(F.lit(number), "name"), F.lit(2)) == 0
-    return _cut(label.join(best, "name", "left").select("name", F.when(turn & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("c")).alias("c")))
+    return _cut(best.select("name", F.when(turn, F.col("to")).otherwise(F.col("own")).alias("c"), "k"))
 
 
 def _local_moves(names: DataFrame, both: DataFrame, total: float, resolution: float, patience: int = 3) -> DataFrame | None:
-    """The best labels (name, c) that pairs of rounds find until *patience* of them bring no more; None if none beats one label a node."""
-    strength = _cut(both.groupBy(F.col("src").alias("name")).agg(F.sum("weight").alias("k")))
+    """The best labels (name, c) that pairs of rounds find until *patience* of them bring no more; None if none beats one label a node.
+
+    Only nodes with links take part in the rounds; the others keep their labels.
+    """
+    linked = both.groupBy(F.col("src").alias("name")).agg(F.sum("weight").alias("k"))
+    state = _cut(names.join(linked, "name").select("name", F.col("name").alias("c"), "k"))
     links = both.where("src <> dst")
-    label = names.select("name", F.col("name").alias("c"))
-    found, best, number, idle = None, _quality(label, both, strength, total, resolution), 0, 0
+    found, best, number, idle = None, _quality(state, both, total, resolution), 0, 0
     while idle < patience:
         for _ in range(2):
-            label = _round_of_moves(label, links, strength, total, resolution, number)
+            old, state = state, _round_of_moves(state, links, total, resolution, number)
+            if old is not found:
+                drop(old)
             number += 1
-        now = _quality(label, both, strength, total, resolution)
+        now = _quality(state, both, total, resolution)
         idle += 1
         if now > best + 1e-7:
-            found, best, idle = label, now, 0
-    return found
+            if found is not None:
+                drop(found)
+            found, best, idle = state, now, 0
+    if found is None:
+        return None
+    return names.join(found.select("name", "c"), "name", "left").select("name", F.coalesce("c", "name").alias("c"))
 
 
 def numbered(df: DataFrame, *order, to: str = "number") -> DataFrame:
@@ -151,7 +162,7 @@ def label_rounds(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) ->
         whole = _cut(whole.join(label.select(F.col("name").alias("c"), F.col("c").alias("__to")), "c", "left").select("name", F.coalesce("__to", "c").alias("c")))
         src, dst = (label.select(F.col("name").alias(end), F.col("c").alias(f"__{end}")) for end in ("src", "dst"))
         both = _cut(both.join(src, "src").join(dst, "dst").groupBy(F.col("__src").alias("src"), F.col("__dst").alias("dst")).agg(F.sum("weight").alias("weight")))
-        names = label.select(F.col("c").alias("name")).distinct()
+        names = _cut(label.select(F.col("c").alias("name")).distinct())
     sizes = whole.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("least"))
     return whole.join(numbered(sizes, F.desc("n"), "least", to="partition_id").select("c", "partition_id"), "c").select("name", "partition_id")
 
@@ -309,6 +320,11 @@ def _placed(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst")
 
 
+def _between(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """(pa, pb, weight, n): the edges from partition to partition, summed in the one pass that joins them."""
+    return _cut(_placed(edges, parts).groupBy("pa", "pb").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")), rows=edges.count())
+
+
 def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """One row: Newman's weighted modularity, sum of in/2m - (tot/2m)^2."""
     placed = _between(edges, parts)

@@ -28,3 +28,13 @@ def test_pagerank_by_lists_of_any_length(spark, monkeypatch):
     monkeypatch.setattr(centrality, "LIST", 2)
     found = {r.name: r.score for r in centrality.pagerank(nodes, edges, iterations=4).collect()}
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want) and abs(sum(want.values()) - 1) < 1e-12
+
+
+def test_rounds_of_moves_take_linked_nodes_only(spark, monkeypatch):
+    seen, moves = [], community._round_of_moves
+    monkeypatch.setattr(community, "_round_of_moves", lambda state, *more: (seen.append(state.count()), moves(state, *more))[1])
+    nodes = spark.createDataFrame([(f"n{i:02}",) for i in range(40)], "name string")
+    edges = spark.createDataFrame([("n00", "n01", 1.0), ("n02", "n03", 1.0)], "src string, dst string, weight double")
+    part = {r.name: r.partition_id for r in community.label_rounds(nodes, edges).collect()}
+    assert len(part) == 40 and part["n00"] == part["n01"] == 0 and part["n02"] == part["n03"] == 1 and len(set(part.values())) == 38
+    assert seen and max(seen) <= 4
