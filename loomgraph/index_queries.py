@@ -168,9 +168,11 @@ def core_spectral(spark, sf):
 
 
 def _homes(spark, sf):
+    """Written once, as the loops read them again and again."""
     nodes, edges = sample.core(spark, sf)
     links = edges.select(F.col("subject").alias("src"), F.col("object").alias("dst"), F.lit(1.0).alias("weight")).where("startswith(dst, 'nation:')")
-    return nodes.where("type <> 'event'").select("name"), links
+    rows = sample.table(spark, sf, "orders").count()
+    return paths._cut(nodes.where("type <> 'event'").select("name"), rows=rows), paths._cut(links, rows=rows)
 
 
 _HOMES = """home AS (SELECT 'nation:' || n_nationkey AS name, n_nationkey AS r FROM nation UNION ALL SELECT 'customer:' || c_custkey, c_nationkey FROM customer

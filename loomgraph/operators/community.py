@@ -173,8 +173,8 @@ def kmeans(nodes: DataFrame, edges: DataFrame, k: int = 5, seed: int = 42) -> Da
     from pyspark.ml.feature import VectorAssembler
 
     ends = edges.select(F.explode(F.array("src", "dst")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("d"))
-    d = nodes.select("name").join(ends, "name", "left").select("name", F.coalesce("d", F.lit(0)).cast("double").alias("degree"))
-    if nodes.count() < k:
+    d = _cut(nodes.select("name").join(ends, "name", "left").select("name", F.coalesce("d", F.lit(0)).cast("double").alias("degree")))  # read by count, fit and transform
+    if d.count() < k:
         return d.select("name", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("name")) - 1).cast("long").alias("partition_id"))
     rows = VectorAssembler(inputCols=["degree"], outputCol="features").transform(d)
     return KMeans(k=k, seed=seed).fit(rows).transform(rows).select("name", F.col("prediction").cast("long").alias("partition_id"))

@@ -38,3 +38,9 @@ def test_rounds_of_moves_take_linked_nodes_only(spark, monkeypatch):
     part = {r.name: r.partition_id for r in community.label_rounds(nodes, edges).collect()}
     assert len(part) == 40 and part["n00"] == part["n01"] == 0 and part["n02"] == part["n03"] == 1 and len(set(part.values())) == 38
     assert seen and max(seen) <= 4
+
+
+def test_homes_are_written_once(spark, sf):
+    from loomgraph import index_queries
+
+    assert all("/loomgraph-" in f for t in index_queries._homes(spark, sf) for f in t.inputFiles())
