@@ -44,3 +44,8 @@ def test_homes_are_written_once(spark, sf):
     from loomgraph import index_queries
 
     assert all("/loomgraph-" in f for t in index_queries._homes(spark, sf) for f in t.inputFiles())
+
+
+def test_trade_counts_are_written_once(spark, sf):
+    _, edges = sample.trade(spark, sf)
+    assert not any("lineitem" in f for f in edges.inputFiles())
