@@ -220,7 +220,7 @@ def export_graph(spark, sf):
     store = GraphStore(spark, f"{folder}/graph")
     nodes, edges = sample.core(spark, sf)
     store.write_all({"nodes": nodes, "edges": edges.drop("subject", "object")})
-    some = nodes.where("type = 'location'")
+    some = paths._cut(store.nodes.where("type = 'location'"))  # as stored, not derived from the tables again
     store.delete(some)
     store.upsert("nodes", some)
     store.export(f"{folder}/export")
