@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import INFERRED, Catalog, annotate
 from ..functions import folds
+from ..operators.paths import _cut
 
 # Compact keys and the fields that they stand for.
 DB_KEYS = {"ov": "db_description", "dom": "business_domain", "ke": "key_entities"}
@@ -55,6 +56,8 @@ def expand(answer: dict | str) -> dict:
     return {"db": _named(answer.get("db") or {}, DB_KEYS), "tables": tables, "columns": [c for c in columns if c[1]], "relations": [r for r in rels if r["source_table"] and r["target_table"]]}
 
 
+#: Answers whose items a worker makes at a time.
+PIECE = 200
 PARSED = "key string, seq int, kind string, table_name string, column_name string, description string, entity_type string, target_table string, target_column string, relationship_type string"
 
 
@@ -75,14 +78,19 @@ def _items(answer: str | None) -> list[tuple]:
 
 
 def parse_answers(answers: DataFrame) -> DataFrame:
-    """Recorded answers (key, answer), one a database, as one row an item of each: kind is db, table, column, relation or error."""
+    """Recorded answers (key, answer), one a database, as one row an item of each: kind is db, table, column, relation or error.
+
+    Written once, in small batches: a worker holds the items of ``PIECE`` answers, whatever the batch.
+    """
     names = [f.split()[0] for f in PARSED.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame([(key, n, *item) for key, answer in zip(f.key, f.answer) for n, item in enumerate(_items(answer))], columns=names)
+            for i in range(0, len(f), PIECE):
+                piece = f.iloc[i : i + PIECE]
+                yield pd.DataFrame([(key, n, *item) for key, answer in zip(piece.key, piece.answer) for n, item in enumerate(_items(answer))], columns=names)
 
-    return answers.select(F.col("key").cast("string").alias("key"), F.col("answer").cast("string").alias("answer")).mapInPandas(run, PARSED)
+    return _cut(answers.select(F.col("key").cast("string").alias("key"), F.col("answer").cast("string").alias("answer")).mapInPandas(run, PARSED))
 
 
 def merge_answers(tables: DataFrame, columns: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -49,3 +49,11 @@ def test_homes_are_written_once(spark, sf):
 def test_trade_counts_are_written_once(spark, sf):
     _, edges = sample.trade(spark, sf)
     assert not any("lineitem" in f for f in edges.inputFiles())
+
+
+def test_answers_are_parsed_once_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(annotate, "PIECE", 2)
+    rows = [(str(i), f'{{"tables": [{{"t": "t{i}", "d": "x"}}]}}') for i in range(7)] + [("7", "no")]
+    found = annotate.parse_answers(spark.createDataFrame(rows, "key string, answer string"))
+    assert sorted((r.key, r.kind, r.table_name) for r in found.collect()) == [(str(i), "table", f"t{i}") for i in range(7)] + [("7", "error", None)]
+    assert found.inputFiles() and all("/loomgraph-" in f for f in found.inputFiles())
