@@ -341,8 +341,9 @@ def page_groups(pages: DataFrame, most: int = 20_000, overlap: int = 1) -> DataF
 
 def segments(nodes: DataFrame, most: int = 20_000) -> DataFrame:
     """(doc_id, ord, part, title, text): node texts, long ones cut at sentence ends."""
-    parts = F.when(F.length("text") <= most, F.array("text")).otherwise(folds.split_text_udf("text", F.lit(most)))
-    return nodes.where(F.length("text") > 0).select("doc_id", "ord", "title", F.posexplode(parts).alias("part", "text"))
+    parts = nodes.where(F.length("text") > most).select("doc_id", "ord", "title", F.posexplode(folds.split_text_udf("text", F.lit(most))).alias("part", "text"))
+    short = nodes.where((F.length("text") > 0) & (F.length("text") <= most)).select("doc_id", "ord", "title", F.lit(0).alias("part"), "text")
+    return short.unionByName(_cut(parts))  # only long texts go through Python, in small batches
 
 
 def merged_segments(segs: DataFrame, least: int = 1000, most: int = 20_000) -> DataFrame:

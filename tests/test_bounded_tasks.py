@@ -57,3 +57,13 @@ def test_answers_are_parsed_once_in_pieces(spark, monkeypatch):
     found = annotate.parse_answers(spark.createDataFrame(rows, "key string, answer string"))
     assert sorted((r.key, r.kind, r.table_name) for r in found.collect()) == [(str(i), "table", f"t{i}") for i in range(7)] + [("7", "error", None)]
     assert found.inputFiles() and all("/loomgraph-" in f for f in found.inputFiles())
+
+
+def test_only_long_texts_are_split_in_python(spark, capsys):
+    texts = ["short", "。".join(["0123456789"] * 30), "", None, "x" * 50]
+    nodes = spark.createDataFrame([(i, 1, "t", t) for i, t in enumerate(texts)], "doc_id int, ord int, title string, text string")
+    segs = documents.segments(nodes, 50)
+    want = [(i, k, p) for i, t in enumerate(texts) if t for k, p in enumerate([t] if len(t) <= 50 else folds.split_text(t, 50))]
+    assert sorted((r.doc_id, r.part, r.text) for r in segs.collect()) == want
+    segs.explain()
+    assert "Python" not in capsys.readouterr().out
