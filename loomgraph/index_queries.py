@@ -18,7 +18,7 @@ from .streaming import cdc
 @query(ORACLES["full_text_ranked"].replace("SELECT name, type, score", "SELECT name, type, score"))
 def fts_index(spark, sf):
     """The ten best of all nodes from a stored index: half of the nodes are built in, the rest and some repeats come as updates."""
-    nodes, _ = sample.core(spark, sf)
+    nodes = paths._cut(sample.core(spark, sf)[0].select("id", "name", "type"), rows=sample.table(spark, sf, "orders").count())
     index = TextIndex(spark, paths._folder(spark), fields=("name",))
     later = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
     index.build(nodes.where(~later).unionByName(nodes.where(later).withColumn("name", F.lit("nation 7 7"))))
